@@ -34,6 +34,7 @@ RE_ID = r"^[1-9][0-9]*$"
 RE_CODE = r"^[A-Za-z0-9]{4,20}$"
 RE_CODE_SEARCH = r"^[A-Za-z0-9]{0,20}$"
 RE_MONEY = r"^[0-9]+\.?[0-9]{0,2}$"
+RE_AMOUNT = r"^-?[0-9]{1,6}(\.[0-9]{0,2})?$"
 RE_QUANTITY = r"^[1-9][0-9]*$"
 RE_CUSTOMER_NAME = r"^[\x{4e00}-\x{9fa5}]{2,}$"
 RE_TELEPHONE = r"^[1-9][0-9]{6,7}"

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ledgerloom import constants as K
 from ledgerloom.functions.dates import parse_moment
 from ledgerloom.functions.predicates import visible
+from ledgerloom.functions.text import squash
 from ledgerloom.operators import stock
 from ledgerloom.operators.admission import admit_in_order
 from ledgerloom.operators.cost import product_summary
@@ -575,6 +576,11 @@ def delete_issue_lines(
 # -- orders ----------------------------------------------------------------------------
 
 
+def _discount(text: Column) -> Column:
+    """Submitted discount; none means 0."""
+    return F.coalesce(F.nullif(squash(text), F.lit("")), F.lit("0")).cast("decimal(8,2)")
+
+
 def _doc_lines(t: Mapping[str, DataFrame], orders: DataFrame, *carry: str) -> DataFrame:
     """Document lines with their rule checks; ``line_error`` is the first broken one."""
     known = t["products"].select(F.col("id").alias("product_id"))
@@ -640,7 +646,7 @@ def apply_new_orders(t: Mapping[str, DataFrame], docs: DataFrame) -> ChangeResul
     good, rejected = _split(orders, reason)
     good = _assign_ids(good, t["sellorder"], [F.col("seq")], [id_block("seq")])
     good = good.withColumn(
-        "discount", F.when(F.col("discount") == "", "0").otherwise(F.col("discount")).cast("decimal(8,2)")
+        "discount", _discount(F.col("discount"))
     ).withColumn("date", F.col("moment")).withColumn("hidden", F.lit(False))
     rows = tried.join(good.select("seq", F.col("id").alias("oid_id")), "seq")
     rows = _assign_ids(
@@ -688,7 +694,7 @@ def apply_order_edits(t: Mapping[str, DataFrame], docs: DataFrame, *, as_of: dat
 
     named = good.select(
         F.col("order_id").alias("_oid"), "hide", F.col("code").alias("_code"),
-        F.when(F.col("discount") == "", "0").otherwise(F.col("discount")).cast("decimal(8,2)").alias("_discount"),
+        _discount(F.col("discount")).alias("_discount"),
         parse_moment(F.col("date")).alias("_date"), F.col("note").alias("_note"),
     )
     joined = orders.join(named, F.col("id") == F.col("_oid"), "left")

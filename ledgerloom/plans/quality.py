@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom import constants as K
 from ledgerloom.functions.dates import parse_day, parse_moment
 from ledgerloom.functions.money import line_cents
-from ledgerloom.functions.text import trim_spaces
+from ledgerloom.functions.text import squash, trim_spaces
 
 
 def _text(name: str) -> Column:
@@ -58,10 +58,12 @@ def mark_repeats(df: DataFrame, keys: Sequence[str], order: str, name: str = "re
 
 
 def order_rules() -> dict[str, Column]:
+    """Code, discount and note, judged without their white space."""
+    code, discount, note = (squash(_text(name)) for name in ("code", "discount", "note"))
     return {
-        "code": _bad_if_filled("code", K.RE_CODE),
-        "discount": _bad_if_filled("discount", K.RE_MONEY),
-        "note": _too_long("note"),
+        "code": (code != "") & ~code.rlike(K.RE_CODE),
+        "discount": (discount != "") & ~discount.rlike(K.RE_MONEY),
+        "note": F.length(note) > K.NOTE_MAX,
     }
 
 
@@ -248,11 +250,9 @@ def validate_product(df: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def remit_rules() -> dict[str, Column]:
-    amount = F.col("amount").cast("string").try_cast("decimal(38,4)")
-    two_places = amount == amount.cast("decimal(38,2)")
     return {
         "supplier": F.coalesce(~F.col("supplier").isin(*K.SUPPLIERS), F.lit(True)),
-        "amount": F.coalesce(~(two_places & (F.abs(amount) < 1_000_000)), F.lit(True)),
+        "amount": _bad("amount", K.RE_AMOUNT),
         "date": F.col("date").isNull(),
         "note": _too_long("note"),
     }

@@ -13,13 +13,18 @@ from ledgerloom.schemas import CATEGORY_DOC, ORDER_DOC
 
 
 def parse_orders(df: DataFrame, text: str | Column = "value", *carry: str) -> DataFrame:
-    """JSON text -> one row per order; header fields lose their white space."""
+    """JSON text -> one row per order.
+
+    Ids and flags lose their white space; code, discount and note keep it, and are
+    checked without it.
+    """
     doc = F.from_json(F.col(text) if isinstance(text, str) else text, ORDER_DOC)
     df = df.select(*carry, doc.alias("doc"))
-    heads = ["id", "hidden", "code", "customer", "discount", "note"]
+    text_of = lambda name: F.coalesce(F.col(f"doc.{name}"), F.lit(""))
     return df.select(
         *carry,
-        *[squash(F.coalesce(F.col(f"doc.{h}"), F.lit(""))).alias(h) for h in heads],
+        *[squash(text_of(name)).alias(name) for name in ("id", "hidden", "customer")],
+        *[text_of(name).alias(name) for name in ("code", "discount", "note")],
         F.coalesce(F.col("doc.date"), F.lit("")).alias("date"),
         F.col("doc.orderDetail").alias("lines"),
     )

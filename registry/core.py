@@ -180,7 +180,9 @@ def sql(body: str, *needs: str) -> str:
         visit(name)
     head = ",\n".join(f"{n} as ({_CTE[n][0]})" for n in ordered)
     body = body.strip()
-    if body.lower().startswith("with "):
+    if body.startswith("with recursive "):
+        return f"with recursive {head},\n{body[15:]}"
+    if body.startswith("with "):
         return f"with {head},\n{body[5:]}"
     return f"with {head}\n{body}"
 
