@@ -5,21 +5,23 @@ may *need* a quantity to be available and, once accepted, takes ``delta`` away (
 negative delta gives back). It is accepted when every need is met by the capacity minus
 what earlier accepted requests took, and otherwise takes nothing.
 
-Whether one request is accepted can hinge on every earlier one, so a single windowed sum
-is wrong and a loop over one group's requests in one task does not scale when one group
-holds most of them. Instead all requests are bounded at once. What earlier requests may
-have taken lies between two running sums: undecided ones count fully in the one and not
-at all in the other. A request that fits even under the higher sum is accepted, one that
-does not fit even under the lower is rejected, the rest wait for the next round. The
-first undecided request of every resource chain has equal bounds, so each round decides
-some and the result is exactly the sequential one. Only undecided requests and the
-newly accepted ones among them go into the next round.
+Whether one request is accepted can hinge on every earlier one of its *component* (say a
+shop, when a request only touches that shop's products), so a single windowed sum is
+wrong. Components are independent. One of bounded size is simply replayed in a grouped
+pandas function. A larger one, which no task should hold, is narrowed down first: what
+earlier requests may have taken lies between two running sums, as undecided ones count
+fully in the one and not at all in the other. A request that fits even under the higher
+sum is accepted, one that does not fit even under the lower is rejected, the rest wait
+for the next round. The first undecided request has equal bounds, so every round decides
+some and the result is exactly the sequential one. As soon as what is left of a
+component is small enough, it is replayed too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,71 +30,137 @@ from ledgerloom.session import cut
 
 _OPEN, _ACCEPTED, _REJECTED = 0, 1, 2
 
+#: components with up to this many claims are replayed in one pandas group
+REPLAY_ROWS = 200_000
 
-def admit_in_order(claims: DataFrame, keys: Sequence[str], capacity: DataFrame) -> DataFrame:
+
+def _replay(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Decide one component's claims one after another."""
+    pdf = pdf.sort_values("seq", kind="stable")
+    resource = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+    seq, need = pdf["seq"].tolist(), pdf["need"].tolist()
+    has_need = pdf["need"].notna().tolist()
+    delta, status, eligible = pdf["delta"].tolist(), pdf["status"].tolist(), pdf["eligible"].tolist()
+    left = dict(zip(resource, pdf["left"].tolist()))
+    resource = resource.tolist()
+    accepted, available, short = [False] * len(seq), [0] * len(seq), [False] * len(seq)
+    start = 0
+    while start < len(seq):
+        end = start
+        while end < len(seq) and seq[end] == seq[start]:
+            end += 1
+        claims = range(start, end)
+        for i in claims:
+            available[i] = left[resource[i]]
+            short[i] = has_need[i] and need[i] > available[i]
+        won = status[start] == _ACCEPTED or (eligible[start] and not any(short[i] for i in claims))
+        for i in claims:
+            accepted[i] = won
+            if won:
+                left[resource[i]] -= delta[i]
+        start = end
+    return pdf.assign(accepted=accepted, available=available, short=short)[
+        ["seq", *keys, "accepted", "available", "short"]
+    ]
+
+
+def _bounding_round(work: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Judge open claims by the bounds on what earlier open requests take.
+
+    Requests accepted in the round before are folded into ``left`` and leave.
+    """
+    zero = F.lit(0).cast("bigint")
+    is_open, delta = F.col("status") == _OPEN, F.col("delta")
+    sums = running_total(
+        work, keys, [id_block("seq")], [F.col("seq")],
+        {
+            "_taken": F.when(~is_open, delta).otherwise(zero),
+            "_most": F.when(is_open, F.greatest(delta, zero)).otherwise(zero),
+            "_least": F.when(is_open, F.least(delta, zero)).otherwise(zero),
+        },
+    ).filter(is_open)
+    left = F.col("left") - F.col("_taken")
+    high = F.col("_most") - F.greatest(delta, zero)
+    low = F.col("_least") - F.least(delta, zero)
+    judged = sums.select(
+        *columns,
+        left.alias("left"),
+        F.coalesce(F.col("need") <= left - high, F.lit(True)).alias("_fits"),
+        F.coalesce(F.col("need") > left - low, F.lit(False)).alias("_fails"),
+    )
+    verdicts = judged.groupBy("seq").agg(F.min("_fits").alias("_all_fit"), F.max("_fails").alias("_any_fails"))
+    status = F.when(F.col("_any_fails"), _REJECTED).when(F.col("_all_fit"), _ACCEPTED).otherwise(_OPEN)
+    return judged.drop("_fits", "_fails").join(verdicts.select("seq", status.alias("status")), "seq")
+
+
+def admit_in_order(
+    claims: DataFrame,
+    keys: Sequence[str],
+    capacity: DataFrame,
+    component: Sequence[str],
+    replay_rows: int = REPLAY_ROWS,
+) -> DataFrame:
     """Decide all requests.
 
     ``claims``: one row per request and resource -- ``seq`` (BIGINT, one value per
     request), the resource ``keys``, ``need`` (NULL: no condition), ``delta``, and
     ``eligible`` (false: already refused on other grounds, takes nothing).
     ``capacity``: resource ``keys`` and ``capacity``; a missing resource has 0.
+    ``component``: those of the keys that all resources of a request share.
 
-    Returns the claims with ``accepted`` (of the whole request) and ``available`` (what
-    was left of the resource when the request came up).
+    Returns per claim ``accepted`` (of the whole request), ``available`` (what was left of
+    the resource when the request came up) and ``short`` (the need was above that).
     """
-    keys = list(keys)
+    keys, component = list(keys), list(component)
     zero = F.lit(0).cast("bigint")
-    columns = ["seq", *keys, "need", "delta"]
-    claims = claims.select(*columns, "eligible")
-    cap = capacity.select(*keys, F.col("capacity").cast("bigint"))
-    claims = cut(
-        claims.join(cap, keys, "left")
-        .withColumn("capacity", F.coalesce("capacity", zero))
-        .withColumn("need", F.col("need").cast("bigint"))
-        .withColumn("delta", F.col("delta").cast("bigint"))
+    columns = ["seq", *keys, "need", "delta", "eligible"]
+    types = dict(claims.dtypes)
+    decided_schema = ", ".join(
+        ["seq bigint", *[f"{k} {types[k]}" for k in keys], "accepted boolean", "available bigint", "short boolean"]
     )
 
-    # `left` is the capacity minus deltas of requests accepted in finished rounds.
-    work = claims.filter("eligible").select(*columns, F.col("capacity").alias("left"), F.lit(_OPEN).alias("status"))
-    decided = None
-    while True:
-        is_open, delta = F.col("status") == _OPEN, F.col("delta")
-        taken, most, least = (
-            F.when(~is_open, delta).otherwise(zero),
-            F.when(is_open, F.greatest(delta, zero)).otherwise(zero),
-            F.when(is_open, F.least(delta, zero)).otherwise(zero),
-        )
-        sums = running_total(
-            work, keys, [id_block("seq")], [F.col("seq")], {"_taken": taken, "_most": most, "_least": least}
-        ).filter(is_open)
-        left = F.col("left") - F.col("_taken")
-        high = F.col("_most") - F.greatest(delta, zero)
-        low = F.col("_least") - F.least(delta, zero)
-        judged = sums.select(
-            *columns,
-            left.alias("left"),
-            F.coalesce(F.col("need") <= left - high, F.lit(True)).alias("_fits"),
-            F.coalesce(F.col("need") > left - low, F.lit(False)).alias("_fails"),
+    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(components small enough to replay, the others)."""
+        sizes = df.groupBy(*component).agg(F.count("*").alias("_size"))
+        sized = df.join(sizes, component)
+        small = F.col("_size") <= replay_rows
+        return sized.filter(small).drop("_size"), sized.filter(~small).drop("_size")
+
+    def replay(df: DataFrame) -> DataFrame:
+        columns_in = ["seq", *keys, "need", "delta", "eligible", "left", "status"]
+        return df.select(*columns_in).groupBy(*component).applyInPandas(
+            lambda pdf: _replay(pdf, keys), decided_schema
         )
-        verdicts = judged.groupBy("seq").agg(F.min("_fits").alias("_all_fit"), F.max("_fails").alias("_any_fails"))
-        status = F.when(F.col("_any_fails"), _REJECTED).when(F.col("_all_fit"), _ACCEPTED).otherwise(_OPEN)
-        judged = cut(
-            judged.drop("_fits", "_fails")
-            .join(verdicts.select("seq", status.alias("status")), "seq")
-            .select(*columns, "left", "status")
+
+    claims = cut(
+        claims.select(
+            "seq", *keys, F.col("need").cast("bigint").alias("need"), F.col("delta").cast("bigint").alias("delta"), "eligible"
         )
-        won = judged.filter(F.col("status") == _ACCEPTED).select("seq").distinct()
-        decided = won if decided is None else decided.unionByName(won)
-        if judged.filter(F.col("status") == _OPEN).isEmpty():
-            break
-        work = judged.filter(F.col("status") != _REJECTED)
-
-    result = claims.join(decided.withColumn("accepted", F.lit(True)), "seq", "left").withColumn(
-        "accepted", F.coalesce("accepted", F.lit(False))
-    )
-    taken = F.when(F.col("accepted"), F.col("delta")).otherwise(zero)
-    result = running_total(result, keys, [id_block("seq")], [F.col("seq")], {"_taken": taken})
-    return result.select(
-        "seq", *keys, "need", "delta", "accepted",
-        (F.col("capacity") - (F.col("_taken") - taken)).alias("available"),
+        .join(capacity.select(*keys, F.col("capacity").cast("bigint").alias("left")), keys, "left")
+        .select(*columns, F.coalesce("left", zero).alias("left"), F.lit(_OPEN).alias("status"))
     )
+    small, large = split(claims)
+    done = replay(small)
+    if not large.isEmpty():
+        won = []
+        work = large.filter("eligible")
+        while True:
+            judged = cut(_bounding_round(work, keys, columns))
+            won.append(judged.filter(F.col("status") == _ACCEPTED).select("seq"))
+            if judged.filter(F.col("status") == _OPEN).isEmpty():
+                break
+            rest, work = split(judged.filter(F.col("status") != _REJECTED))
+            won.append(replay(rest).filter("accepted").select("seq"))
+            if work.filter(F.col("status") == _OPEN).isEmpty():
+                break
+        accepted = won[0]
+        for more in won[1:]:
+            accepted = accepted.unionByName(more)
+        accepted = accepted.distinct().withColumn("accepted", F.lit(True))
+        result = large.join(accepted, "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+        taken = F.when(F.col("accepted"), F.col("delta")).otherwise(zero)
+        result = running_total(result, keys, [id_block("seq")], [F.col("seq")], {"_taken": taken})
+        result = result.withColumn("available", F.col("left") - (F.col("_taken") - taken))
+        short = F.coalesce(F.col("need") > F.col("available"), F.lit(False))
+        done = done.unionByName(result.select("seq", *keys, "accepted", "available", short.alias("short")))
+    return done

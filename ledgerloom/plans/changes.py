@@ -255,7 +255,7 @@ def delete_receipt_lines(
     capacity = product_summary(t).select(
         "product_id", (F.col("in_qty") - F.col("out_qty") - 1).alias("capacity")
     )
-    verdict = admit_in_order(claims, ["product_id"], capacity).select("seq", "accepted")
+    verdict = admit_in_order(claims, ["product_id"], capacity, ["product_id"]).select("seq", "accepted")
     df = df.join(verdict, "seq", "left")
     reason = _first_reason(
         {
@@ -329,11 +329,12 @@ def edit_receipt_lines(
     by_product = by_depot.groupBy("product_id").agg(F.sum("capacity").alias("capacity")).select(
         "product_id", F.lit(-1).cast("bigint").alias("depot_id"), "capacity"
     )
-    judged = admit_in_order(claims, ["product_id", "depot_id"], by_depot.unionByName(by_product))
-    short = F.col("need") > F.col("available")
+    judged = admit_in_order(
+        claims, ["product_id", "depot_id"], by_depot.unionByName(by_product), ["product_id"]
+    )
     verdict = judged.groupBy("seq").agg(
         F.min("accepted").alias("accepted"),
-        F.max(F.coalesce(short & (F.col("depot_id") == -1), F.lit(False))).alias("short_product"),
+        F.max(F.col("short") & (F.col("depot_id") == -1)).alias("short_product"),
     )
     df = df.join(verdict, "seq", "left")
     reason = F.coalesce(
@@ -515,9 +516,11 @@ def edit_issue_lines(
     )
     claims = quantities.unionByName(enter).unionByName(leave).withColumn("eligible", F.lit(True))
     capacity = depots.withColumn("outid_id", header0).unionByName(room)
-    judged = admit_in_order(claims, ["outid_id", "old_product", "depot_id"], capacity)
-    short = F.coalesce((F.col("need") > F.col("available")) & (F.col("outid_id") == -1), F.lit(False))
-    verdict = judged.groupBy("seq").agg(F.min("accepted").alias("accepted"), F.max(short).alias("short"))
+    judged = admit_in_order(claims, ["outid_id", "old_product", "depot_id"], capacity, ["old_product"])
+    verdict = judged.groupBy("seq").agg(
+        F.min("accepted").alias("accepted"),
+        F.max(F.col("short") & (F.col("outid_id") == -1)).alias("short"),
+    )
     df = df.join(verdict, "seq", "left")
     reason = F.coalesce(
         F.col("static"),
@@ -626,7 +629,7 @@ def apply_new_orders(t: Mapping[str, DataFrame], docs: DataFrame) -> ChangeResul
         F.sum("qty").alias("need"), F.sum("qty").alias("delta"), F.min(F.col("bad_line").isNull()).alias("eligible")
     )
     capacity = stock.shop_product_stock(t).withColumnRenamed("stock", "capacity")
-    judged = cut(admit_in_order(claims, ["shop_id", "product_id"], capacity))
+    judged = cut(admit_in_order(claims, ["shop_id", "product_id"], capacity, ["shop_id"]))
     verdict = judged.groupBy("seq").agg(F.min("accepted").alias("accepted"))
 
     # Which line of a refused order ran out of stock first.
