@@ -7,8 +7,10 @@ what earlier accepted requests took, and otherwise takes nothing.
 
 Whether one request is accepted can hinge on every earlier one of its *component* (say a
 shop, when a request only touches that shop's products), so a single windowed sum is
-wrong. Components are independent. One of bounded size is simply replayed in a grouped
-pandas function. A larger one, which no task should hold, is narrowed down first: what
+wrong. Components are independent. One of bounded size is replayed row by row: Spark
+shuffles and sorts the claims, and a task streams through its components holding only
+the current one's taken quantities. A larger one, which would keep one task busy
+while the others wait, is narrowed down first: what
 earlier requests may have taken lies between two running sums, as undecided ones count
 fully in the one and not at all in the other. A request that fits even under the higher
 sum is accepted, one that does not fit even under the lower is rejected, the rest wait
@@ -19,9 +21,9 @@ component is small enough, it is replayed too.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,38 +32,52 @@ from ledgerloom.session import cut
 
 _OPEN, _ACCEPTED, _REJECTED = 0, 1, 2
 
-#: components with up to this many claims are replayed in one pandas group
-REPLAY_ROWS = 200_000
-
-
-def _replay(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Decide one component's claims one after another."""
-    pdf = pdf.sort_values("seq", kind="stable")
-    resource = pdf.groupby(keys, sort=False).ngroup().to_numpy()
-    seq, need = pdf["seq"].tolist(), pdf["need"].tolist()
-    has_need = pdf["need"].notna().tolist()
-    delta, status, eligible = pdf["delta"].tolist(), pdf["status"].tolist(), pdf["eligible"].tolist()
-    left = dict(zip(resource, pdf["left"].tolist()))
-    resource = resource.tolist()
-    accepted, available, short = [False] * len(seq), [0] * len(seq), [False] * len(seq)
-    start = 0
-    while start < len(seq):
-        end = start
-        while end < len(seq) and seq[end] == seq[start]:
-            end += 1
-        claims = range(start, end)
-        for i in claims:
-            available[i] = left[resource[i]]
-            short[i] = has_need[i] and need[i] > available[i]
-        won = status[start] == _ACCEPTED or (eligible[start] and not any(short[i] for i in claims))
-        for i in claims:
-            accepted[i] = won
+#: components with up to this many claims are replayed in one task
+REPLAY_ROWS = 1_000_000
+
+
+def _replay(batches: Iterator[pa.RecordBatch], keys: list[str], component: list[str]) -> Iterator[pa.RecordBatch]:
+    """Decide claims that arrive sorted by component and ``seq``."""
+    out: dict[str, list] = {c: [] for c in ["seq", *keys, "accepted", "available", "short"]}
+    taken: dict[tuple, int] = {}
+    current, request = None, []
+    schema = None
+
+    def decide() -> None:
+        # `left` already lacks what earlier rounds took before this very claim
+        available = [left - taken.get(key, 0) for _, key, left, *_ in request]
+        short = [need is not None and need > have for have, (*_, need, _, _, _) in zip(available, request)]
+        won = any(r[-1] == _ACCEPTED for r in request) or (all(r[-2] for r in request) and not any(short))
+        for (seq, key, _, _, delta, *_), have, lacks in zip(request, available, short):
             if won:
-                left[resource[i]] -= delta[i]
-        start = end
-    return pdf.assign(accepted=accepted, available=available, short=short)[
-        ["seq", *keys, "accepted", "available", "short"]
-    ]
+                taken[key] = taken.get(key, 0) + delta
+            for name, value in zip(out, (seq, *key, won, have, lacks)):
+                out[name].append(value)
+
+    for batch in batches:
+        schema = schema or pa.schema(
+            [batch.schema.field(c).with_nullable(True) for c in ("seq", *keys)]
+            + [("accepted", pa.bool_()), ("available", pa.int64()), ("short", pa.bool_())]
+        )
+        column = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        places = zip(*[column[c] for c in component])
+        claims = zip(
+            column["seq"], zip(*[column[k] for k in keys]),
+            *[column[c] for c in ("left", "need", "delta", "eligible", "status")],
+        )
+        for place, claim in zip(places, claims):
+            if current != (place, claim[0]):
+                decide()
+                request = []
+                if current is not None and current[0] != place:
+                    taken.clear()
+                current = (place, claim[0])
+            request.append(claim)
+        yield pa.RecordBatch.from_pydict(out, schema)
+        out = {c: [] for c in out}
+    if request:
+        decide()
+        yield pa.RecordBatch.from_pydict(out, schema)
 
 
 def _bounding_round(work: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -119,18 +135,14 @@ def admit_in_order(
         ["seq bigint", *[f"{k} {types[k]}" for k in keys], "accepted boolean", "available bigint", "short boolean"]
     )
 
-    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(components small enough to replay, the others)."""
+    def big_components(df: DataFrame) -> DataFrame:
         sizes = df.groupBy(*component).agg(F.count("*").alias("_size"))
-        sized = df.join(sizes, component)
-        small = F.col("_size") <= replay_rows
-        return sized.filter(small).drop("_size"), sized.filter(~small).drop("_size")
+        return cut(sizes.filter(F.col("_size") > replay_rows).select(*component))
 
     def replay(df: DataFrame) -> DataFrame:
-        columns_in = ["seq", *keys, "need", "delta", "eligible", "left", "status"]
-        return df.select(*columns_in).groupBy(*component).applyInPandas(
-            lambda pdf: _replay(pdf, keys), decided_schema
-        )
+        df = df.select("seq", *keys, "need", "delta", "eligible", "left", "status")
+        ordered = df.repartition(*component).sortWithinPartitions(*component, "seq")
+        return ordered.mapInArrow(lambda batches: _replay(batches, keys, component), decided_schema)
 
     claims = cut(
         claims.select(
@@ -139,28 +151,28 @@ def admit_in_order(
         .join(capacity.select(*keys, F.col("capacity").cast("bigint").alias("left")), keys, "left")
         .select(*columns, F.coalesce("left", zero).alias("left"), F.lit(_OPEN).alias("status"))
     )
-    small, large = split(claims)
-    done = replay(small)
-    if not large.isEmpty():
-        won = []
-        work = large.filter("eligible")
-        while True:
-            judged = cut(_bounding_round(work, keys, columns))
-            won.append(judged.filter(F.col("status") == _ACCEPTED).select("seq"))
-            if judged.filter(F.col("status") == _OPEN).isEmpty():
-                break
-            rest, work = split(judged.filter(F.col("status") != _REJECTED))
-            won.append(replay(rest).filter("accepted").select("seq"))
-            if work.filter(F.col("status") == _OPEN).isEmpty():
-                break
-        accepted = won[0]
-        for more in won[1:]:
-            accepted = accepted.unionByName(more)
-        accepted = accepted.distinct().withColumn("accepted", F.lit(True))
-        result = large.join(accepted, "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-        taken = F.when(F.col("accepted"), F.col("delta")).otherwise(zero)
-        result = running_total(result, keys, [id_block("seq")], [F.col("seq")], {"_taken": taken})
-        result = result.withColumn("available", F.col("left") - (F.col("_taken") - taken))
-        short = F.coalesce(F.col("need") > F.col("available"), F.lit(False))
-        done = done.unionByName(result.select("seq", *keys, "accepted", "available", short.alias("short")))
-    return done
+    big = big_components(claims)
+    if big.isEmpty():
+        return replay(claims)
+    done = replay(claims.join(big, component, "left_anti"))
+    large = claims.join(big, component, "left_semi")
+    won = []
+    work = large.filter("eligible")
+    while not work.filter(F.col("status") == _OPEN).isEmpty():
+        judged = cut(_bounding_round(work, keys, columns))
+        won.append(judged.filter(F.col("status") == _ACCEPTED).select("seq"))
+        rest = judged.filter(F.col("status") != _REJECTED)
+        big = big_components(rest)
+        won.append(replay(rest.join(big, component, "left_anti")).filter("accepted").select("seq"))
+        work = rest.join(big, component, "left_semi")
+
+    accepted = large.select("seq").limit(0)
+    for part in won:
+        accepted = accepted.unionByName(part)
+    accepted = accepted.distinct().withColumn("accepted", F.lit(True))
+    result = large.join(accepted, "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    taken = F.when(F.col("accepted"), F.col("delta")).otherwise(zero)
+    result = running_total(result, keys, [id_block("seq")], [F.col("seq")], {"_taken": taken})
+    result = result.withColumn("available", F.col("left") - (F.col("_taken") - taken))
+    short = F.coalesce(F.col("need") > F.col("available"), F.lit(False))
+    return done.unionByName(result.select("seq", *keys, "accepted", "available", short.alias("short")))
