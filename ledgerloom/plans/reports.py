@@ -82,15 +82,15 @@ def stock_report(t: Tables, container: str = "shop", container_id: int | None =
     positions = stock.shop_product_stock(t) if container == "shop" else stock.depot_product_stock(t)
     if container_id is not None:
         positions = positions.filter(F.col(key) == container_id)
-    products = t["products"].filter(visible()).select(
-        F.col("id").alias("product_id"), "name", "barcode", "size", "hidden"
-    )
-    df = positions.join(products, "product_id").join(
-        product_summary(t).select("product_id", F.col("on_hand").alias("depot_stock")), "product_id"
-    )
+    # Number the narrow rows first; names and sums do not change which rows there are.
+    listed = t["products"].filter(visible()).select(F.col("id").alias("product_id"))
+    df = positions.join(listed, "product_id", "left_semi")
     df = number_rows(
         df, [F.col("product_id").desc()], [-id_block("product_id")], keys=[key], name="no", start=2
     )
+    products = t["products"].select(F.col("id").alias("product_id"), "name", "barcode", "size", "hidden")
+    on_hand = product_summary(t).select("product_id", F.col("on_hand").alias("depot_stock"))
+    df = df.join(products, "product_id").join(on_hand, "product_id")
     return df.select(
         key, "no", "product_id", "name", "barcode", "size", "stock", "depot_stock",
         status_label(F.col("hidden")).alias("status"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: table name -> schema as DDL text
 DDL: dict[str, str] = {
@@ -80,9 +79,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     Columns the input lacks become typed nulls, so partial extracts load too.
     """
     have = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
+            f"cast({f'`{name}`' if name in have else 'null'} as {kind}) as `{name}`"
             for name, kind in TABLES[table].items()
         ]
     )

@@ -17,6 +17,11 @@ SQL_SETTINGS = {
 }
 
 
+#: Settings fixed when a session starts. Recording a call site for every Column costs
+#: more than planning when a query has hundreds of expressions.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to a session somebody else created."""
     for key, value in SQL_SETTINGS.items():
@@ -28,7 +33,7 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **conf}.items():
+    for key, value in {**SQL_SETTINGS, **START_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -40,7 +40,7 @@ class Tables(Mapping[str, DataFrame]):
 
 def scan_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Full scan of one table under its declared schema (no inference)."""
-    return conform(spark.read.schema(DDL[table]).parquet(f"{path}/{table}"), table)
+    return spark.read.schema(DDL[table]).parquet(f"{path}/{table}")
 
 
 def scan_pruned(df: DataFrame, *columns: str) -> DataFrame:

@@ -11,10 +11,8 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.dates import iso_moment
 from ledgerloom.session import tune
 from ledgerloom.sources.sample import HEAD_OFFICE, sample_tables
 from ledgerloom.sources.tables import Tables
@@ -194,18 +192,18 @@ def plain(df: DataFrame) -> DataFrame:
     """Money as BIGINT cents (``x`` -> ``x_cents``), dates and times as text."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        name = f"`{f.name}`"
         if isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 2:
-            out.append((c * 100).cast("bigint").alias(f"{f.name}_cents"))
+            out.append(f"cast({name} * 100 as bigint) as {f.name}_cents")
         elif isinstance(f.dataType, T.DateType):
-            out.append(c.cast("string").alias(f.name))
+            out.append(f"cast({name} as string) as {name}")
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-            out.append(iso_moment(c).alias(f.name))
+            out.append(f"date_format({name}, 'yyyy-MM-dd HH:mm:ss') as {name}")
         elif isinstance(f.dataType, T.ArrayType):
-            out.append(F.array_join(c.cast("array<string>"), ",").alias(f.name))
+            out.append(f"array_join(cast({name} as array<string>), ',') as {name}")
         else:
-            out.append(c)
-    return df.select(*out)
+            out.append(name)
+    return df.selectExpr(*out)
 
 
 def query(name: str, needs: str = "", body: str | None = None):
