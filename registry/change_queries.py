@@ -276,7 +276,41 @@ def issue_edits(t):
     )
 
 
-query("edit_issue_lines")(
+# State per product: the stock of depots 0..4 and the product's issue lines as they stand.
+_MOVE = ", ".join(
+    f"s[{i + 1}] + case when r.d0 = {i} then q0 else 0 end - case when r.d1 = {i} then r.q1 else 0 end" for i in range(5)
+)
+query(
+    "edit_issue_lines", "i_outdetail i_outstream v_in v_out i_products",
+    """
+with recursive req as materialized (
+  select l.id, l.outid_id as o, l.product_id, l.quantity as q0, l.quantity * 2 as q1, l.depot_id as d0,
+    case when l.quantity < 20 then (l.depot_id + 1) % 5 else l.depot_id end as d1, not h.hidden as counts,
+    row_number() over (partition by l.product_id order by l.id) as k
+  from i_outdetail l join i_outstream h on h.id = l.outid_id where l.quantity > 0),
+net as (select product_id, depot_id, sum(i) - sum(o) as q, sum(n) > 0 as live from (
+  select product_id, depot_id, quantity as i, 0 as o, 1 as n from v_in
+  union all select product_id, depot_id, 0, quantity, 0 from v_out) group by 1, 2),
+own as (select product_id, list({'id': id, 'o': outid_id, 'd': depot_id, 'q': quantity}) as ls from i_outdetail group by 1),
+start as materialized (select p.id as product_id, [@S] as s, [@L] as live, any_value(ls) as ls
+  from i_products p join own on own.product_id = p.id left join net on net.product_id = p.id group by 1),
+walk as (
+  select cast(-1 as bigint) as id, product_id, cast(0 as bigint) as k, false as ok, s, live, ls,
+    cast(0 as bigint) as q1, cast(0 as bigint) as d1 from start
+  union all
+  select r.id, r.product_id, r.k, n.ok, case when n.ok and counts then [@MOVE] else s end, live,
+    case when n.ok then list_transform(ls, lambda x: case when x.id = r.id then {'id': x.id, 'o': x.o, 'd': r.d1, 'q': r.q1}
+      else x end) else ls end, r.q1, r.d1
+  from walk w join req r on r.product_id = w.product_id and r.k = w.k + 1,
+  lateral (select r.q1 <= case when live[r.d1 + 1] then s[r.d1 + 1] else 0 end + q0
+    and len(list_filter(ls, lambda x: x.id <> r.id and x.o = r.o and x.d = r.d1 and x.q > 0)) = 0 as ok) n)
+select l.id, coalesce(w.q1, l.quantity) as quantity, coalesce(w.d1, l.depot_id) as depot_id
+from i_outdetail l left join walk w on w.id = l.id and w.ok
+"""
+    .replace("@S", ", ".join(f"cast(coalesce(sum(case when depot_id = {i} then q end), 0) as bigint)" for i in range(5)))
+    .replace("@L", ", ".join(f"coalesce(bool_or(depot_id = {i} and live), false)" for i in range(5)))
+    .replace("@MOVE", _MOVE),
+)(
     lambda t: J.edit_issue_lines(t, issue_edits(t), as_of=AS_OF).tables["outdetail"].select(
         "id", F.col("quantity").cast("bigint").alias("quantity"), "depot_id"
     )

@@ -37,6 +37,7 @@ def compare(spark, con, sf_dir, run, sql, counts: dict | None = None) -> str | N
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if counts is not None:
         counts["rows"] = sum(got.values())
+        counts["plan"] = df._jdf.queryExecution().executedPlan().toString()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     if sorted(names) != sorted(df.columns):
