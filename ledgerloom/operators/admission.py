@@ -137,7 +137,7 @@ def admit_in_order(
 
     def big_components(df: DataFrame) -> DataFrame:
         sizes = df.groupBy(*component).agg(F.count("*").alias("_size"))
-        return cut(sizes.filter(F.col("_size") > replay_rows).select(*component))
+        return sizes.filter(F.col("_size") > replay_rows).select(*component)
 
     def replay(df: DataFrame) -> DataFrame:
         df = df.select("seq", *keys, "need", "delta", "eligible", "left", "status")
@@ -154,6 +154,7 @@ def admit_in_order(
     big = big_components(claims)
     if big.isEmpty():
         return replay(claims)
+    big = cut(big)
     done = replay(claims.join(big, component, "left_anti"))
     large = claims.join(big, component, "left_semi")
     won = []
@@ -162,7 +163,7 @@ def admit_in_order(
         judged = cut(_bounding_round(work, keys, columns))
         won.append(judged.filter(F.col("status") == _ACCEPTED).select("seq"))
         rest = judged.filter(F.col("status") != _REJECTED)
-        big = big_components(rest)
+        big = cut(big_components(rest))
         won.append(replay(rest.join(big, component, "left_anti")).filter("accepted").select("seq"))
         work = rest.join(big, component, "left_semi")
 

@@ -246,6 +246,7 @@ def delete_receipt_lines(
     df = _repeated(changes.select("seq", "id"), "id").join(
         lines, F.col("id") == F.col("line_id"), "left"
     )
+    df = cut(df)
     eligible = F.col("line_id").isNotNull() & ~F.col("repeated")
     claims = df.filter(F.col("line_id").isNotNull()).select(
         "seq", "product_id", F.col("old_qty").alias("need"),
@@ -677,11 +678,11 @@ def apply_order_edits(t: Mapping[str, DataFrame], docs: DataFrame, *, as_of: dat
     heads = docs.withColumn("_oid", F.col("id").try_cast("bigint")).join(
         known, F.col("_oid") == F.col("order_id"), "left"
     )
-    heads = _repeated(heads, "order_id")
+    heads = cut(_repeated(heads, "order_id"))
     hide = F.col("hidden") == "1"
     bad_id = ~F.col("id").rlike(K.RE_ID)
     field_error = _first_reason({n: r for n, r in quality.order_edit_rules(as_of).items() if n != "id"})
-    lines = _doc_lines(t, heads, "order_id")
+    lines = cut(_doc_lines(t, heads, "order_id"))
     bad = lines.filter(F.col("line_error").isNotNull()).groupBy("seq").agg(
         F.min("line_no").alias("line_no"), F.min_by("line_error", "line_no").alias("bad_error")
     )
