@@ -244,9 +244,9 @@ union all select id, outid_id, product_id, quantity, depot_id from i_outdetail
 
 
 def issue_adds(t):
-    """Every sold quantity issued once more, from depot 0."""
+    """Every sold quantity handed back, to a depot chosen by product."""
     return t["sellorderdetail"].select(
-        F.col("id").alias("seq"), F.col("oid_id").alias("outid_id"), "product_id", F.lit(0).cast("bigint").alias("depot_id"),
+        F.col("id").alias("seq"), F.col("oid_id").alias("outid_id"), "product_id", (F.col("product_id") % 5).alias("depot_id"),
         F.col("quantity").cast("string").alias("quantity"),
     )
 
