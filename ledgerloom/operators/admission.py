@@ -21,7 +21,7 @@ component is small enough, it is replayed too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,48 +36,56 @@ _OPEN, _ACCEPTED, _REJECTED = 0, 1, 2
 REPLAY_ROWS = 1_000_000
 
 
-def _replay(batches: Iterator[pa.RecordBatch], keys: list[str], component: list[str]) -> Iterator[pa.RecordBatch]:
-    """Decide claims that arrive sorted by component and ``seq``."""
-    out: dict[str, list] = {c: [] for c in ["seq", *keys, "accepted", "available", "short"]}
-    taken: dict[tuple, int] = {}
-    current, request = None, []
-    schema = None
-
-    def decide() -> None:
-        # `left` already lacks what earlier rounds took before this very claim
-        available = [left - taken.get(key, 0) for _, key, left, *_ in request]
-        short = [need is not None and need > have for have, (*_, need, _, _, _) in zip(available, request)]
-        won = any(r[-1] == _ACCEPTED for r in request) or (all(r[-2] for r in request) and not any(short))
-        for (seq, key, _, _, delta, *_), have, lacks in zip(request, available, short):
-            if won:
-                taken[key] = taken.get(key, 0) + delta
-            for name, value in zip(out, (seq, *key, won, have, lacks)):
-                out[name].append(value)
-
-    for batch in batches:
-        schema = schema or pa.schema(
-            [batch.schema.field(c).with_nullable(True) for c in ("seq", *keys)]
-            + [("accepted", pa.bool_()), ("available", pa.int64()), ("short", pa.bool_())]
-        )
-        column = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-        places = zip(*[column[c] for c in component])
-        claims = zip(
-            column["seq"], zip(*[column[k] for k in keys]),
-            *[column[c] for c in ("left", "need", "delta", "eligible", "status")],
-        )
-        for place, claim in zip(places, claims):
-            if current != (place, claim[0]):
-                decide()
-                request = []
-                if current is not None and current[0] != place:
-                    taken.clear()
-                current = (place, claim[0])
-            request.append(claim)
-        yield pa.RecordBatch.from_pydict(out, schema)
-        out = {c: [] for c in out}
-    if request:
-        decide()
-        yield pa.RecordBatch.from_pydict(out, schema)
+def _replay(keys: list[str], component: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function deciding claims that arrive sorted by component and ``seq``.
+
+    It is built as a closure, so it travels to the executors by value.
+    """
+    accepted_status = _ACCEPTED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {c: [] for c in ["seq", *keys, "accepted", "available", "short"]}
+        taken: dict[tuple, int] = {}
+        current, request = None, []
+        schema = None
+
+        def decide() -> None:
+            # `left` already lacks what earlier rounds took before this very claim
+            available = [left - taken.get(key, 0) for _, key, left, *_ in request]
+            short = [need is not None and need > have for have, (*_, need, _, _, _) in zip(available, request)]
+            won = any(r[-1] == accepted_status for r in request) or (all(r[-2] for r in request) and not any(short))
+            for (seq, key, _, _, delta, *_), have, lacks in zip(request, available, short):
+                if won:
+                    taken[key] = taken.get(key, 0) + delta
+                for name, value in zip(out, (seq, *key, won, have, lacks)):
+                    out[name].append(value)
+
+        for batch in batches:
+            schema = schema or pa.schema(
+                [batch.schema.field(c).with_nullable(True) for c in ("seq", *keys)]
+                + [("accepted", pa.bool_()), ("available", pa.int64()), ("short", pa.bool_())]
+            )
+            column = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            places = zip(*[column[c] for c in component])
+            claims = zip(
+                column["seq"], zip(*[column[k] for k in keys]),
+                *[column[c] for c in ("left", "need", "delta", "eligible", "status")],
+            )
+            for place, claim in zip(places, claims):
+                if current != (place, claim[0]):
+                    decide()
+                    request = []
+                    if current is not None and current[0] != place:
+                        taken.clear()
+                    current = (place, claim[0])
+                request.append(claim)
+            yield pa.RecordBatch.from_pydict(out, schema)
+            out = {c: [] for c in out}
+        if request:
+            decide()
+            yield pa.RecordBatch.from_pydict(out, schema)
+
+    return run
 
 
 def _bounding_round(work: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -142,7 +150,7 @@ def admit_in_order(
     def replay(df: DataFrame) -> DataFrame:
         df = df.select("seq", *keys, "need", "delta", "eligible", "left", "status")
         ordered = df.repartition(*component).sortWithinPartitions(*component, "seq")
-        return ordered.mapInArrow(lambda batches: _replay(batches, keys, component), decided_schema)
+        return ordered.mapInArrow(_replay(keys, component), decided_schema)
 
     claims = cut(
         claims.select(

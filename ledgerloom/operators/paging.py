@@ -13,16 +13,28 @@ from ledgerloom.operators.running import number_rows
 #: pages starting beyond this many rows are found by row number, not by a top-k heap
 SHALLOW_ROWS = 100_000
 
+#: largest k for which Spark limits a ranking window before its shuffle
+RANKED_ROWS = 1000
+
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """First ``k`` rows. ``order`` must end in a unique key."""
     return df.orderBy(*order).limit(k)
 
 
-def top_k_per(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFrame:
-    """First ``k`` rows per key; Spark keeps ``k`` per task before it shuffles."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+def top_k_per(
+    df: DataFrame, keys: Sequence[str], k: int, *order: Column, levels: Sequence[Column] | None = None
+) -> DataFrame:
+    """First ``k`` rows per key.
+
+    Up to ``RANKED_ROWS`` Spark keeps ``k`` rows per key and task before it shuffles. A
+    longer list is cut by row number over ``levels``, so that no key is sorted whole.
+    """
+    if k <= RANKED_ROWS or levels is None:
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        ranked = number_rows(df, order, levels, keys=keys, name="_rank")
+    return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
 def clean_page(page: int | str | None) -> int:

@@ -109,7 +109,8 @@ def sellable_products(t: Tables, q: str = "", limit: int | None = None, shop_id:
     )
     if limit is None:
         return df
-    return top_k_per(df, ["shop_id"], limit, F.col("stock").desc(), F.col("product_id"))
+    levels = [-F.shiftright("stock", 10), -F.col("stock"), id_block("product_id")]
+    return top_k_per(df, ["shop_id"], limit, F.col("stock").desc(), F.col("product_id"), levels=levels)
 
 
 def returnable_products(t: Tables, q: str = "%", shop_id: int | None = None, limit: int | None = None) -> DataFrame:

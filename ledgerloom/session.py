@@ -18,8 +18,12 @@ SQL_SETTINGS = {
 
 
 #: Settings fixed when a session starts. Recording a call site for every Column costs
-#: more than planning when a query has hundreds of expressions.
-START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+#: more than planning when a query has hundreds of expressions; checkpoints nothing
+#: refers to any more are deleted.
+START_SETTINGS = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -126,3 +126,35 @@ def test_sets(spark):
     assert sorted(r.id for r in sets.ids_kept(old, new).collect()) == [3, 4]
     assert sorted(r.id for r in sets.ids_removed(old, new).collect()) == [0, 1, 2]
     assert sorted(r.id for r in sets.ids_added(old, new).collect()) == [5, 6, 7]
+
+
+@pytest.mark.parametrize("ranked_rows", [1000, 0])
+def test_top_k_per(spark, monkeypatch, ranked_rows):
+    monkeypatch.setattr(paging, "RANKED_ROWS", ranked_rows)
+    df = spark.range(300).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 7).alias("v"))
+    top = paging.top_k_per(df, ["k"], 5, F.col("v").desc(), F.col("id"), levels=[-F.col("v"), id_block("id", 4)])
+    if ranked_rows:
+        assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for k in range(3):
+        want |= {i for _, i in sorted((-(i % 7), i) for i in range(300) if i % 3 == k)[:5]}
+    assert {r.id for r in top.collect()} == want
+
+
+def test_roles(spark):
+    from ledgerloom.functions import predicates
+    from ledgerloom.plans.catalog import is_duplicate
+
+    assert predicates.dashboard_days(6, 60) == 60 and predicates.dashboard_days(5, 500) == 500
+    assert predicates.dashboard_days(6, 120, wide=True) == 120
+    for days, wide in ((61, False), (121, True)):
+        with pytest.raises(ValueError):
+            predicates.dashboard_days(6, days, wide)
+    assert predicates.sees_depots(4) and not predicates.sees_depots(5)
+    orders = spark.createDataFrame([(1,), (2,)], "shop_id bigint")
+    shops = lambda test: {r.shop_id for r in orders.filter(test).collect()}
+    assert shops(predicates.orders_in_scope(4, 1)) == {1, 2} and shops(predicates.orders_in_scope(5, 1)) == {1}
+    assert shops(predicates.orders_in_scope(6, 1, requested=2)) == {2}
+    assert [shops(predicates.editable_orders(level, 1)) for level in (2, 3, 5, 6)] == [{1}, set(), {1}, set()]
+    counts = spark.createDataFrame([(0,), (1,), (2,)], "c int")
+    assert [r.d for r in counts.select(is_duplicate(F.col("c"), editing=True).alias("d")).collect()] == [False, False, True]
