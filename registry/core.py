@@ -45,10 +45,10 @@ _CTE = {
         [],
     ),
     "hdr": (
-        "select *, c_nationkey as shop_id from orders join customer on o_custkey = c_custkey", []
+        "select *, cast(c_nationkey as bigint) as shop_id from orders join customer on o_custkey = c_custkey", []
     ),
-    "i_shop": ("select n_nationkey as id, n_name as name from nation", []),
-    "i_depot": ("select r_regionkey as id, r_name as name, r_regionkey = 4 as hidden from region", []),
+    "i_shop": ("select cast(n_nationkey as bigint) as id, n_name as name from nation", []),
+    "i_depot": ("select cast(r_regionkey as bigint) as id, r_name as name, r_regionkey = 4 as hidden from region", []),
     "i_category": (
         f"select distinct {_ROOT} as id, p_brand as name, cast(null as bigint) as pid_id, false as hidden from part "
         f"union all select distinct {_ROOT} * 100 + {_LEAF}, p_type, {_ROOT}, "
@@ -65,13 +65,13 @@ _CTE = {
     ),
     "i_staff": (
         "select s_suppkey as id, s_name as name, case when s_acctbal < 5000 then 'F' else 'M' end as sex, "
-        "s_acctbal < 2500 as marital, s_nationkey as shop_id, "
+        "s_acctbal < 2500 as marital, cast(s_nationkey as bigint) as shop_id, "
         "case when s_suppkey % 10 = 0 then 99 else s_suppkey % 10 end as level from supplier",
         [],
     ),
     "i_customer": (
         "select c_custkey as id, c_name as name, case when c_custkey % 23 <> 0 then c_mktsegment end as code, "
-        "c_nationkey as shop_id, cast(13500000000 + c_custkey as varchar) as telephone, "
+        "cast(c_nationkey as bigint) as shop_id, cast(13500000000 + c_custkey as varchar) as telephone, "
         "c_custkey % 19 = 0 as hidden from customer",
         [],
     ),
@@ -116,7 +116,7 @@ _CTE = {
         [],
     ),
     "i_posts": (
-        "select r_regionkey as id, r_name as title, r_name as note, date '2001-08-01' as date, "
+        "select cast(r_regionkey as bigint) as id, r_name as title, r_name as note, date '2001-08-01' as date, "
         "r_regionkey = 2 as hidden from region",
         [],
     ),
@@ -189,12 +189,14 @@ def sql(body: str, *needs: str) -> str:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Money as BIGINT cents (``x`` -> ``x_cents``), dates and times as text."""
+    """Money as BIGINT cents (``x`` -> ``x_cents``), integers BIGINT, dates and times as text."""
     out = []
     for f in df.schema.fields:
         name = f"`{f.name}`"
         if isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 2:
             out.append(f"cast({name} * 100 as bigint) as {f.name}_cents")
+        elif isinstance(f.dataType, (T.ShortType, T.IntegerType)):
+            out.append(f"cast({name} as bigint) as {name}")
         elif isinstance(f.dataType, T.DateType):
             out.append(f"cast({name} as string) as {name}")
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):

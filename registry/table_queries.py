@@ -248,7 +248,7 @@ union all select id, 0, coalesce(size, '0') from i_products
     .select("id", F.coalesce("discount", F.lit(0)).cast("decimal(8,2)").alias("amount"), F.lit("").alias("size"))
     .unionByName(t["products"].select("id", F.lit(0).cast("decimal(8,2)").alias("amount"), F.coalesce("size", F.lit("0")).alias("size")))
 )
-query("const_column", "i_outdetail", "select id, quantity, 0 as squantity from i_outdetail")(
+query("const_column", "i_outdetail", "select id, quantity, cast(0 as bigint) as squantity from i_outdetail")(
     lambda t: t["outdetail"].select("id", "quantity", F.lit(0).alias("squantity"))
 )
 
