@@ -432,9 +432,9 @@ def add_issue_lines(t: Mapping[str, DataFrame], changes: DataFrame, *, returned:
     return ChangeResult(_as_tables(t).replaced(outdetail=new), bad.select("seq", "reason"), added=added)
 
 
-def _issue_line_state(t: Mapping[str, DataFrame], returned: bool | None = None) -> DataFrame:
-    heads = t["outstream"]
-    heads = heads.select(F.col("id").alias("outid_id"), visible().alias("counts"))
+def _issue_line_state(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Current issue lines with the visibility of their header."""
+    heads = t["outstream"].select(F.col("id").alias("outid_id"), visible().alias("counts"))
     return t["outdetail"].select(
         F.col("id").alias("line_id"), "outid_id", F.col("product_id").alias("old_product"),
         F.col("depot_id").alias("old_depot"), F.col("quantity").cast("bigint").alias("old_qty"),

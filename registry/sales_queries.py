@@ -141,7 +141,6 @@ from m join i_sellorderdetail l on l.oid_id = m.id left join i_shop s on s.id =
 left join i_products p on p.id = l.product_id left join i_category c on c.id = p.category_id)
 """
 _REPORT_NEEDS = "totals i_sellorderdetail i_shop i_products i_category"
-_DEC = "cast(cast({c} as decimal(20,0)) / 100 as decimal(20,2))"
 
 
 def dec(cents: str) -> str:

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerloom.operators.admission import admit_in_order
 
@@ -68,4 +67,3 @@ def test_blocks_of_seq(spark):
     claims = [(s << 21, 0, 0, 3, 3, True) for s in range(8)]
     got = run(spark, claims, {(0, 0): 14}, replay_rows=0)
     assert [got[s << 21, 0, 0][0] for s in range(8)] == [True] * 4 + [False] * 4
-    assert F is not None
