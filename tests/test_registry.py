@@ -3,9 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from registry.core import ORACLE, QUERIES
 from tests.compare import compare, connect
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +24,7 @@ def test_matches_sql(spark, con, sf_dir, name):
 
 def test_every_query_has_sql():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
