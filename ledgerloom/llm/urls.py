@@ -66,6 +66,25 @@ http://track-visits.example/ads/31
 https://adult-dating.example/en/901
 http://pills-store.example/en/55
 http://casino-games.example/de/10
+https://www.win-casino.example/en/7781.html
+http://blog.casino-bonus.example/fr/40/
+http://m.slots-casino.example/es/312?page=2&ref=x
+https://www.cheap-meds.example/en/66021
+http://blog.buy-pills.example/de/9#top
+https://m.cheap-viagra.example/fr/1209.html
+http://free-spins.example/en/88
+https://www.free-poker.example/es/12003/
+http://blog.live-bets.example/en/451?utm_source=feed
+https://m.web-track.example/en/7
+http://www.ads-click.example/de/5102.html
+https://click-ads.example/fr/64
+http://www.adult-video.example/en/3390
+https://blog.xxx-adult.example/es/18/
+http://m.porn-x.example/en/720.html
+http://www.spam-links.example/en/5
+https://spam-mail.example/de/2281#top
+http://blog.content-farm.example/en/39100
+https://m.click-farm.example/fr/6/
 """.split()
 _ALLOWED = """
 https://docs.library.example/en/guide/install.html
@@ -187,7 +206,7 @@ def fit(labelled: DataFrame) -> PipelineModel:
         F.col("label").cast("double").alias("label"), grams(host_of(F.col("url")), path_of(F.col("url"))).alias("_grams")
     )
     learner = LogisticRegression(
-        featuresCol="_features", labelCol="label", regParam=0.002, maxIter=60, standardization=False,
+        featuresCol="_features", labelCol="label", regParam=0.01, maxIter=60, standardization=False,
         rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
     )
     model = learner.fit(hashing.transform(rows).coalesce(1))
