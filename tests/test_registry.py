@@ -7,7 +7,6 @@ from registry.core import ORACLE, QUERIES
 from tests.compare import compare, connect
 
 
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
