@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import urls
+from ledgerloom.llm import chat, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +30,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_register("op3_url_filter")
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.fit(urls.labelled_urls(spark)))
+
+
+@_register(
+    "op1_chat_format",
+    r"""
+    with turns as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+      union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    )
+    select conv_id, count(*)::bigint as n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+      coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+      sum(length(role) + length(text) + 14 + len(regexp_extract_all(text, '[#<]\\*(?:## |/turn>)')))::bigint as formatted_chars
+    from turns group by conv_id
+    """,
+)
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    done = chat.format_conversations(rows).select(
+        "conv_id", "formatted", chat.parse(F.col("formatted")).alias("read"),
+        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("learnt"),
+    )
+    whole = F.array_join(F.transform("read", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
