@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, licenses, packing, pieces, toxicity, urls
+from ledgerloom.llm import ann, chat, hamming, licenses, packing, pieces, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,30 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_register("op7_nearest")
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@_register(
+    "op9_nearest_codes",
+    """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: case when x > 0 then 1.0::double else 0.0 end) as code
+      from embeddings
+      where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    p as (
+      select q.vec_id as query_id, r.vec_id, round(pow(list_distance(q.code, r.code), 2))::bigint as distance
+      from v q join v r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id
+    )
+    select query_id, rank::int as rank, vec_id, distance
+    from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from p)
+    where rank <= 20
+    """,
+)
+def op9_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest_codes(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 20)
