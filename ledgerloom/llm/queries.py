@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, chat, hamming, licenses, packing, pieces, toxicity, urls
+from ledgerloom.llm import ann, chat, hamming, licenses, neardup, packing, pieces, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +118,8 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest_codes(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 20)
+
+
+@_register("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
