@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, chat, hamming, licenses, neardup, packing, pieces, toxicity, urls
+from ledgerloom.llm import ann, chat, hamming, licenses, neardup, packing, pieces, pii, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +123,21 @@ def op9_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op4_near_duplicates")
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+@_register("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+
+    terms = F.transform("terms", lambda t: F.concat_ws(":", F.lit(pii.TERM), t["start"], t["end"]))
+    return found.select(
+        "doc_id", *map(_count_of, pii.KINDS), F.sha2(F.array_join(listed(F.col("base")), ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(listed(F.col("base")), terms), ",").alias("spans"),
+    )
+
+
+def _count_of(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
