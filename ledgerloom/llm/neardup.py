@@ -273,4 +273,15 @@ def near_duplicates(
     )
 
 
+def keep_first(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, at_least: int = AT_LEAST, of: int = OF
+) -> DataFrame:
+    """The documents whose id is the smallest of their group, with all of their columns.
+
+    Only ids that go are joined, and a document with a null id stays. Rows repeated under a kept id stay.
+    """
+    gone = near_duplicates(docs, shingle_words, at_least, of).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
 by_value(__name__)
