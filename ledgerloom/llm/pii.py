@@ -193,14 +193,16 @@ def find(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with base spans and removed terms replaced by their kind, generalised terms by what they are."""
-    found = find(docs).filter("size(base) > 0").select("_key", "base", "terms").dropDuplicates(["_key"])
+    found = find(docs).filter("size(base) > 0").dropDuplicates(["_key"])
+    found = found.select(F.col("_key").alias("_pii_key"), F.col("base").alias("_pii_base"), F.col("terms").alias("_pii_terms"))
     text = F.col("text")
-    term = F.transform(
-        "terms", lambda t: F.struct(F.when(t["action"] == "remove", "TERM").otherwise("WORD").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
+    terms = F.transform(
+        "_pii_terms",
+        lambda t: F.struct(F.when(t["action"] == "remove", "TERM").otherwise("WORD").alias("kind"), t["start"].alias("start"), t["end"].alias("end")),
     )
-    spans = F.transform("base", lambda s: F.struct(F.upper(s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    keyed = docs.withColumn("_pii_key", _row_key()).join(found.withColumnRenamed("_key", "_pii_key"), "_pii_key", "left")
-    keyed = keyed.withColumn("_pii_spans", F.when(F.col("base").isNotNull(), _merged(F.concat(spans, term))))
+    base = F.transform("_pii_base", lambda s: F.struct(F.upper(s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    keyed = docs.withColumn("_pii_key", _row_key()).join(found, "_pii_key", "left")
+    keyed = keyed.withColumn("_pii_spans", F.when(F.col("_pii_base").isNotNull(), _merged(F.concat(base, terms))))
 
     def written(s: Column, i: Column) -> Column:
         before = F.when(i > 0, F.element_at("_pii_spans", F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))
