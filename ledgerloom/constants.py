@@ -24,10 +24,12 @@ STOCK_REPORT_HEADER = ["编号", "名称", "条码", "尺寸", "当前库存", "
 DISCOUNT_TOTAL = "折扣总额"
 PAID_TOTAL = "实收"
 
-# Fixed values -- audit wording.
-AUDIT_EDIT = "修改"
-AUDIT_DELETE = "删除"
+# Fixed values -- audit wording: day, operator, product, then old and new state.
 AUDIT_RULE = "-" * 31
+AUDIT_DELETE_RECEIPT = "%s %s 删除 产品：%s\n原:%s套 单价%s 仓库%s\n" + AUDIT_RULE + "\n"
+AUDIT_DELETE_ISSUE = "%s %s 删除 产品：%s\n原:%s套 仓库%s\n" + AUDIT_RULE + "\n"
+AUDIT_EDIT_RECEIPT = "%s %s 修改 产品：%s\n原:%s套 单价%s 仓库%s\n新:%s套 单价%s 仓库%s\n" + AUDIT_RULE + "\n"
+AUDIT_EDIT_ISSUE = "%s %s 修改 产品：%s\n原:%s套 仓库%s\n新:%s套 仓库%s\n" + AUDIT_RULE + "\n"
 
 # Fixed values -- input patterns.
 RE_ID = r"^[1-9][0-9]*$"
@@ -41,10 +43,12 @@ RE_TELEPHONE = r"^[1-9][0-9]{6,7}"
 RE_PRODUCT_NAME = r"^\S{2,30}$"
 RE_BARCODE = r"^[0-9]{4,20}$"
 RE_SIZE = r"^([1-9][0-9]{0,2})+,+([1-9][0-9]{0,2})$"
-RE_TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
+RE_TIMESTAMP = r"^(1[6-9]|[2-9]\d)\d{2}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
 
 # Fixed values -- limits.
 NOTE_MAX = 100
+QUANTITY_MAX = 2**31 - 1
+MONEY_BELOW = 1_000_000
 PAGE_SIZE = 20
 SEARCH_LIMIT = 100
 RECENT_ORDERS = 10

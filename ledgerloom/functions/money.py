@@ -57,11 +57,21 @@ def mean_millionths(n: Column, d: Column) -> Column:
     return _div((n % F.nullif(d, F.lit(0).cast("bigint"))) * 1_000_000, d)
 
 
-def half_up_cents(whole: Column, millionths: Column) -> Column:
-    """Cents from the two parts of a sum of means, rounded half away from zero."""
-    total = whole.cast("decimal(28,0)") * 1_000_000 + millionths.cast("decimal(20,0)")
-    up = F.call_function("div", F.abs(total) + 500_000, F.lit(1_000_000).cast("decimal(20,0)"))
-    return F.signum(total).cast("bigint") * up
+def share_of_cost(quantity: Column, paid_cents: Column, received: Column) -> Column:
+    """``quantity * paid_cents / received``, in cents, exact up to one rounding at a millionth of a cent.
+
+    The whole cents of the mean are multiplied as integers; only the rest is divided, after it
+    was multiplied, so the rounding does not grow with the quantity.
+    """
+    wide = quantity.cast("decimal(19,0)")
+    whole = wide * _div(paid_cents, received).cast("decimal(19,0)")
+    rest = wide * (paid_cents % F.nullif(received, F.lit(0).cast("bigint"))).cast("decimal(19,0)")
+    return (whole.cast("decimal(38,6)") + (rest / received.cast("decimal(19,0)")).cast("decimal(38,6)")).cast("decimal(38,6)")
+
+
+def half_up_cents(value: Column) -> Column:
+    """Whole cents of an amount in cents, rounded half away from zero."""
+    return F.round(value, 0).cast("bigint")
 
 
 def round_half_up(x: Column, digits: int = 2) -> Column:

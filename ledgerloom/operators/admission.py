@@ -128,7 +128,7 @@ def admit_in_order(
 
     ``claims``: one row per request and resource -- ``seq`` (BIGINT, one value per
     request), the resource ``keys``, ``need`` (NULL: no condition), ``delta``, and
-    ``eligible`` (false: already refused on other grounds, takes nothing).
+    ``eligible`` (false: already refused on other grounds, takes nothing; so is a claim without ``delta``).
     ``capacity``: resource ``keys`` and ``capacity``; a missing resource has 0.
     ``component``: those of the keys that all resources of a request share.
 
@@ -154,7 +154,9 @@ def admit_in_order(
 
     claims = cut(
         claims.select(
-            "seq", *keys, F.col("need").cast("bigint").alias("need"), F.col("delta").cast("bigint").alias("delta"), "eligible"
+            "seq", *keys, F.col("need").cast("bigint").alias("need"),
+            F.coalesce(F.col("delta").cast("bigint"), zero).alias("delta"),
+            (F.col("eligible") & F.col("delta").isNotNull()).alias("eligible"),
         )
         .join(capacity.select(*keys, F.col("capacity").cast("bigint").alias("left")), keys, "left")
         .select(*columns, F.coalesce("left", zero).alias("left"), F.lit(_OPEN).alias("status"))

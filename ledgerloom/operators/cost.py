@@ -7,17 +7,23 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import half_even_div, line_cents, mean_millionths, mean_whole, money
+from ledgerloom.functions.money import half_even_div, line_cents, money
 from ledgerloom.operators.stock import visible_issues, visible_receipts
 
 Tables = Mapping[str, DataFrame]
 
 
-def product_summary(t: Tables) -> DataFrame:
+def product_summary(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Per product: average cost, stock on hand, latest purchase price, in and out totals.
 
-    Visible headers only. The average is 0 without receipts, else rounded half to even.
+    Visible headers only. The average is 0 without receipts, else rounded half to even. With
+    ``ids`` (a column ``id``) only those products, whose lines are picked before anything is summed.
     """
+    products = t["products"].select(F.col("id").alias("product_id"))
+    if ids is not None:
+        picked = ids.select(F.col("id").alias("product_id"))
+        products = products.join(picked, "product_id", "left_semi")
+        t = {**t, **{n: t[n].join(picked, "product_id", "left_semi") for n in ("indetail", "outdetail")}}
     receipts = visible_receipts(t).select(
         "product_id",
         F.col("quantity").cast("bigint").alias("_in"),
@@ -47,8 +53,7 @@ def product_summary(t: Tables) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     in_qty, out_qty = F.coalesce("in_qty", zero), F.coalesce("out_qty", zero)
     return (
-        t["products"]
-        .select(F.col("id").alias("product_id"))
+        products
         .join(flows, "product_id", "left")
         .select(
             "product_id",
@@ -61,13 +66,10 @@ def product_summary(t: Tables) -> DataFrame:
     )
 
 
-def mean_cost(receipts: DataFrame) -> DataFrame:
-    """Unrounded mean cost per received product, split into cents and millionths."""
+def received(receipts: DataFrame) -> DataFrame:
+    """Cents paid for and quantity of each received product; their quotient is the mean cost."""
     sums = receipts.groupBy("product_id").agg(
-        F.sum(line_cents("quantity", "value")).alias("_c"),
-        F.sum(F.col("quantity").cast("bigint")).alias("_q"),
-    )
-    c, q = F.col("_c"), F.col("_q")
-    return sums.select(
-        "product_id", mean_whole(c, q).alias("mean_cents"), mean_millionths(c, q).alias("mean_rest")
+        F.sum(line_cents("quantity", "value")).alias("in_cents"),
+        F.sum(F.col("quantity").cast("bigint")).alias("in_qty"),
     )
+    return sums.filter(F.col("in_qty") != 0)

@@ -13,18 +13,25 @@ from ledgerloom.functions.predicates import visible
 Tables = Mapping[str, DataFrame]
 
 
-def gross_by_order(t: Tables) -> DataFrame:
-    """Sum of ``quantity * price`` in cents for every order that has lines."""
-    return t["sellorderdetail"].groupBy("oid_id").agg(
-        F.sum(line_cents("quantity", "price")).alias("gross_cents")
-    )
+def gross_by_order(t: Tables, orders: DataFrame | None = None) -> DataFrame:
+    """Sum of ``quantity * price`` in cents for every order that has lines, or for those of ``orders`` only.
+
+    The lines of the orders are picked before they are summed, so a page of orders shuffles its own lines.
+    """
+    lines = t["sellorderdetail"]
+    if orders is not None:
+        lines = lines.join(orders.select(F.col("id").alias("_picked")), F.col("oid_id") == F.col("_picked"), "left_semi")
+    return lines.groupBy("oid_id").agg(F.sum(line_cents("quantity", "price")).alias("gross_cents"))
+
 
+def with_total(t: Tables, orders: DataFrame, whole: bool = False) -> DataFrame:
+    """Add ``total``: gross minus discount; 0 for an order without lines, discount or not.
 
-def with_total(t: Tables, orders: DataFrame) -> DataFrame:
-    """Add ``total``: gross minus discount; 0 for an order without lines, discount or not."""
+    ``whole``: ``orders`` are all or most of the ledger, so picking lines first would gain nothing.
+    """
     net = F.col("gross_cents") - F.coalesce(cents("discount"), F.lit(0).cast("bigint"))
     return (
-        orders.join(gross_by_order(t), orders["id"] == F.col("oid_id"), "left")
+        orders.join(gross_by_order(t, None if whole else orders), orders["id"] == F.col("oid_id"), "left")
         .withColumn("total", money(F.coalesce(net, F.lit(0).cast("bigint"))))
         .drop("oid_id", "gross_cents")
     )

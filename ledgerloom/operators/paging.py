@@ -52,12 +52,16 @@ def page_slice(
     size: int = PAGE_SIZE,
     levels: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """One page of ``df`` in ``order``."""
+    """One page of ``df``, its rows in ``order``.
+
+    With ``levels`` a page that lies deep is found by row number instead of sorting all rows before
+    it; the page itself is sorted either way.
+    """
     skip = (clean_page(page) - 1) * size
     if skip <= SHALLOW_ROWS or levels is None:
         return df.orderBy(*order).offset(skip).limit(size)
     numbered = number_rows(df, order, levels, name="_row")
-    return numbered.filter(F.col("_row").between(skip + 1, skip + size)).drop("_row")
+    return numbered.filter(F.col("_row").between(skip + 1, skip + size)).drop("_row").orderBy(*order)
 
 
 def page_count(rows: Column, size: int = PAGE_SIZE) -> Column:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
 #: a block holds 2**20 consecutive ids; one task sorts the rows of one block
 BLOCK_BITS = 20
 
@@ -71,6 +73,21 @@ def running_total(
     )
 
 
+def number_by_range(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Consecutive numbers from 1 over all rows, whatever the values of ``order`` are.
+
+    Rows are dealt out by ranges of ``order`` and kept, each range is numbered by one task, and the
+    ranges' sizes are added up. ``order`` must be total.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_range").orderBy(*order)
+    numbered = ranged.withColumn("_own", F.row_number().over(own).cast("bigint")).join(sizes, "_range")
+    return numbered.select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[Column],

@@ -5,8 +5,8 @@ Each job takes the current tables and a batch of changes and returns a
 with a reason, and the audit entries. Changes carry ``seq``, their order of submission;
 jobs whose checks depend on stock decide them strictly in that order.
 
-A batch may change one row once. Later changes to the same row are refused as
-``duplicate_change`` and can be sent in the next batch.
+A batch may change one row any number of times. A change is judged by its own rules first, and
+what it starts from is what the accepted changes before it left.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from ledgerloom.operators import stock
 from ledgerloom.operators.admission import admit_in_order
 from ledgerloom.operators.cost import product_summary
 from ledgerloom.operators.lookup import fk_lookup, visible_lines
-from ledgerloom.operators.running import id_block, number_rows, running_total
+from ledgerloom.operators.line_replay import COLUMNS, replay_edits
+from ledgerloom.operators.running import id_block, number_by_range, running_total
 from ledgerloom.plans import quality
+from ledgerloom.plans.catalog import product_form_categories
 from ledgerloom.schemas import TABLES, conform
 from ledgerloom.session import cut
 from ledgerloom.sources.documents import order_doc_lines
@@ -39,6 +41,8 @@ class ChangeResult(NamedTuple):
     rejected: DataFrame
     audit: DataFrame | None = None
     added: DataFrame | None = None
+    #: accepted changes that a later accepted one to the same row replaced
+    superseded: DataFrame | None = None
 
 
 # -- shared steps ----------------------------------------------------------------------
@@ -57,9 +61,9 @@ def _next_id(df: DataFrame) -> Column:
     return F.coalesce(df.agg(F.max("id").alias("m")).scalar(), _zero())
 
 
-def _assign_ids(new: DataFrame, stored: DataFrame, order: Sequence[Column], levels: Sequence[Column]) -> DataFrame:
+def _assign_ids(new: DataFrame, stored: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Give ``new`` rows the ids after the stored ones, in ``order``."""
-    numbered = number_rows(new, order, levels, name="_n")
+    numbered = number_by_range(new, order, "_n")
     return numbered.withColumn("id", F.col("_n") + _next_id(stored)).drop("_n")
 
 
@@ -81,6 +85,21 @@ def _repeated(df: DataFrame, key: str) -> DataFrame:
     ).drop("_first")
 
 
+def _last_of_each(good: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Of accepted changes: the last one to each row, and those it replaced."""
+    last = good.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("seq").alias("_last"))
+    marked = good.join(last, key)
+    return (
+        marked.filter(F.col("seq") == F.col("_last")).drop("_last"),
+        marked.filter(F.col("seq") < F.col("_last")).select("seq", F.col(key).alias("id")),
+    )
+
+
+def _named(lines: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stored lines that a batch names, picked before anything is looked up for them."""
+    return lines.join(changes.select("id").distinct(), "id", "left_semi")
+
+
 def render_log(old: DataFrame, audit: DataFrame) -> DataFrame:
     """Prepend audit entries, newest first, to the ``log`` text of the headers ``old``.
 
@@ -98,11 +117,10 @@ def render_log(old: DataFrame, audit: DataFrame) -> DataFrame:
     return joined.withColumn("log", log).select(*old.columns)
 
 
-def _entry(as_of: date, operator: Column | str, action: str, *parts: Column) -> Column:
+def _entry(wording: str, as_of: date, operator: Column | str, *parts: Column) -> Column:
+    """An audit entry: one of the fixed wordings, filled in."""
     operator = F.lit(operator) if isinstance(operator, str) else operator
-    return F.concat(
-        F.lit(f"{as_of} "), operator, F.lit(f" {action} 产品："), *parts, F.lit(f"\n{K.AUDIT_RULE}\n")
-    )
+    return F.format_string(wording, F.lit(str(as_of)), operator, *parts)
 
 
 def _s(c: str | Column) -> Column:
@@ -130,22 +148,27 @@ def _upsert(
     fields: Sequence[str],
     rules: dict[str, Column],
     insert_defaults: dict[str, Column] | None = None,
+    unique: str | None = None,
 ) -> ChangeResult:
-    """Insert changes without id, update the others' ``fields`` where a value differs."""
+    """Insert changes without id, update the others' ``fields`` where a value differs.
+
+    Every accepted change sets all ``fields``, so the last accepted one to a row decides. A value of the
+    column ``unique`` is refused where another stored row has it or an earlier change of
+    the batch claims it for another row, even if that row gives it up later.
+    """
     stored = t[table]
     known = stored.select(F.col("id").alias("_known"))
-    df = _repeated(changes, "id").join(known, F.col("id") == F.col("_known"), "left")
-    reason = _first_reason(
-        {
-            **rules,
-            "unknown_id": F.col("id").isNotNull() & F.col("_known").isNull(),
-            "duplicate_change": F.col("repeated"),
-        }
-    )
-    good, bad = _split(df, reason)
+    df = changes.join(known, F.col("id") == F.col("_known"), "left")
+    reason = _first_reason({**rules, "unknown_id": F.col("id").isNotNull() & F.col("_known").isNull()})
+    df = df.withColumn("reason", reason)
+    if unique:
+        df = _refuse_taken(df, stored, unique)
+    df = cut(df)
+    good, bad = df.filter(F.col("reason").isNull()).drop("reason"), df.filter(F.col("reason").isNotNull())
     types = TABLES[table]
 
-    updates = good.filter(F.col("id").isNotNull()).select(
+    last, superseded = _last_of_each(good)
+    updates = last.select(
         F.col("id").alias("_uid"), *[F.col(f).cast(types[f]).alias(f"_u_{f}") for f in fields]
     )
     joined = stored.join(updates, F.col("id") == F.col("_uid"), "left")
@@ -159,7 +182,7 @@ def _upsert(
     )
 
     inserts = good.filter(F.col("id").isNull()).drop("id")
-    inserts = _assign_ids(inserts, stored, [F.col("seq")], [id_block("seq")])
+    inserts = _assign_ids(inserts, stored, [F.col("seq")])
     for name, value in (insert_defaults or {}).items():
         inserts = inserts.withColumn(name, value)
     new = kept.unionByName(conform(inserts, table))
@@ -167,19 +190,64 @@ def _upsert(
         _as_tables(t).replaced(**{table: new}),
         bad.select("seq", "id", "reason"),
         added=inserts.select("seq", "id"),
+        superseded=superseded,
     )
 
 
-def upsert_headers(t: Mapping[str, DataFrame], table: str, changes: DataFrame) -> ChangeResult:
-    """Insert or edit receipt (``instream``) or issue (``outstream``) headers."""
+def _refuse_taken(df: DataFrame, stored: DataFrame, column: str) -> DataFrame:
+    """Set the reason ``duplicate_<column>`` where a value is another row's."""
+    value, reason = F.col(column), F.lit(f"duplicate_{column}")
+    holders = stored.filter(value.isNotNull() & (value != "")).groupBy(value.alias("_value")).agg(
+        F.min("id").alias("_low"), F.max("id").alias("_high")
+    )
+    df = df.join(holders, value == F.col("_value"), "left")
+    others = F.col("_low").isNotNull() & ~(F.col("id").eqNullSafe(F.col("_low")) & F.col("id").eqNullSafe(F.col("_high")))
+    df = df.withColumn("reason", F.coalesce("reason", F.when(others, reason))).drop("_value", "_low", "_high")
+    claims = df.filter(F.col("reason").isNull() & value.isNotNull() & (value != "")).groupBy(value.alias("_value")).agg(
+        F.min("seq").alias("_first"), F.min_by("id", "seq").alias("_owner")
+    )
+    df = df.join(claims, value == F.col("_value"), "left")
+    later = (F.col("seq") > F.col("_first")) & ~F.coalesce(F.col("id") == F.col("_owner"), F.lit(False))
+    return df.withColumn("reason", F.coalesce("reason", F.when(later, reason))).drop("_value", "_first", "_owner")
+
+
+def upsert_headers(
+    t: Mapping[str, DataFrame],
+    table: str,
+    changes: DataFrame,
+    *,
+    returned: bool = False,
+    head_office: str = K.HEAD_OFFICE,
+) -> ChangeResult:
+    """Insert or edit receipt (``instream``) or issue (``outstream``) headers.
+
+    ``returned`` says whether new ``outstream`` headers are returns. Codes are unique.
+    """
     kind = "in" if table == "instream" else "out"
     party = "supplier" if kind == "in" else "shop_id"
     fields = ["code", party, "date", "keeper_id", "staff1_id", "hidden", "note"]
-    levels = t["staff"].select(F.col("id").alias("_sid"), F.col("level").alias("_level"))
-    df = changes.join(levels, F.col("staff1_id") == F.col("_sid"), "left")
-    rules = quality.stream_header_rules(kind)
-    rules["staff1"] = rules["staff1"] | F.coalesce(F.col("_level") < 5, F.lit(True))
-    return _upsert(t, table, df, fields, rules, insert_defaults={"hidden": F.lit(False)})
+    df, rules = quality.linked_header_rules(changes, kind, t["staff"], t["shop"], head_office)
+    new = {"hidden": F.lit(False)} | ({"returned": F.lit(returned)} if kind == "out" else {})
+    return _upsert(t, table, df, fields, rules, insert_defaults=new, unique="code")
+
+
+def add_bound_issues(
+    t: Mapping[str, DataFrame], changes: DataFrame, *, returned: bool = False, head_office: str = K.HEAD_OFFICE
+) -> ChangeResult:
+    """Add issue headers, each with a copy of the lines of the receipt named by ``inid_id``, if any.
+
+    A header whose receipt is not a visible one is refused as ``unknown_receipt``.
+    """
+    receipts = t["instream"].filter(visible()).select(F.col("id").alias("_receipt"))
+    df = changes.withColumn("id", F.lit(None).cast("bigint")).join(receipts, F.col("inid_id") == F.col("_receipt"), "left")
+    lost = F.col("inid_id").isNotNull() & F.col("_receipt").isNull()
+    df = cut(df.withColumn("_lost", lost))
+    heads = upsert_headers(t, "outstream", df.filter(~F.col("_lost")).drop("_lost", "_receipt"), returned=returned, head_office=head_office)
+    added = cut(heads.added)
+    bound = added.join(df.filter(F.col("inid_id").isNotNull()).select("seq", "inid_id"), "seq")
+    lines = copy_receipt_to_issue(heads.tables, bound.select(F.col("id").alias("outid_id"), "inid_id"))
+    refused = df.filter("_lost").select("seq", "id", F.lit("unknown_receipt").alias("reason"))
+    return ChangeResult(lines.tables, heads.rejected.unionByName(refused), added=added)
 
 
 def upsert_customers(t: Mapping[str, DataFrame], changes: DataFrame) -> ChangeResult:
@@ -191,8 +259,9 @@ def upsert_customers(t: Mapping[str, DataFrame], changes: DataFrame) -> ChangeRe
 
 
 def upsert_products(t: Mapping[str, DataFrame], changes: DataFrame) -> ChangeResult:
+    """Insert or update products; their category must be one that the product form offers."""
     fields = ["name", "barcode", "category_id", "size", "hidden", "note"]
-    known = t["category"].select(F.col("id").alias("_cat"))
+    known = product_form_categories(t).select(F.col("id").alias("_cat"))
     df = changes.join(known, F.col("category_id") == F.col("_cat"), "left")
     rules = {**quality.product_rules(), "category": F.col("_cat").isNull()}
     return _upsert(t, "products", df, fields, rules, insert_defaults={"hidden": F.lit(False)})
@@ -206,6 +275,45 @@ def upsert_remits(t: Mapping[str, DataFrame], changes: DataFrame) -> ChangeResul
     return _upsert(t, "remit", df, fields, rules, insert_defaults={"hidden": F.lit(False)})
 
 
+# -- edits that start from one another -------------------------------------------------
+
+
+def _mark_successive(df: DataFrame, product: str) -> DataFrame:
+    """Flag the edits of products of which some line is edited more than once; kept, as it is used often."""
+    ok = df.filter(F.col("static").isNull())
+    again = ok.groupBy(product, "id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(product).alias("_again")).distinct()
+    df = df.join(again, F.col(product) == F.col("_again"), "left")
+    return cut(df.withColumn("successive", F.col("_again").isNotNull()).drop("_again"))
+
+
+def _replayed(
+    edits: DataFrame, stocks: DataFrame, document: str, old_value: str | None, value: str | None, issues: bool
+) -> DataFrame:
+    """Verdicts of successive edits; ``stocks``: product_id, depot_id, capacity, and outid_id for filled places."""
+    text = lambda c: (F.lit(None) if c is None else F.col(c)).cast("string")
+    rows = edits.select(
+        "product_id", "seq", F.col("id").alias("line_id"), F.col(document).alias("place_id"), "depot_id",
+        F.col("new_qty").alias("quantity"), "old_depot", F.col("old_qty").alias("old_quantity"),
+        text(old_value).alias("old_value"), text(value).alias("value"), "counts",
+    )
+    place = F.col("outid_id") if "outid_id" in stocks.columns else F.lit(None)
+    start = stocks.select(
+        "product_id", "depot_id", F.col("capacity").cast("bigint").alias("quantity"), place.cast("bigint").alias("place_id")
+    )
+    return replay_edits(rows.unionByName(start, allowMissingColumns=True).select(*COLUMNS), issues)
+
+
+def _with_verdicts(df: DataFrame, verdict: DataFrame, replayed: DataFrame) -> DataFrame:
+    """Edits with ``accepted`` and ``short``, and the line as it stood just before each; kept."""
+    same = [F.lit(None).cast(k).alias(n) for n, k in (("was_quantity", "bigint"), ("was_depot", "bigint"), ("was_value", "string"))]
+    both = verdict.select("seq", "accepted", "short", *same).unionByName(replayed)
+    df = df.join(both, "seq", "left")
+    df = df.withColumn("old_qty", F.coalesce("was_quantity", "old_qty")).withColumn("old_depot", F.coalesce("was_depot", "old_depot"))
+    if "old_value" in df.columns:
+        df = df.withColumn("old_value", F.coalesce(F.col("was_value").cast("decimal(8,2)"), "old_value"))
+    return cut(df.drop("was_quantity", "was_depot", "was_value"))
+
+
 # -- receipts --------------------------------------------------------------------------
 
 
@@ -222,17 +330,18 @@ def add_receipt_lines(t: Mapping[str, DataFrame], changes: DataFrame) -> ChangeR
         "unknown_depot": F.col("_depot_id").isNull(),
     }
     good, bad = _split(df, _first_reason(rules))
-    rows = _assign_ids(good, t["indetail"], [F.col("seq")], [id_block("seq")])
+    good = good.withColumn("quantity", F.col("quantity").try_cast("bigint"))
+    rows = _assign_ids(good, t["indetail"], [F.col("seq")])
     new = t["indetail"].unionByName(conform(rows, "indetail"))
     return ChangeResult(
         _as_tables(t).replaced(indetail=new), bad.select("seq", "reason"), added=rows.select("seq", "id")
     )
 
 
-def _receipt_line_state(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Current receipt lines with the visibility of their header."""
+def _receipt_line_state(t: Mapping[str, DataFrame], changes: DataFrame) -> DataFrame:
+    """The receipt lines that a batch names with the visibility of their header."""
     heads = t["instream"].select(F.col("id").alias("inid_id"), visible().alias("counts"))
-    return t["indetail"].select(
+    return _named(t["indetail"], changes).select(
         F.col("id").alias("line_id"), "inid_id", "product_id", "depot_id",
         F.col("quantity").cast("bigint").alias("old_qty"), F.col("value").alias("old_value"),
     ).join(heads, "inid_id")
@@ -241,8 +350,12 @@ def _receipt_line_state(t: Mapping[str, DataFrame]) -> DataFrame:
 def delete_receipt_lines(
     t: Mapping[str, DataFrame], changes: DataFrame, *, as_of: date, operator: str = ""
 ) -> ChangeResult:
-    """Delete receipt lines while received stays strictly above issued; changes: (seq, id)."""
-    lines = _receipt_line_state(t)
+    """Delete receipt lines while received stays strictly above issued; changes: (seq, id).
+
+    Stock only falls in such a batch, so a further request for a line meets a line that is gone, or
+    fails for stock again.
+    """
+    lines = _receipt_line_state(t, changes)
     df = _repeated(changes.select("seq", "id"), "id").join(
         lines, F.col("id") == F.col("line_id"), "left"
     )
@@ -257,11 +370,12 @@ def delete_receipt_lines(
         "product_id", (F.col("in_qty") - F.col("out_qty") - 1).alias("capacity")
     )
     verdict = admit_in_order(claims, ["product_id"], capacity, ["product_id"]).select("seq", "accepted")
-    df = df.join(verdict, "seq", "left")
+    df = cut(df.join(verdict, "seq", "left"))
+    went = df.filter("accepted").select(F.col("id").alias("_went"))
+    df = df.join(went, F.col("id") == F.col("_went"), "left")
     reason = _first_reason(
         {
-            "unknown_id": F.col("line_id").isNull(),
-            "duplicate_change": F.col("repeated"),
+            "unknown_id": F.col("line_id").isNull() | (F.col("repeated") & F.col("_went").isNotNull()),
             "stock_issued": ~F.coalesce("accepted", F.lit(False)),
         }
     )
@@ -272,8 +386,7 @@ def delete_receipt_lines(
     audit = named.select(
         F.col("inid_id").alias("header_id"), "seq",
         _entry(
-            as_of, operator, K.AUDIT_DELETE, F.col("pname"), F.lit("\n原:"), _s("old_qty"), F.lit("套 单价"),
-            _s("old_value"), F.lit(" 仓库"), F.col("dname"),
+            K.AUDIT_DELETE_RECEIPT, as_of, operator, F.col("pname"), _s("old_qty"), _s("old_value"), F.col("dname")
         ).alias("entry"),
     )
     tables = _as_tables(t).replaced(indetail=new)
@@ -289,26 +402,28 @@ def edit_receipt_lines(
     exceed neither the product's stock nor its stock in the depot named. An accepted edit
     is audited even if nothing differs.
     """
-    lines = _receipt_line_state(t).withColumnRenamed("depot_id", "old_depot")
+    lines = _receipt_line_state(t, changes).withColumnRenamed("depot_id", "old_depot")
     known = t["depot"].select(F.col("id").alias("_depot"), F.col("name").alias("dname"))
     df = (
-        _repeated(changes, "id")
+        changes.select("seq", "id", "value", "quantity", "depot_id", "depotdetail")
         .join(lines, F.col("id") == F.col("line_id"), "left")
         .join(known, F.col("depot_id") == F.col("_depot"), "left")
     )
+    rules = quality.receipt_line_rules()
     static = _first_reason(
         {
             "unknown_id": F.col("line_id").isNull(),
             "unknown_depot": F.col("_depot").isNull(),
-            "value": ~F.coalesce(F.col("value"), F.lit("")).rlike(K.RE_MONEY),
-            "quantity": ~F.coalesce(F.col("quantity"), F.lit("")).rlike(K.RE_QUANTITY),
-            "duplicate_change": F.col("repeated"),
+            "value": rules["value"],
+            "quantity": rules["quantity"],
         }
     )
-    df = df.withColumn("static", static).withColumn("new_qty", F.col("quantity").try_cast("bigint"))
-    df = cut(df)
+    df = df.withColumn("static", static).withColumn("new_qty", F.col("quantity").try_cast("bigint")).withColumn(
+        "new_value", F.col("value").try_cast("decimal(8,2)")
+    )
+    df = _mark_successive(df, "product_id")
 
-    ok = df.filter(F.col("static").isNull())
+    ok = df.filter(F.col("static").isNull() & ~F.col("successive"))
     less, counts, none = F.col("old_qty") - F.col("new_qty"), F.col("counts"), F.lit(None).cast("bigint")
     moved = F.col("old_depot") != F.col("depot_id")
     per_product = ok.select(
@@ -335,26 +450,28 @@ def edit_receipt_lines(
     )
     verdict = judged.groupBy("seq").agg(
         F.min("accepted").alias("accepted"),
-        F.max(F.col("short") & (F.col("depot_id") == -1)).alias("short_product"),
+        F.max(F.col("short") & (F.col("depot_id") == -1)).alias("short"),
     )
-    df = df.join(verdict, "seq", "left")
+    edits = df.filter(F.col("static").isNull() & F.col("successive"))
+    stocks = by_depot.join(edits.select("product_id").distinct(), "product_id", "left_semi")
+    df = _with_verdicts(df, verdict, _replayed(edits, stocks, "inid_id", "old_value", "new_value", issues=False))
     reason = F.coalesce(
         F.col("static"),
-        F.when(F.col("accepted"), None).when(F.col("short_product"), "below_issued").otherwise("below_issued_in_depot"),
+        F.when(F.col("accepted"), None).when(F.col("short"), "below_issued").otherwise("below_issued_in_depot"),
     )
     good, bad = _split(df, reason)
     old = fk_lookup(fk_lookup(good, "product_id", t["products"], pname="name"), "old_depot", t["depot"], oname="name")
     audit = old.select(
         F.col("inid_id").alias("header_id"), "seq",
         _entry(
-            as_of, operator, K.AUDIT_EDIT, F.col("pname"),
-            F.lit("\n原:"), _s("old_qty"), F.lit("套 单价"), _s("old_value"), F.lit(" 仓库"), F.col("oname"),
-            F.lit("\n新:"), _s("quantity"), F.lit("套 单价"), _s("value"), F.lit(" 仓库"), F.col("dname"),
+            K.AUDIT_EDIT_RECEIPT, as_of, operator, F.col("pname"), _s("old_qty"), _s("old_value"), F.col("oname"),
+            _s("quantity"), _s("value"), F.col("dname"),
         ).alias("entry"),
     )
-    edits = good.select(
-        F.col("id").alias("_eid"), F.col("new_qty").cast("int").alias("_q"),
-        F.col("value").cast("decimal(8,2)").alias("_v"), F.col("depot_id").alias("_d"), F.col("depotdetail").alias("_p"),
+    last, superseded = _last_of_each(good)
+    edits = last.select(
+        F.col("id").alias("_eid"), F.col("new_qty").cast("int").alias("_q"), F.col("new_value").alias("_v"),
+        F.col("depot_id").alias("_d"), F.col("depotdetail").alias("_p"),
     )
     joined = t["indetail"].join(edits, F.col("id") == F.col("_eid"), "left")
     hit = F.col("_eid").isNotNull()
@@ -366,22 +483,25 @@ def edit_receipt_lines(
         F.when(hit, F.col("_p")).otherwise(F.col("depotdetail")).alias("depotdetail"),
     )
     tables = _as_tables(t).replaced(indetail=new)
-    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit)
+    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit, superseded=superseded)
 
 
 # -- issues and returns ----------------------------------------------------------------
 
 
 def copy_receipt_to_issue(t: Mapping[str, DataFrame], bindings: DataFrame) -> ChangeResult:
-    """Copy the lines of a visible receipt into an issue; bindings: (outid_id, inid_id)."""
+    """Copy the lines of a visible receipt into a stored issue; bindings: (outid_id, inid_id)."""
     heads = t["instream"].filter(visible()).select(F.col("id").alias("_in"))
-    df = bindings.join(heads, F.col("inid_id") == F.col("_in"), "left")
-    good, bad = _split(df, F.when(F.col("_in").isNull(), "unknown_receipt"))
+    issues = t["outstream"].select(F.col("id").alias("_out"))
+    df = bindings.join(heads, F.col("inid_id") == F.col("_in"), "left").join(
+        issues, F.col("outid_id") == F.col("_out"), "left"
+    )
+    good, bad = _split(
+        df, _first_reason({"unknown_issue": F.col("_out").isNull(), "unknown_receipt": F.col("_in").isNull()})
+    )
     rows = t["indetail"].select(F.col("id").alias("_src"), "inid_id", "product_id", "quantity", "depot_id")
     rows = rows.join(good.select("outid_id", "inid_id"), "inid_id")
-    rows = _assign_ids(
-        rows, t["outdetail"], [F.col("outid_id"), F.col("_src")], [id_block("outid_id"), F.col("outid_id")]
-    )
+    rows = _assign_ids(rows, t["outdetail"], [F.col("outid_id"), F.col("_src")])
     new = t["outdetail"].unionByName(conform(rows, "outdetail"))
     return ChangeResult(
         _as_tables(t).replaced(outdetail=new), bad.select("outid_id", "inid_id", "reason"), added=conform(rows, "outdetail")
@@ -406,9 +526,9 @@ def add_issue_lines(t: Mapping[str, DataFrame], changes: DataFrame, *, returned:
         "unknown_depot": F.col("_depot_id").isNull(),
     }
     good, bad = _split(df, _first_reason(rules))
-    number = F.col("quantity").cast("bigint")
+    number = F.col("quantity").try_cast("bigint")
     rows = good.withColumn("quantity", -number if returned else number)
-    rows = _assign_ids(rows, t["outdetail"], [F.col("seq")], [id_block("seq")])
+    rows = _assign_ids(rows, t["outdetail"], [F.col("seq")])
     new = t["outdetail"].unionByName(conform(rows, "outdetail"))
 
     # Stock after each line = stock before the batch + visible lines added so far.
@@ -432,10 +552,10 @@ def add_issue_lines(t: Mapping[str, DataFrame], changes: DataFrame, *, returned:
     return ChangeResult(_as_tables(t).replaced(outdetail=new), bad.select("seq", "reason"), added=added)
 
 
-def _issue_line_state(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Current issue lines with the visibility of their header."""
+def _issue_line_state(t: Mapping[str, DataFrame], changes: DataFrame) -> DataFrame:
+    """The issue lines that a batch names with the visibility of their header."""
     heads = t["outstream"].select(F.col("id").alias("outid_id"), visible().alias("counts"))
-    return t["outdetail"].select(
+    return _named(t["outdetail"], changes).select(
         F.col("id").alias("line_id"), "outid_id", F.col("product_id").alias("old_product"),
         F.col("depot_id").alias("old_depot"), F.col("quantity").cast("bigint").alias("old_qty"),
     ).join(heads, "outid_id")
@@ -451,10 +571,10 @@ def edit_issue_lines(
     accepted changes. An accepted edit of an issue is audited even if nothing differs, of
     a return only if something does.
     """
-    lines = _issue_line_state(t)
+    lines = _issue_line_state(t, changes)
     known = t["depot"].select(F.col("id").alias("_depot"), F.col("name").alias("dname"))
     df = (
-        _repeated(changes.select("seq", "id", "depot_id", "quantity"), "id")
+        changes.select("seq", "id", "depot_id", "quantity")
         .join(lines, F.col("id") == F.col("line_id"), "left")
         .join(known, F.col("depot_id") == F.col("_depot"), "left")
     )
@@ -462,14 +582,14 @@ def edit_issue_lines(
         {
             "unknown_id": F.col("line_id").isNull(),
             "unknown_depot": F.col("_depot").isNull(),
-            "quantity": ~F.coalesce(F.col("quantity"), F.lit("")).rlike(K.RE_QUANTITY),
-            "duplicate_change": F.col("repeated"),
+            "quantity": quality.bad_quantity("quantity"),
         }
     )
     number = F.col("quantity").try_cast("bigint")
-    df = cut(df.withColumn("static", static).withColumn("new_qty", -number if returned else number))
+    df = df.withColumn("static", static).withColumn("new_qty", -number if returned else number)
+    df = _mark_successive(df, "old_product")
 
-    ok = df.filter(F.col("static").isNull())
+    ok = df.filter(F.col("static").isNull() & ~F.col("successive"))
     moved = F.col("old_depot") != F.col("depot_id")
     none = F.lit(None).cast("bigint")
     one = lambda test: F.when(test, 1).otherwise(0).cast("bigint")
@@ -522,23 +642,34 @@ def edit_issue_lines(
         F.min("accepted").alias("accepted"),
         F.max(F.col("short") & (F.col("outid_id") == -1)).alias("short"),
     )
-    df = df.join(verdict, "seq", "left")
+    edits = df.filter(F.col("static").isNull() & F.col("successive")).withColumnRenamed("old_product", "product_id")
+    touched = edits.select("product_id").distinct()
+    held = (
+        t["outdetail"].filter(F.col("quantity") > 0)
+        .join(touched, "product_id", "left_semi")
+        .join(edits.select("outid_id").distinct(), "outid_id", "left_semi")
+        .groupBy("product_id", "outid_id", "depot_id").agg(F.count("*").alias("capacity"))
+    )
+    stocks = depots.withColumnRenamed("old_product", "product_id").join(touched, "product_id", "left_semi")
+    stocks = stocks.unionByName(held, allowMissingColumns=True)
+    df = _with_verdicts(df, verdict, _replayed(edits, stocks, "outid_id", None, None, issues=True))
     reason = F.coalesce(
         F.col("static"),
         F.when(F.col("accepted"), None).when(F.col("short"), "over_depot_stock").otherwise("already_in_issue"),
     )
     good, bad = _split(df, reason)
 
+    moved = F.col("old_depot") != F.col("depot_id")
     logged = good if not returned else good.filter(moved | (F.col("old_qty") != F.col("new_qty")))
     old = fk_lookup(fk_lookup(logged, "old_product", t["products"], pname="name"), "old_depot", t["depot"], oname="name")
     audit = old.select(
         F.col("outid_id").alias("header_id"), "seq",
         _entry(
-            as_of, operator, K.AUDIT_EDIT, F.col("pname"), F.lit("\n原:"), _s("old_qty"), F.lit("套 仓库"), F.col("oname"),
-            F.lit("\n新:"), _s("new_qty"), F.lit("套 仓库"), F.col("dname"),
+            K.AUDIT_EDIT_ISSUE, as_of, operator, F.col("pname"), _s("old_qty"), F.col("oname"), _s("new_qty"), F.col("dname")
         ).alias("entry"),
     )
-    edits = good.select(
+    last, superseded = _last_of_each(good)
+    edits = last.select(
         F.col("id").alias("_eid"), F.col("new_qty").cast("int").alias("_q"), F.col("depot_id").alias("_d")
     )
     joined = t["outdetail"].join(edits, F.col("id") == F.col("_eid"), "left")
@@ -547,27 +678,27 @@ def edit_issue_lines(
         F.coalesce("_q", "quantity").alias("quantity"), F.coalesce("_d", "depot_id").alias("depot_id"),
     )
     tables = _as_tables(t).replaced(outdetail=new)
-    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit)
+    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit, superseded=superseded)
 
 
 def delete_issue_lines(
     t: Mapping[str, DataFrame], changes: DataFrame, *, as_of: date, operator: str = ""
 ) -> ChangeResult:
-    """Set the quantity of issue lines to 0; changes: (seq, id)."""
-    lines = _issue_line_state(t)
+    """Set the quantity of issue lines to 0; changes: (seq, id). A further request finds 0 there."""
+    lines = _issue_line_state(t, changes)
     df = _repeated(changes.select("seq", "id"), "id").join(lines, F.col("id") == F.col("line_id"), "left")
-    reason = _first_reason({"unknown_id": F.col("line_id").isNull(), "duplicate_change": F.col("repeated")})
-    good, bad = _split(df, reason)
+    df = df.withColumn("old_qty", F.when(F.col("repeated"), _zero()).otherwise(F.col("old_qty")))
+    good, bad = _split(cut(df), _first_reason({"unknown_id": F.col("line_id").isNull()}))
     named = fk_lookup(
         fk_lookup(good, "old_product", t["products"], pname="name"), "old_depot", t["depot"], dname="name"
     )
     audit = named.select(
         F.col("outid_id").alias("header_id"), "seq",
         _entry(
-            as_of, operator, K.AUDIT_DELETE, F.col("pname"), F.lit("\n原:"), _s("old_qty"), F.lit("套 仓库"), F.col("dname")
+            K.AUDIT_DELETE_ISSUE, as_of, operator, F.col("pname"), _s("old_qty"), F.col("dname")
         ).alias("entry"),
     )
-    gone = good.select(F.col("id").alias("_gone"))
+    gone = good.select(F.col("id").alias("_gone")).distinct()
     joined = t["outdetail"].join(gone, F.col("id") == F.col("_gone"), "left")
     new = joined.select(
         "id", "outid_id", "product_id",
@@ -582,7 +713,7 @@ def delete_issue_lines(
 
 def _discount(text: Column) -> Column:
     """Submitted discount; none means 0."""
-    return F.coalesce(F.nullif(squash(text), F.lit("")), F.lit("0")).cast("decimal(8,2)")
+    return F.coalesce(F.nullif(squash(text), F.lit("")), F.lit("0")).try_cast("decimal(8,2)")
 
 
 def _doc_lines(t: Mapping[str, DataFrame], orders: DataFrame, *carry: str) -> DataFrame:
@@ -592,7 +723,7 @@ def _doc_lines(t: Mapping[str, DataFrame], orders: DataFrame, *carry: str) -> Da
     lines = lines.withColumn("_pid", F.col("product").try_cast("bigint")).join(
         known, F.col("_pid") == F.col("product_id"), "left"
     )
-    rules = {**quality.order_line_rules(), "unknown_product": F.col("product_id").isNull()}
+    rules = {"line_id": quality.bad_id("line_id"), **quality.order_line_rules(), "unknown_product": F.col("product_id").isNull()}
     return lines.withColumn("line_error", _first_reason(rules)).drop("_pid")
 
 
@@ -625,7 +756,7 @@ def apply_new_orders(t: Mapping[str, DataFrame], docs: DataFrame) -> ChangeResul
     lines = lines.join(bad, "seq", "left")
     tried = lines.filter(
         F.col("header_error").isNull() & (F.col("bad_line").isNull() | (F.col("line_no") < F.col("bad_line")))
-    ).withColumn("qty", F.col("quantity").cast("bigint"))
+    ).withColumn("qty", F.col("quantity").try_cast("bigint"))
     claims = tried.groupBy("seq", "shop_id", "product_id").agg(
         F.sum("qty").alias("need"), F.sum("qty").alias("delta"), F.min(F.col("bad_line").isNull()).alias("eligible")
     )
@@ -648,7 +779,7 @@ def apply_new_orders(t: Mapping[str, DataFrame], docs: DataFrame) -> ChangeResul
     )
     orders = orders.withColumn("line_no", F.when(F.col("header_error").isNull(), F.coalesce("short_line", "bad_line")))
     good, rejected = _split(orders, reason)
-    good = _assign_ids(good, t["sellorder"], [F.col("seq")], [id_block("seq")])
+    good = _assign_ids(good, t["sellorder"], [F.col("seq")])
     good = good.withColumn(
         "discount", _discount(F.col("discount"))
     ).withColumn("date", F.col("moment")).withColumn("hidden", F.lit(False))
@@ -657,7 +788,6 @@ def apply_new_orders(t: Mapping[str, DataFrame], docs: DataFrame) -> ChangeResul
         rows.select("oid_id", "seq", "line_no", "product_id", F.col("qty").alias("quantity"), "price"),
         t["sellorderdetail"],
         [F.col("seq"), F.col("line_no")],
-        [id_block("seq"), F.col("seq"), id_block("line_no")],
     )
     tables = _as_tables(t).replaced(
         sellorder=t["sellorder"].unionByName(conform(good, "sellorder")),
@@ -671,14 +801,15 @@ def apply_order_edits(t: Mapping[str, DataFrame], docs: DataFrame, *, as_of: dat
 
     A named line gets the new price and quantity, a line without id is added, a stored
     line the document does not name is dropped. An edited order becomes visible. Stock is
-    not checked.
+    not checked. Of several accepted documents of one order the last sets the header; a stored line
+    stays only if each of them names it, and only the last one's added lines are left.
     """
     orders = t["sellorder"]
     known = orders.select(F.col("id").alias("order_id"))
     heads = docs.withColumn("_oid", F.col("id").try_cast("bigint")).join(
         known, F.col("_oid") == F.col("order_id"), "left"
     )
-    heads = cut(_repeated(heads, "order_id"))
+    heads = cut(heads)
     hide = F.col("hidden") == "1"
     bad_id = ~F.col("id").rlike(K.RE_ID)
     field_error = _first_reason({n: r for n, r in quality.order_edit_rules(as_of).items() if n != "id"})
@@ -690,59 +821,67 @@ def apply_order_edits(t: Mapping[str, DataFrame], docs: DataFrame, *, as_of: dat
     reason = F.coalesce(
         F.when(bad_id, "id"),
         F.when(F.col("order_id").isNull(), "unknown_id"),
-        F.when(F.col("repeated"), "duplicate_change"),
         F.when(~hide, F.coalesce(F.col("bad_error"), field_error)),
     )
     good, rejected = _split(heads, reason)
     good = cut(good)
 
-    named = good.select(
-        F.col("order_id").alias("_oid"), "hide", F.col("code").alias("_code"),
-        _discount(F.col("discount")).alias("_discount"),
+    fields = F.struct(
+        F.col("code").alias("_code"), _discount(F.col("discount")).alias("_discount"),
         parse_moment(F.col("date")).alias("_date"), F.col("note").alias("_note"),
     )
+    shown = F.when(~F.col("hide"), F.col("seq"))
+    named = good.groupBy(F.col("order_id").alias("_oid")).agg(
+        F.max_by("hide", "seq").alias("_hide"), F.max_by(F.when(~F.col("hide"), fields), shown).alias("_set"),
+        F.max(shown).alias("_last"), F.count(shown).alias("_edits"),
+    )
+    # a document without a date leaves the one before it
+    dated = good.filter(~F.col("hide") & parse_moment(F.col("date")).isNotNull()).groupBy(F.col("order_id").alias("_oid")).agg(
+        F.max_by(parse_moment(F.col("date")), "seq").alias("_dated")
+    )
+    named = cut(named.join(dated, "_oid", "left").select("_oid", "_hide", "_last", "_edits", "_dated", "_set.*"))
     joined = orders.join(named, F.col("id") == F.col("_oid"), "left")
-    edited = F.col("_oid").isNotNull() & ~F.col("hide")
+    edited = F.col("_last").isNotNull()
     new_orders = joined.select(
         "id",
         F.when(edited, F.col("_code")).otherwise(F.col("code")).alias("code"),
         "customer_id", "shop_id", "staff_id",
         F.when(edited, F.col("_discount")).otherwise(F.col("discount")).alias("discount"),
-        F.when(edited, F.coalesce("_date", "date")).otherwise(F.col("date")).alias("date"),
-        F.coalesce(F.col("hide"), F.col("hidden")).alias("hidden"),
+        F.coalesce("_dated", "date").alias("date"),
+        F.coalesce("_hide", "hidden").alias("hidden"),
         F.when(edited, F.col("_note")).otherwise(F.col("note")).alias("note"),
     )
 
     edits = good.filter(~F.col("hide"))
     wanted = lines.join(edits.select("seq"), "seq", "left_semi")
-    named = wanted.filter(F.col("line_id") != "").withColumn("_lid", F.col("line_id").cast("bigint"))
+    mentions = wanted.filter(F.col("line_id") != "").withColumn("_lid", F.col("line_id").try_cast("bigint"))
     # Any document may name a line and its last mention sets the values; but a line of an
-    # edited order stays only when its own order's document names it.
+    # edited order stays only when its own order's documents name it, each of them.
     at = F.struct("seq", "line_no")
-    updates = named.groupBy("_lid").agg(
-        F.max_by(F.col("quantity").cast("int"), at).alias("_q"),
-        F.max_by(F.col("price").cast("decimal(8,2)"), at).alias("_p"),
-    )
-    own = named.select(F.col("_lid").alias("_nid"), F.col("order_id").alias("_noid")).distinct()
-    open_orders = edits.select(F.col("order_id").alias("_edited"))
+    updates = mentions.groupBy("_lid").agg(
+        F.max_by(F.col("quantity").try_cast("int"), at).alias("_q"),
+        F.max_by(F.col("price").try_cast("decimal(8,2)"), at).alias("_p"),
+    )
+    own = mentions.select("_lid", "order_id", "seq").distinct().groupBy(
+        F.col("_lid").alias("_nid"), F.col("order_id").alias("_noid")
+    ).agg(F.count("*").alias("_named"))
+    open_orders = named.filter("_edits > 0").select(F.col("_oid").alias("_edited"), "_edits", "_last")
     stored = (
         t["sellorderdetail"]
         .join(updates, F.col("id") == F.col("_lid"), "left")
         .join(own, (F.col("id") == F.col("_nid")) & (F.col("oid_id") == F.col("_noid")), "left")
         .join(open_orders, F.col("oid_id") == F.col("_edited"), "left")
     )
-    dropped = F.col("_edited").isNotNull() & F.col("_nid").isNull()
+    dropped = F.col("_edited").isNotNull() & (F.coalesce("_named", F.lit(0)) < F.col("_edits"))
     kept = stored.filter(~dropped).select(
         "id", "oid_id", "product_id",
         F.coalesce("_q", "quantity").alias("quantity"), F.coalesce("_p", "price").alias("price"),
     )
-    rows = wanted.filter(F.col("line_id") == "").select(
+    added = wanted.join(open_orders.select(F.col("_last").alias("seq")), "seq", "left_semi")
+    rows = added.filter(F.col("line_id") == "").select(
         F.col("order_id").alias("oid_id"), "seq", "line_no", "product_id", "quantity", "price"
     )
-    rows = _assign_ids(
-        rows, t["sellorderdetail"], [F.col("seq"), F.col("line_no")],
-        [id_block("seq"), F.col("seq"), id_block("line_no")],
-    )
+    rows = _assign_ids(rows, t["sellorderdetail"], [F.col("seq"), F.col("line_no")])
     tables = _as_tables(t).replaced(
         sellorder=new_orders, sellorderdetail=kept.unionByName(conform(rows, "sellorderdetail"))
     )
@@ -803,9 +942,7 @@ def apply_category_tree(t: Mapping[str, DataFrame], nodes: DataFrame) -> ChangeR
         below = fresh.join(above, F.col("pId") == F.col("_pid")).filter(F.col("ordinal") > F.col("_pord"))
         level = cut(below.select(*fresh.columns, F.lit(True).alias("under_new")))
         added = added.unionByName(level)
-    added = _assign_ids(
-        added.withColumnRenamed("id", "temp_id"), stored, [F.col("ordinal")], [id_block("ordinal")]
-    )
+    added = _assign_ids(added.withColumnRenamed("id", "temp_id"), stored, [F.col("ordinal")])
     real = added.filter(F.lit(True)).select(F.col("temp_id").alias("_temp"), F.col("id").alias("_real"))
     inserted = added.join(real, F.col("under_new") & (F.col("pId") == F.col("_temp")), "left").select(
         "id", "name", F.coalesce("_real", "pId").alias("pid_id"), F.lit(False).alias("hidden")

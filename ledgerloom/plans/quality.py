@@ -39,6 +39,22 @@ def _too_long(name: str, limit: int = K.NOTE_MAX) -> Column:
     return F.length(_text(name)) > limit
 
 
+def bad_quantity(name: str) -> Column:
+    """Not a positive whole number that the ledger can hold."""
+    number = _text(name).try_cast("bigint")
+    return _bad(name, K.RE_QUANTITY) | F.coalesce(number > K.QUANTITY_MAX, F.lit(True))
+
+
+def _bad_money(text: Column) -> Column:
+    """Not an amount of at most two decimals that the ledger can hold."""
+    return ~text.rlike(K.RE_MONEY) | F.coalesce(text.try_cast("decimal(20,2)") >= K.MONEY_BELOW, F.lit(True))
+
+
+def bad_id(name: str) -> Column:
+    """Neither empty nor an id."""
+    return _filled(name) & (_bad(name, K.RE_ID) | _text(name).try_cast("bigint").isNull())
+
+
 def errors_of(rules: dict[str, Column]) -> Column:
     """Codes of the broken rules, in rule order."""
     return F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in rules.items()]))
@@ -62,7 +78,7 @@ def order_rules() -> dict[str, Column]:
     code, discount, note = (squash(_text(name)) for name in ("code", "discount", "note"))
     return {
         "code": (code != "") & ~code.rlike(K.RE_CODE),
-        "discount": (discount != "") & ~discount.rlike(K.RE_MONEY),
+        "discount": (discount != "") & _bad_money(discount),
         "note": F.length(note) > K.NOTE_MAX,
     }
 
@@ -85,7 +101,7 @@ def validate_order(df: DataFrame, as_of: date | None = None) -> DataFrame:
 
 
 def order_line_rules() -> dict[str, Column]:
-    return {"price": _bad("price", K.RE_MONEY), "quantity": _bad("quantity", K.RE_QUANTITY)}
+    return {"price": _bad_money(_text("price")), "quantity": bad_quantity("quantity")}
 
 
 def validate_order_line(df: DataFrame) -> DataFrame:
@@ -162,8 +178,8 @@ def validate_search_params(df: DataFrame, as_of: date) -> DataFrame:
 
 def receipt_line_rules() -> dict[str, Column]:
     return {
-        "value": _bad("value", K.RE_MONEY),
-        "quantity": _bad("quantity", K.RE_QUANTITY),
+        "value": _bad_money(_text("value")),
+        "quantity": bad_quantity("quantity"),
         "note": _too_long("depotdetail"),
     }
 
@@ -175,7 +191,7 @@ def validate_receipt_line(df: DataFrame) -> DataFrame:
 
 
 def issue_line_rules() -> dict[str, Column]:
-    return {"quantity": _bad("quantity", K.RE_QUANTITY)}
+    return {"quantity": bad_quantity("quantity")}
 
 
 def validate_issue_line(df: DataFrame) -> DataFrame:
@@ -185,7 +201,10 @@ def validate_issue_line(df: DataFrame) -> DataFrame:
 
 
 def stream_header_rules(kind: str) -> dict[str, Column]:
-    """``kind`` is 'in' (supplier code) or 'out' (shop). Missing links are NULL."""
+    """``kind`` is 'in' (supplier code) or 'out' (shop). Missing links are NULL.
+
+    What a header's links must be like in other tables is added by ``linked_header_rules``.
+    """
     party = {
         "in": F.coalesce(~F.col("supplier").isin(*K.SUPPLIERS), F.lit(True)),
         "out": F.col("shop_id").isNull(),
@@ -200,15 +219,41 @@ def stream_header_rules(kind: str) -> dict[str, Column]:
     }
 
 
-def validate_stream_header(df: DataFrame, kind: str = "in", staff: DataFrame | None = None) -> DataFrame:
-    """Receipt or issue headers; with ``staff``, the handler must be of level 5 or above."""
+def linked_header_rules(
+    df: DataFrame, kind: str, staff: DataFrame, shops: DataFrame | None = None, head_office: str = K.HEAD_OFFICE
+) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with look-ups (columns ``_...``), and the header rules with those on links.
+
+    The keeper must be a staff member, the handler one of level 5 or above, and an issue's shop one
+    that is known and not the head office.
+    """
     rules = stream_header_rules(kind)
-    if staff is None:
-        return _with_errors(df, rules)
     levels = staff.select(F.col("id").alias("_sid"), F.col("level").alias("_level"))
-    df = df.join(levels, F.col("staff1_id") == F.col("_sid"), "left")
+    keepers = staff.select(F.col("id").alias("_keeper"))
+    df = df.join(levels, F.col("staff1_id") == F.col("_sid"), "left").join(
+        keepers, F.col("keeper_id") == F.col("_keeper"), "left"
+    )
+    rules["keeper"] = F.col("_keeper").isNull()
     rules["staff1"] = rules["staff1"] | F.coalesce(F.col("_level") < 5, F.lit(True))
-    return _with_errors(df, rules).drop("_sid", "_level")
+    if kind == "out" and shops is not None:
+        known = shops.filter(F.col("name") != head_office).select(F.col("id").alias("_shop"))
+        df = df.join(known, F.col("shop_id") == F.col("_shop"), "left")
+        rules["shop"] = F.col("_shop").isNull()
+    return df, rules
+
+
+def validate_stream_header(
+    df: DataFrame,
+    kind: str = "in",
+    staff: DataFrame | None = None,
+    shops: DataFrame | None = None,
+    head_office: str = K.HEAD_OFFICE,
+) -> DataFrame:
+    """Receipt or issue headers; with ``staff`` and ``shops`` the links are checked too."""
+    if staff is None:
+        return _with_errors(df, stream_header_rules(kind))
+    looked, rules = linked_header_rules(df, kind, staff, shops, head_office)
+    return _with_errors(looked, rules).select(*df.columns, "errors")
 
 
 # -- master data -----------------------------------------------------------------------

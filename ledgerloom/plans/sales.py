@@ -27,7 +27,7 @@ def _zero():
 
 def order_total(t: Tables) -> DataFrame:
     """Every order with its total."""
-    return with_total(t, t["sellorder"].select("id", "discount")).select(
+    return with_total(t, t["sellorder"].select("id", "discount"), whole=True).select(
         F.col("id").alias("oid_id"), "total"
     )
 
@@ -82,7 +82,7 @@ def shop_daily_sales(
 
 
 def recent_orders(t: Tables, n: int = K.RECENT_ORDERS) -> DataFrame:
-    """The newest visible orders; totals and names are looked up for those rows only."""
+    """The newest visible orders, newest first; totals and names are looked up for those rows only."""
     newest = top_k(
         t["sellorder"].filter(visible()).select("id", "shop_id", "staff_id", "discount", "date"),
         n,
@@ -91,7 +91,7 @@ def recent_orders(t: Tables, n: int = K.RECENT_ORDERS) -> DataFrame:
     df = fk_lookup(with_total(t, newest), "shop_id", t["shop"], shop="name")
     return fk_lookup(df, "staff_id", t["staff"], staff="name").select(
         "id", "shop", "staff", "total", "date"
-    )
+    ).orderBy(F.col("id").desc())
 
 
 def notice_list(t: Tables) -> DataFrame:

@@ -13,6 +13,7 @@ from ledgerloom.functions.labels import customer_label, staff_label
 from ledgerloom.functions.predicates import order_filter, orders_in_scope, visible
 from ledgerloom.functions.text import any_contains, icontains, raw_like
 from ledgerloom.operators import stock
+from ledgerloom.operators.cost import product_summary
 from ledgerloom.operators.lookup import fk_lookup
 from ledgerloom.operators.orders import with_total
 from ledgerloom.operators.paging import page_slice, top_k, top_k_per
@@ -45,7 +46,7 @@ def order_search_page(t: Tables, *, as_of: date, page: int = 1, **fields) -> Dat
     """One page of matches, newest first; totals and names are computed for that page only."""
     matches = t["sellorder"].filter(order_filter(as_of=as_of, **fields))
     rows = page_slice(matches, [F.col("id").desc()], page, levels=[-id_block("id")])
-    return order_rows(t, with_total(t, rows))
+    return order_rows(t, with_total(t, rows)).orderBy(F.col("id").desc())
 
 
 def order_search_summary(t: Tables, *, as_of: date, **fields) -> DataFrame:
@@ -58,9 +59,9 @@ def order_search_summary(t: Tables, *, as_of: date, **fields) -> DataFrame:
 
 
 def order_search_simple(t: Tables, count: int, *, level: int, shop_id: int) -> DataFrame:
-    """The newest ``count`` orders in scope, hidden ones included."""
+    """The newest ``count`` orders in scope, newest first, hidden ones included."""
     rows = top_k(t["sellorder"].filter(orders_in_scope(level, shop_id)), count, F.col("id").desc())
-    return order_rows(t, with_total(t, rows))
+    return order_rows(t, with_total(t, rows)).orderBy(F.col("id").desc())
 
 
 def order_search_exact(t: Tables, order_id: int) -> DataFrame:
@@ -126,30 +127,29 @@ def returnable_products(t: Tables, q: str = "%", shop_id: int | None = None, lim
     )
 
 
-def product_search(t: Tables, q: str, kind: str = "simple", limit: int = K.SEARCH_LIMIT) -> DataFrame:
-    """Visible products whose name or barcode contains ``q``; ``mini`` adds stock and price."""
-    found = t["products"].filter(visible() & any_contains(q, "name", "barcode"))
-    found = top_k(found.select("id", "name", "barcode"), limit, F.col("id"))
+def product_search(t: Tables, q: str, kind: str = "simple", limit: int | None = None) -> DataFrame:
+    """Visible products whose name or barcode contains ``q``; ``mini`` adds stock and price.
+
+    A ``limit`` (screens show ``SEARCH_LIMIT``) keeps the first by id.
+    """
+    found = t["products"].filter(visible() & any_contains(q, "name", "barcode")).select("id", "name", "barcode")
+    if limit is not None:
+        found = top_k(found, limit, F.col("id"))
     if kind == "simple":
         return found
-    from ledgerloom.operators.cost import product_summary
-
-    summary = product_summary(t).select(F.col("product_id").alias("id"), "on_hand", "last_value")
+    summary = product_summary(t, found.select("id")).select(F.col("product_id").alias("id"), "on_hand", "last_value")
     return found.join(summary, "id", "left")
 
 
 # -- people ----------------------------------------------------------------------------
 
 
-def customer_search(t: Tables, q: str, limit: int = K.SEARCH_LIMIT) -> DataFrame:
-    found = t["customer"].filter(visible() & any_contains(q, "name", "code", "telephone"))
-    return top_k(
-        found.select(
-            "id", customer_label(F.col("name"), F.col("code"), F.col("telephone"), F.col("id")).alias("label")
-        ),
-        limit,
-        F.col("id"),
+def customer_search(t: Tables, q: str, limit: int | None = None) -> DataFrame:
+    """Visible customers whose name, code or telephone contains ``q``; a ``limit`` keeps the first by id."""
+    found = t["customer"].filter(visible() & any_contains(q, "name", "code", "telephone")).select(
+        "id", customer_label(F.col("name"), F.col("code"), F.col("telephone"), F.col("id")).alias("label")
     )
+    return found if limit is None else top_k(found, limit, F.col("id"))
 
 
 def staff_search(t: Tables, q: str, shop_id: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.labels import staff_label, supplier_label
-from ledgerloom.functions.money import cents, half_up_cents, line_amount, line_cents, money
+from ledgerloom.functions.money import cents, half_up_cents, line_amount, line_cents, money, share_of_cost
 from ledgerloom.functions.predicates import visible
 from ledgerloom.operators import cost, stock
 from ledgerloom.operators.lookup import fk_lookup, lines_of
@@ -107,11 +107,10 @@ def depot_value(t: Tables) -> DataFrame:
     visible ones. A product without visible receipts drops out of both sums.
     """
     positions = stock.net_stock(t["indetail"], stock.visible_issues(t), ["depot_id", "product_id"])
-    valued = positions.join(cost.mean_cost(stock.visible_receipts(t)), "product_id")
+    valued = positions.join(cost.received(stock.visible_receipts(t)), "product_id")
     per_depot = valued.groupBy("depot_id").agg(
         F.sum("stock").alias("quantity"),
-        F.sum(F.col("stock").cast("decimal(18,0)") * F.col("mean_cents").cast("decimal(12,0)")).alias("_whole"),
-        F.sum(F.col("stock") * F.col("mean_rest")).alias("_rest"),
+        F.sum(share_of_cost(F.col("stock"), F.col("in_cents"), F.col("in_qty"))).alias("_value"),
     )
     return (
         t["depot"]
@@ -121,7 +120,7 @@ def depot_value(t: Tables) -> DataFrame:
             "depot_id",
             "name",
             F.coalesce("quantity", _zero()).alias("quantity"),
-            money(F.coalesce(half_up_cents(F.col("_whole"), F.col("_rest")), _zero())).alias("amount"),
+            money(F.coalesce(half_up_cents(F.col("_value")), _zero())).alias("amount"),
         )
     )
 
@@ -149,22 +148,24 @@ def receipt_summary(t: Tables) -> DataFrame:
     )
 
 
-def issue_summary(t: Tables) -> DataFrame:
+def issue_summary(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Per issue or return: quantity and value at mean cost over all receipts, hidden too.
 
-    Products never received are left out of both sums.
+    Products never received are left out of both sums. With ``ids`` (a column ``id``) only those documents.
     """
-    valued = t["outdetail"].join(cost.mean_cost(t["indetail"]), "product_id")
+    lines, headers = t["outdetail"], t["outstream"].select("id")
+    if ids is not None:
+        headers = headers.join(ids, "id", "left_semi")
+        lines = lines.join(ids.select(F.col("id").alias("outid_id")), "outid_id", "left_semi")
+    valued = lines.join(cost.received(t["indetail"]), "product_id")
     q = F.col("quantity").cast("bigint")
     sums = valued.groupBy("outid_id").agg(
-        F.sum(q).alias("quantity"),
-        F.sum(q * F.col("mean_cents")).alias("_whole"),
-        F.sum(q * F.col("mean_rest")).alias("_rest"),
+        F.sum(q).alias("quantity"), F.sum(share_of_cost(q, F.col("in_cents"), F.col("in_qty"))).alias("_value")
     )
-    return t["outstream"].select("id").join(sums, F.col("id") == F.col("outid_id"), "left").select(
+    return headers.join(sums, F.col("id") == F.col("outid_id"), "left").select(
         F.col("id").alias("outid_id"),
         F.coalesce("quantity", _zero()).alias("quantity"),
-        money(F.coalesce(half_up_cents(F.col("_whole"), F.col("_rest")), _zero())).alias("amount"),
+        money(F.coalesce(half_up_cents(F.col("_value")), _zero())).alias("amount"),
     )
 
 
@@ -191,7 +192,7 @@ def _out_list(t: Tables, returned: bool) -> DataFrame:
     headers = t["outstream"].filter(F.col("returned") if returned else ~F.col("returned")).select(
         "id", "code", "shop_id", "date", "hidden", "keeper_id", "staff1_id"
     )
-    sums = issue_summary(t).withColumnRenamed("outid_id", "id")
+    sums = issue_summary(t, headers.select("id")).withColumnRenamed("outid_id", "id")
     df = fk_lookup(_people(t, headers.join(sums, "id")), "shop_id", t["shop"], shop="name")
     return df.select("id", "code", "shop", "date", "hidden", "keeper", "staff1", "quantity", "amount")
 
@@ -276,11 +277,13 @@ def issue_search(
     lines = t["outdetail"].filter(F.col("quantity") != 0)
     if product_id is not None:
         lines = lines.filter(F.col("product_id") == product_id)
+    picked = headers.select(F.col("id").alias("outid_id"), "code", "shop_id", "date", "hidden")
+    # pick the lines of the matching documents before they are summed
+    lines = lines.join(picked.select("outid_id"), "outid_id", "left_semi")
     sums = lines.groupBy("outid_id", "product_id").agg(
         F.sum(F.col("quantity").cast("bigint")).alias("product_qty"),
         F.max(F.lit(True) if depot_id is None else F.col("depot_id") == depot_id).alias("_hit"),
     )
-    picked = headers.select(F.col("id").alias("outid_id"), "code", "shop_id", "date", "hidden")
     found = sums.filter("_hit").drop("_hit").join(picked, "outid_id")
     totals = found.groupBy("product_id").agg(F.sum("product_qty").alias("total_qty"))
     return found.join(totals, "product_id")

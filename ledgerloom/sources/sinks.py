@@ -12,30 +12,28 @@ from ledgerloom.functions.text import pipe_row
 
 BOM = "﻿"
 
-#: a report up to this many rows is written as one file, a larger one as ordered parts
-SINGLE_FILE_ROWS = 1_000_000
 
-
-def _write_csv(df: DataFrame, path: str, header: Sequence[str], order: Sequence[Column]) -> None:
+def _write_csv(
+    df: DataFrame, path: str, header: Sequence[str], order: Sequence[Column], single_file: bool
+) -> None:
     """CSV with a UTF-8 byte order mark and a heading line in every file.
 
     Rows are range-partitioned on the report order; part files in name order make up the
-    whole report.
+    whole report. ``single_file`` is for reports known to be small: one task writes them.
     """
     names = [BOM + header[0], *header[1:]]
-    small = df.limit(SINGLE_FILE_ROWS + 1).count() <= SINGLE_FILE_ROWS
-    ordered = df.coalesce(1).sortWithinPartitions(*order) if small else df.orderBy(*order)
+    ordered = df.repartition(1).sortWithinPartitions(*order) if single_file else df.orderBy(*order)
     columns = [c for c in df.columns if c != "ordinal"]
     out = ordered.select(*[F.col(c).alias(n) for c, n in zip(columns, names)])
     out.write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_sales_report_csv(report: DataFrame, path: str) -> None:
+def write_sales_report_csv(report: DataFrame, path: str, single_file: bool = False) -> None:
     """Write the rows of ``reports.sales_report``, footer last."""
-    _write_csv(report, path, SALES_REPORT_HEADER, [F.col("ordinal")])
+    _write_csv(report, path, SALES_REPORT_HEADER, [F.col("ordinal")], single_file)
 
 
-def write_stock_report_csv(report: DataFrame, path: str) -> None:
+def write_stock_report_csv(report: DataFrame, path: str, single_file: bool = False) -> None:
     """Write one container's ``reports.stock_report``."""
     rows = report.select(
         F.col("no").alias("ordinal"),
@@ -44,7 +42,7 @@ def write_stock_report_csv(report: DataFrame, path: str) -> None:
             for c in ("no", "name", "barcode", "size", "stock", "depot_stock", "status")
         ],
     )
-    _write_csv(rows, path, STOCK_REPORT_HEADER, [F.col("ordinal")])
+    _write_csv(rows, path, STOCK_REPORT_HEADER, [F.col("ordinal")], single_file)
 
 
 def to_json_rows(df: DataFrame, *columns: str) -> DataFrame:

@@ -202,18 +202,34 @@ query(
     "product_search", "i_products",
     """
 select id, name, barcode from i_products where not hidden
-and (contains(lower(name), 'ring') or contains(barcode, 'ring')) order by id limit 100
+and (contains(lower(name), 'ring') or contains(barcode, 'ring'))
 """,
 )(lambda t: Q.product_search(t, "RING"))
+query(
+    "product_search_first", "i_products",
+    """
+select id, name, barcode from i_products where not hidden
+and (contains(lower(name), 'ring') or contains(barcode, 'ring')) order by id limit 100
+""",
+)(lambda t: Q.product_search(t, "RING", limit=100))
 query(
     "product_search_mini", "i_products summary",
     """
 select p.*, on_hand, last_value_cents from (
 select id, name, barcode from i_products where not hidden
-and (contains(lower(name), '01') or contains(barcode, '01')) order by id limit 100) p
+and (contains(lower(name), '01') or contains(barcode, '01'))) p
 left join summary s on s.product_id = p.id
 """,
 )(lambda t: Q.product_search(t, "01", kind="mini"))
+query(
+    "product_search_mini_first", "i_products summary",
+    """
+select p.*, on_hand, last_value_cents from (
+select id, name, barcode from i_products where not hidden
+and (contains(lower(name), '01') or contains(barcode, '01')) order by id limit 100) p
+left join summary s on s.product_id = p.id
+""",
+)(lambda t: Q.product_search(t, "01", kind="mini", limit=100))
 
 # -- people ----------------------------------------------------------------------------
 
@@ -223,9 +239,17 @@ query(
 select id, concat_ws('|', name, coalesce(code, 'None'), coalesce(telephone, 'None'), cast(id as varchar)) as label
 from i_customer where not hidden
 and (contains(lower(name), 'build') or contains(lower(code), 'build') or contains(telephone, 'build'))
-order by id limit 100
 """,
 )(lambda t: Q.customer_search(t, "Build"))
+query(
+    "customer_search_first", "i_customer",
+    """
+select id, concat_ws('|', name, coalesce(code, 'None'), coalesce(telephone, 'None'), cast(id as varchar)) as label
+from i_customer where not hidden
+and (contains(lower(name), 'build') or contains(lower(code), 'build') or contains(telephone, 'build'))
+order by id limit 100
+""",
+)(lambda t: Q.customer_search(t, "Build", limit=100))
 query(
     "staff_search", "i_staff",
     f"select id, shop_id, {STAFF_LABEL.format(a='s')} as label from i_staff s where level <> 0 and contains(lower(name), 'r#0')",

@@ -79,6 +79,10 @@ from shop_stock join i_shop on id = shop_id where stock <> 0
 """,
 )(S.product_by_shop_chart)
 
+# q * paid / received in millionths of a cent, rounded half up once
+_VALUE = (
+    "{q} * (c // n) * 1000000 + sign({q}) * ((abs({q}) * (c % n) * 2000000 + n) // (2 * n))"
+)
 query(
     "depot_value", "i_indetail v_in v_out i_depot",
     """
@@ -87,12 +91,12 @@ with pos as (
   (select depot_id, product_id, sum(quantity) q from i_indetail group by 1, 2) i left join
   (select depot_id, product_id, sum(quantity) q from v_out group by 1, 2) o
   on o.depot_id = i.depot_id and o.product_id = i.product_id),
-mean as (select product_id, sum(quantity * value_cents) * 1000000 // sum(quantity) as m from v_in group by 1),
-val as (select depot_id, sum(stock) as quantity, sum(stock * m) as x from pos join mean using (product_id) group by 1)
+paid as (select product_id, sum(quantity * value_cents)::hugeint as c, sum(quantity)::hugeint as n from v_in group by 1),
+val as (select depot_id, sum(stock) as quantity, sum(@VALUE) as x from pos join paid using (product_id) group by 1)
 select d.id as depot_id, d.name, cast(coalesce(quantity, 0) as bigint) as quantity,
   cast(coalesce(sign(x) * ((abs(x) + 500000) // 1000000), 0) as bigint) as amount_cents
 from i_depot d left join val on val.depot_id = d.id
-""",
+""".replace("@VALUE", _VALUE.format(q="stock")),
 )(S.depot_value)
 
 query(
@@ -114,9 +118,9 @@ from i_instream h left join (select inid_id, count(*) n, sum(quantity) q, sum(qu
 )(S.receipt_summary)
 
 _ISSUE_SUM = """
-with mean as (select product_id, sum(quantity * value_cents) * 1000000 // sum(quantity) as m from i_indetail group by 1),
-s as (select outid_id, sum(quantity) as q, sum(quantity * m) as x from i_outdetail join mean using (product_id) group by 1)
-"""
+with paid as (select product_id, sum(quantity * value_cents)::hugeint as c, sum(quantity)::hugeint as n from i_indetail group by 1),
+s as (select outid_id, sum(quantity) as q, sum(@VALUE) as x from i_outdetail join paid using (product_id) group by 1)
+""".replace("@VALUE", _VALUE.format(q="quantity"))
 query(
     "issue_summary", "i_outstream i_outdetail i_indetail",
     _ISSUE_SUM + """

@@ -334,14 +334,20 @@ from i_indetail group by product_id having product_id in (select product_id from
 (select o_orderkey from orders where o_orderpriority = '1-URGENT'))
 """,
 )(
-    lambda t: cost.mean_cost(
+    lambda t: cost.received(
         t["indetail"].join(
             t["outdetail"].join(
                 t["outstream"].filter(F.col("note") == "1-URGENT").select(F.col("id").alias("outid_id")), "outid_id", "left_semi"
             ).select("product_id"),
             "product_id", "left_semi",
         )
-    ).select("product_id", (F.col("mean_cents") * 1_000_000 + F.col("mean_rest")).alias("mean_millionths"))
+    ).select(
+        "product_id",
+        (
+            money.mean_whole(F.col("in_cents"), F.col("in_qty")) * 1_000_000
+            + money.mean_millionths(F.col("in_cents"), F.col("in_qty"))
+        ).alias("mean_millionths"),
+    )
 )
 query(
     "anti_join", "i_category",

@@ -64,11 +64,10 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
             spark.sql(f"drop table default.{n}")
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_sales_report_file(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(sinks, "SINGLE_FILE_ROWS", limit)
+@pytest.mark.parametrize("single_file", [True, False])
+def test_sales_report_file(spark, tmp_path, single_file):
     path = str(tmp_path / "report")
-    sinks.write_sales_report_csv(reports.sales_report(ledger(spark), as_of=AS_OF), path)
+    sinks.write_sales_report_csv(reports.sales_report(ledger(spark), as_of=AS_OF), path, single_file=single_file)
     files = sorted(glob.glob(f"{path}/part-*.csv"))
     lines = []
     for name in files:
@@ -77,7 +76,7 @@ def test_sales_report_file(spark, tmp_path, monkeypatch, limit):
         head, *rest = raw.decode("utf-8-sig").splitlines()
         assert head == "编号,店铺,日期,产品名称,尺寸,类别,价格,数量,小计"
         lines += rest
-    assert len(files) == 1 or limit == 0
+    assert len(files) == 1 or not single_file
     assert lines[0].startswith('1,East,2012-06-29 10:00:00,Silk_Sheet,"230,180",Sheet,20.00,1,20.00')
     assert lines[-1].endswith("折扣总额,6.00,实收,29.50") and len(lines) == 3
 
