@@ -290,6 +290,20 @@ select h.id, h.code, h.supplier + 1 as supplier, """ + err(
         t["instream"].withColumn("supplier", F.col("supplier").cast("bigint") + 1), "in", t["staff"]
     ).select("id", "code", "supplier", "errors")
 )
+query(
+    "validate_stream_header_out", "i_outstream i_staff i_shop",
+    """
+with x as (select h.*, (h.shop_id + 1) % 27 as shop, s.level, k.id as keeper from i_outstream h
+  left join i_staff s on s.id = h.staff1_id left join i_staff k on k.id = h.keeper_id)
+select x.id, x.code, x.shop as shop_id, """ + err(
+        code=f"x.code <> '' and {bad('x.code', CODE_RE)}", shop="f.id is null", keeper="x.keeper is null",
+        staff1="coalesce(x.level, 0) < 5", note="length(x.note) > 100",
+    ) + f" from x left join i_shop f on f.id = x.shop and f.name <> '{HEAD_OFFICE}'",
+)(
+    lambda t: V.validate_stream_header(
+        t["outstream"].withColumn("shop_id", (F.col("shop_id") + 1) % 27), "out", t["staff"], t["shop"], HEAD_OFFICE
+    ).select("id", "code", "shop_id", "errors")
+)
 query(
     "validate_product", "i_products",
     """

@@ -6,7 +6,7 @@ own values.
 
 from pyspark.sql import functions as F
 from registry.catalog_queries import CUSTOMER_ERR, CUSTOMER_TEXT, customer_text
-from registry.core import AS_OF, query
+from registry.core import AS_OF, HEAD_OFFICE, query
 
 from ledgerloom.plans import changes as J
 
@@ -22,84 +22,137 @@ query(
 )(lambda t: J.soft_delete(t, "sellorder", t["remit"]).tables["sellorder"].select("id", "hidden"))
 
 
-def header_changes(t):
-    """Every receipt header: hidden ones sent in as new, the others with a new supplier."""
-    return t["instream"].select(
-        F.col("id").alias("seq"), F.when(~F.col("hidden"), F.col("id")).alias("id"),
+def header_changes(t, table):
+    """Each header of a table: every seventh sent in as new, the others changed; coded ones twice, the first time with a bad code.
+
+    Headers without a code all ask for the same one.
+    """
+    party = (
+        (F.col("supplier").cast("bigint") % 4 + 1).alias("supplier")
+        if table == "instream" else ((F.col("shop_id") + 1) % 27).alias("shop_id")
+    )
+    base = t[table].select(
+        (F.col("id") * 2 + 1).alias("seq"), F.when(F.col("id") % 7 != 0, F.col("id")).alias("id"),
         F.concat(F.coalesce("code", F.lit("NEW1")), F.when(F.col("note") == "5-LOW", "-").otherwise("x")).alias("code"),
-        (F.col("supplier").cast("bigint") % 4 + 1).alias("supplier"), "date", "keeper_id", "staff1_id",
-        (F.col("note") == "2-HIGH").alias("hidden"), "note",
+        party, F.col("date").alias("date"), "keeper_id", "staff1_id", (F.col("note") == "2-HIGH").alias("hidden"), "note",
+    )
+    first = base.filter(~F.col("code").startswith("NEW1")).withColumn("seq", F.col("seq") - 1).withColumn(
+        "code", F.when(F.col("note") == "1-URGENT", F.lit("!")).otherwise(F.concat("code", F.lit("0")))
     )
+    return base.unionByName(first)
 
 
-_HEADER_CHANGES = """
-with x as (select h.id as seq, case when not h.hidden then h.id end as id,
+def _header_sql(table, party, links, reason):
+    return f"""
+with b as (select h.id * 2 + 1 as seq, case when h.id % 7 <> 0 then h.id end as id,
     concat(coalesce(code, 'NEW1'), case when note = '5-LOW' then '-' else 'x' end) as code,
-    h.supplier % 4 + 1 as supplier, h.date, note, note = '2-HIGH' as hidden, coalesce(s.level, 0) as level
-  from i_instream h left join i_staff s on s.id = h.staff1_id),
-r as (select *, case when not regexp_full_match(code, '[A-Za-z0-9]{4,20}') then 'code'
-  when level < 5 then 'staff1' end as reason from x)
+    {party}, note, note = '2-HIGH' as hidden, coalesce(s.level, 0) as level, k.id as keeper
+  from {table} h left join i_staff s on s.id = h.staff1_id left join i_staff k on k.id = h.keeper_id),
+x as (select * from b union all
+  select seq - 1, id, case when note = '1-URGENT' then '!' else concat(code, '0') end, * exclude (seq, id, code)
+  from b where code not like 'NEW1%'),
+c as (select x.*, case when not regexp_full_match(code, '[A-Za-z0-9]{{4,20}}') then 'code' {reason}
+  when keeper is null then 'keeper' when level < 5 then 'staff1' end as broken from x {links}),
+o as (select *, case when broken is null then min(case when broken is null then seq end) over (partition by code) end as first from c),
+r as (select o.*, coalesce(o.broken, case when o.seq > o.first and not coalesce(o.id = p.id, false) then 'duplicate_code' end) as reason
+  from o left join c p on p.seq = o.first),
+w as (select * from r where reason is null and id is not null qualify row_number() over (partition by id order by seq desc) = 1)
+"""
+
+
+_IN = _header_sql("i_instream", "h.supplier % 4 + 1 as supplier", "", "")
+_OUT = _header_sql(
+    "i_outstream", "(h.shop_id + 1) % 27 as shop_id",
+    f"left join i_shop on i_shop.id = x.shop_id and i_shop.name <> '{HEAD_OFFICE}'", "when i_shop.id is null then 'shop'",
+)
+_HEADERS = """
+select h.id, coalesce(w.code, h.code) as code, coalesce(w.{party}, h.{party}) as {party}, coalesce(w.hidden, h.hidden) as hidden{more}
+from {table} h left join w on w.id = h.id
+union all select (select max(id) from {table}) + row_number() over (order by seq), code, {party}, false{new}
+from r where id is null and reason is null
 """
 query(
     "upsert_headers", "i_instream i_staff",
-    _HEADER_CHANGES + """
-select h.id, coalesce(r.code, h.code) as code, coalesce(r.supplier, h.supplier) as supplier, coalesce(r.hidden, h.hidden) as hidden
-from i_instream h left join r on r.id = h.id and reason is null
-union all select (select max(id) from i_instream) + row_number() over (order by seq), code, supplier, false
-from r where id is null and reason is null
-""",
-)(lambda t: J.upsert_headers(t, "instream", header_changes(t)).tables["instream"].select(
+    _IN + _HEADERS.format(table="i_instream", party="supplier", more="", new=""),
+)(lambda t: J.upsert_headers(t, "instream", header_changes(t, "instream"), head_office=HEAD_OFFICE).tables["instream"].select(
     "id", "code", F.col("supplier").cast("bigint").alias("supplier"), "hidden"))
 query(
-    "upsert_headers_rejected", "i_instream i_staff",
-    _HEADER_CHANGES + "select seq, id, reason from r where reason is not null",
-)(lambda t: J.upsert_headers(t, "instream", header_changes(t)).rejected)
+    "upsert_headers_rejected", "i_instream i_staff", _IN + "select seq, id, reason from r where reason is not null",
+)(lambda t: J.upsert_headers(t, "instream", header_changes(t, "instream"), head_office=HEAD_OFFICE).rejected)
+query(
+    "upsert_headers_out", "i_outstream i_staff i_shop",
+    _OUT + _HEADERS.format(table="i_outstream", party="shop_id", more=", h.returned", new=", true"),
+)(lambda t: J.upsert_headers(
+    t, "outstream", header_changes(t, "outstream"), returned=True, head_office=HEAD_OFFICE
+).tables["outstream"].select("id", "code", "shop_id", "hidden", "returned"))
+query(
+    "upsert_headers_out_rejected", "i_outstream i_staff i_shop", _OUT + "select seq, id, reason from r where reason is not null",
+)(lambda t: J.upsert_headers(t, "outstream", header_changes(t, "outstream"), returned=True, head_office=HEAD_OFFICE).rejected)
+
+def customer_changes(t):
+    """Each customer: those of the first shops as new, the others changed twice."""
+    rows = customer_text(t)
+    last = rows.withColumn("seq", F.col("id") * 2 + 1).withColumn("id", F.when(F.col("shop_id") >= 5, F.col("id")))
+    first = rows.filter(F.col("shop_id") >= 5).withColumn("seq", F.col("id") * 2).withColumn("name", F.lit("早名一"))
+    return last.unionByName(first)
+
 
 _CUSTOMER_CHANGES = f"""
 with c as ({CUSTOMER_TEXT}),
-x as (select c.* exclude (id), c.id as seq, case when c.shop_id >= 5 then c.id end as id from c),
+x as (select c.* exclude (id), c.id * 2 + 1 as seq, case when c.shop_id >= 5 then c.id end as id from c
+  union all select c.* exclude (id) replace ('早名一' as name), c.id * 2, c.id from c where c.shop_id >= 5),
 r as (select *, {" ".join(f"case when {CUSTOMER_ERR[n]} then '{n}' else" for n in CUSTOMER_ERR)} null
-  {"end " * len(CUSTOMER_ERR)} as reason from x)
+  {"end " * len(CUSTOMER_ERR)} as reason from x),
+w as (select * from r where reason is null and id is not null qualify row_number() over (partition by id order by seq desc) = 1)
 """
 query(
     "upsert_customers", "i_customer",
     _CUSTOMER_CHANGES + """
-select i.id, coalesce(r.name, i.name) as name, case when r.id is null then i.code else r.code end as code,
-  case when r.id is null then i.telephone else r.telephone end as telephone, i.hidden
-from i_customer i left join r on r.id = i.id and reason is null
+select i.id, coalesce(w.name, i.name) as name, case when w.id is null then i.code else w.code end as code,
+  case when w.id is null then i.telephone else w.telephone end as telephone, i.hidden
+from i_customer i left join w on w.id = i.id
 union all select (select max(id) from i_customer) + row_number() over (order by seq), name, code, telephone, false
 from r where id is null and reason is null
 """,
 )(
-    lambda t: J.upsert_customers(
-        t,
-        customer_text(t).withColumn("seq", F.col("id")).withColumn("id", F.when(F.col("shop_id") >= 5, F.col("id"))),
-    ).tables["customer"].select("id", "name", "code", "telephone", "hidden")
+    lambda t: J.upsert_customers(t, customer_changes(t)).tables["customer"].select("id", "name", "code", "telephone", "hidden")
 )
 query(
-    "upsert_products", "i_products i_category",
-    """
-with x as (select id as seq, case when size is not null then id end as id, concat(name, ' II') as name, barcode,
-    case when hidden then -1 else category_id end as category_id, size, size like '1%' as hidden, repeat(note, 12) as note
-  from i_products),
-r as (select *, case when length(note) > 100 then 'note' when category_id not in (select id from i_category) then 'category' end
+    "upsert_customers_rejected", "i_customer", _CUSTOMER_CHANGES + "select seq, id, reason from r where reason is not null",
+)(lambda t: J.upsert_customers(t, customer_changes(t)).rejected)
+def product_changes(t):
+    """Each product: those without a size as new; hidden ones into no category, some into a root."""
+    category = F.when(F.col("hidden"), -1).when(F.col("id") % 10 == 0, F.call_function("div", F.col("category_id"), F.lit(100)))
+    return t["products"].select(
+        F.col("id").alias("seq"), F.when(F.col("size").isNotNull(), F.col("id")).alias("id"),
+        F.concat("name", F.lit(" II")).alias("name"), "barcode",
+        category.otherwise(F.col("category_id")).cast("bigint").alias("category_id"), "size",
+        F.col("size").startswith("1").alias("hidden"), F.repeat("note", F.lit(12)).alias("note"),
+    )
+
+
+_PRODUCT_CHANGES = """
+with parents as (select distinct pid_id from i_category where not hidden and pid_id is not null),
+form as (select id from i_category where not hidden and pid_id in (select pid_id from parents)),
+x as (select id as seq, case when size is not null then id end as id, concat(name, ' II') as name, barcode,
+    case when hidden then -1 when id % 10 = 0 then category_id // 100 else category_id end as category_id, size,
+    size like '1%' as hidden, repeat(note, 12) as note from i_products),
+r as (select *, case when length(note) > 100 then 'note' when category_id not in (select id from form) then 'category' end
   as reason from x)
+"""
+query(
+    "upsert_products", "i_products i_category",
+    _PRODUCT_CHANGES + """
 select i.id, coalesce(r.name, i.name) as name, coalesce(r.hidden, i.hidden) as hidden
 from i_products i left join r on r.id = i.id and reason is null
 union all select (select max(id) from i_products) + row_number() over (order by seq), name, false
 from r where id is null and reason is null
 """,
-)(
-    lambda t: J.upsert_products(
-        t,
-        t["products"].select(
-            F.col("id").alias("seq"), F.when(F.col("size").isNotNull(), F.col("id")).alias("id"),
-            F.concat("name", F.lit(" II")).alias("name"), "barcode",
-            F.when(F.col("hidden"), -1).otherwise(F.col("category_id")).cast("bigint").alias("category_id"), "size",
-            F.col("size").startswith("1").alias("hidden"), F.repeat("note", F.lit(12)).alias("note"),
-        ),
-    ).tables["products"].select("id", "name", "hidden")
-)
+)(lambda t: J.upsert_products(t, product_changes(t)).tables["products"].select("id", "name", "hidden"))
+query(
+    "upsert_products_rejected", "i_products i_category",
+    _PRODUCT_CHANGES + "select seq, id, reason from r where reason is not null",
+)(lambda t: J.upsert_products(t, product_changes(t)).rejected)
 query(
     "upsert_remits", "i_remit i_staff",
     """
@@ -129,14 +182,16 @@ query(
     """
 select id, inid_id, product_id, quantity, value_cents, depot_id from i_indetail
 union all select (select max(id) from i_indetail) + row_number() over (order by id), outid_id, product_id, quantity, 1250, depot_id
-from i_outdetail where quantity > 0 and quantity * 3 <= 100
+from i_outdetail where quantity > 0 and quantity * 3 <= 100 and id % 50 > 2
 """,
 )(
     lambda t: J.add_receipt_lines(
         t,
         t["outdetail"].select(
             F.col("id").alias("seq"), F.col("outid_id").alias("inid_id"), "product_id", "depot_id",
-            F.lit("12.5").alias("value"), F.col("quantity").cast("string").alias("quantity"),
+            F.when(F.col("id") % 50 == 0, "123456789").otherwise("12.5").alias("value"),
+            F.when(F.col("id") % 50 == 1, F.repeat(F.lit("9"), F.lit(20))).when(F.col("id") % 50 == 2, "3000000000")
+            .otherwise(F.col("quantity").cast("string")).alias("quantity"),
             F.repeat(F.lit("x"), F.abs(F.col("quantity")) * 3).alias("depotdetail"),
         ),
     ).tables["indetail"].select(
@@ -318,9 +373,11 @@ from i_outdetail l left join walk w on w.id = l.id and w.ok
 
 
 def issue_deletes(t):
-    """Every line of a returned document."""
+    """Every line of a returned document, every third line twice."""
     returned = t["outstream"].filter("returned").select(F.col("id").alias("outid_id"))
-    return t["outdetail"].join(returned, "outid_id", "left_semi").select(F.col("id").alias("seq"), "id")
+    lines = t["outdetail"].join(returned, "outid_id", "left_semi")
+    again = lines.filter(F.col("id") % 3 == 0).select((F.col("id") * 2 + 1).alias("seq"), "id")
+    return lines.select((F.col("id") * 2).alias("seq"), "id").unionByName(again)
 
 
 query(
@@ -335,9 +392,10 @@ query(
 query(
     "audit_log", "i_outdetail i_outstream i_products i_depot",
     """
-with e as (select h.id, l.id as seq, concat('2001-08-01 op 删除 产品：', p.name, chr(10), '原:', cast(l.quantity as varchar),
-  '套 仓库', d.name, chr(10), repeat('-', 31), chr(10)) as entry
-  from i_outdetail l join i_outstream h on h.id = l.outid_id join i_products p on p.id = l.product_id
+with twice as (select *, 0 as again from i_outdetail union all select *, 1 from i_outdetail where id % 3 = 0),
+e as (select h.id, l.id * 2 + again as seq, concat('2001-08-01 op 删除 产品：', p.name, chr(10), '原:',
+  cast(case when again = 1 then 0 else l.quantity end as varchar), '套 仓库', d.name, chr(10), repeat('-', 31), chr(10)) as entry
+  from twice l join i_outstream h on h.id = l.outid_id join i_products p on p.id = l.product_id
   join i_depot d on d.id = l.depot_id where h.returned)
 select h.id, string_agg(entry, '' order by seq desc) as log from i_outstream h left join e on e.id = h.id group by 1
 """,
