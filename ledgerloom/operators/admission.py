@@ -16,7 +16,9 @@ fully in the one and not at all in the other. A request that fits even under the
 sum is accepted, one that does not fit even under the lower is rejected, the rest wait
 for the next round. The first undecided request has equal bounds, so every round decides
 some and the result is exactly the sequential one. As soon as what is left of a
-component is small enough, it is replayed too.
+component is small enough, or a round decides too small a share, the rest is replayed.
+
+Deciding is eager: calling this starts jobs even if only the plan of the result is wanted.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ _OPEN, _ACCEPTED, _REJECTED = 0, 1, 2
 #: components with up to this many claims are replayed in one task
 REPLAY_ROWS = 1_000_000
 
+#: narrowing ends when a round decides less than this share of the open claims; a task then
+#: streams through what is left, which takes time but, holding only what was taken, no memory
+LEAST_DECIDED = 0.1
+
 
 def _replay(keys: list[str], component: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task function deciding claims that arrive sorted by component and ``seq``.
@@ -167,20 +173,25 @@ def admit_in_order(
     big = cut(big)
     done = replay(claims.join(big, component, "left_anti"))
     large = claims.join(big, component, "left_semi")
-    won = []
+    accepted = large.select("seq").limit(0)
     work = large.filter("eligible")
-    while not work.filter(F.col("status") == _OPEN).isEmpty():
+    open_claims = work.filter(F.col("status") == _OPEN).count()
+    while open_claims:
         judged = cut(_bounding_round(work, keys, columns))
-        won.append(judged.filter(F.col("status") == _ACCEPTED).select("seq"))
+        won = judged.filter(F.col("status") == _ACCEPTED).select("seq")
         rest = judged.filter(F.col("status") != _REJECTED)
-        big = cut(big_components(rest))
-        won.append(replay(rest.join(big, component, "left_anti")).filter("accepted").select("seq"))
-        work = rest.join(big, component, "left_semi")
-
-    accepted = large.select("seq").limit(0)
-    for part in won:
-        accepted = accepted.unionByName(part)
-    accepted = accepted.distinct().withColumn("accepted", F.lit(True))
+        left = rest.filter(F.col("status") == _OPEN).count()
+        if left > (1 - LEAST_DECIDED) * open_claims:
+            small, work = rest, rest.limit(0)
+            left = 0
+        else:
+            big = cut(big_components(rest))
+            small, work = rest.join(big, component, "left_anti"), rest.join(big, component, "left_semi")
+            left = work.filter(F.col("status") == _OPEN).count() if left else 0
+        replayed = replay(small).filter("accepted").select("seq")
+        accepted = cut(accepted.unionByName(won).unionByName(replayed).distinct())
+        open_claims = left
+    accepted = accepted.withColumn("accepted", F.lit(True))
     result = large.join(accepted, "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     taken = F.when(F.col("accepted"), F.col("delta")).otherwise(zero)
     result = running_total(result, keys, [id_block("seq")], [F.col("seq")], {"_taken": taken})

@@ -67,3 +67,26 @@ def test_blocks_of_seq(spark):
     claims = [(s << 21, 0, 0, 3, 3, True) for s in range(8)]
     got = run(spark, claims, {(0, 0): 14}, replay_rows=0)
     assert [got[s << 21, 0, 0][0] for s in range(8)] == [True] * 4 + [False] * 4
+
+
+def test_a_long_chain_ends_in_few_rounds(spark, monkeypatch):
+    """Each request wants what the one before may have taken, so narrowing decides one at a time."""
+    from ledgerloom.operators import admission
+
+    rounds = []
+    real = admission._bounding_round
+    monkeypatch.setattr(admission, "_bounding_round", lambda *a: rounds.append(1) or real(*a))
+    claims = []
+    for seq in range(2000):
+        claims.append((seq, 0, seq, 1, 1, True))
+        claims.append((seq, 0, seq + 1, 1, 1, True))
+    capacity = {(0, i): 1 for i in range(2001)}
+    assert run(spark, claims, capacity, replay_rows=0) == by_hand(claims, capacity)
+    assert len(rounds) <= 5
+
+
+def test_a_claim_without_delta_is_refused(spark):
+    claims = [(1, 0, 0, 1, None, True), (2, 0, 0, 1, 1, True)]
+    for rows in (0, 100):
+        got = run(spark, claims, {(0, 0): 1}, replay_rows=rows)
+        assert not got[1, 0, 0][0] and got[2, 0, 0][0]

@@ -88,3 +88,31 @@ def test_json_and_pipe_rows(spark, tmp_path):
     assert sinks.pipe_rows(t["depot"].orderBy("id"), "id", "name", "note").first().line == "1|North|None"
     sinks.write_json(t["shop"].select("id", "note"), str(tmp_path / "j"))
     assert '{"id":1,"note":null}' in "".join(open(f).read() for f in glob.glob(str(tmp_path / "j/part-*")))
+
+
+def test_lines_are_picked_before_they_are_summed(spark, stored):
+    """No sum over a whole line ledger stands below the pick of a page or of matching documents."""
+    from ledgerloom.plans import search
+    from ledgerloom.plans import stock as stock_plans
+
+    t = tables.load_tables(spark, stored)
+    cases = [
+        ("oid_id", sales.recent_orders(t)), ("oid_id", search.order_search_page(t, as_of=AS_OF)),
+        ("oid_id", search.order_search_simple(t, 5, level=1, shop_id=1)), ("oid_id", search.order_search(t, as_of=AS_OF)),
+        ("outid_id", stock_plans.issue_search(t, shop_id=2)), ("outid_id", stock_plans.issue_list(t)),
+        ("inid_id", search.product_search(t, "a", kind="mini", limit=5)),
+    ]
+    for key, df in cases:
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+        scans = [n for n, x in enumerate(lines) if "Relation [" in x and f"{key}#" in x]
+        assert scans
+        for n in scans:
+            above, level = [], depth[n]
+            for m in range(n - 1, -1, -1):
+                if depth[m] < level:
+                    above.append(lines[m].strip(" :+-").split(" ")[0:2])
+                    level = depth[m]
+            kinds = [" ".join(x) for x in above]
+            first = next(k for k in kinds if k.startswith(("Aggregate", "Join LeftSemi")))
+            assert first.startswith("Join LeftSemi"), kinds
