@@ -111,8 +111,7 @@ from {{orders}} join {_SHOP}""",
 select id, header_id as oid_id, product_id, quantity, price from ({_LINE}) where l_linenumber = 7""",
     "remit": f"""
 select o_orderkey as id, cast(o_orderkey % 4 + 1 as smallint) as supplier, cast(o_totalprice as decimal(8,2)) as amount,
-  o_orderkey % 10 as staff_id, cast(o_orderdate as date) as date, {_HIDDEN} from {{orders}}
-where o_orderpriority = '1-URGENT'""",
+  o_orderkey % 10 as staff_id, cast(o_orderdate as date) as date, {_HIDDEN} from {{orders}}""",
     "posts": """
 select cast(r_regionkey as bigint) as id, r_name as title, r_name as note, date'2001-08-01' as date,
   r_regionkey = 2 as hidden from {region}""",

@@ -18,8 +18,13 @@ def _s(c):
 
 query(
     "soft_delete", "i_sellorder i_remit",
-    "select id, hidden or id in (select id from i_remit) as hidden from i_sellorder",
-)(lambda t: J.soft_delete(t, "sellorder", t["remit"]).tables["sellorder"].select("id", "hidden"))
+    "select id, hidden or id in (select id from i_remit where supplier = 2) as hidden from i_sellorder",
+)(lambda t: J.soft_delete(t, "sellorder", t["remit"].filter("supplier = 2")).tables["sellorder"].select("id", "hidden"))
+for _table in ("instream", "outstream"):
+    query(
+        f"soft_delete_{_table}", f"i_{_table} i_remit",
+        f"select id, hidden or id in (select id from i_remit where supplier = 3) as hidden from i_{_table}",
+    )(lambda t, table=_table: J.soft_delete(t, table, t["remit"].filter("supplier = 3")).tables[table].select("id", "hidden"))
 
 
 def header_changes(t, table):
@@ -430,9 +435,7 @@ def new_order_docs(t):
 
 # One step per shop: the k-th order of every shop is decided in step k against the shop's
 # stock list, indexed by product.
-query(
-    "apply_new_orders", "i_sellorder i_sellorderdetail i_products shop_stock",
-    """
+_ORDER_WALK = """
 with recursive claim as (select oid_id, product_id, sum(quantity) as need from i_sellorderdetail group by 1, 2),
 ord as materialized (
   select o.id, o.shop_id, list(c.product_id) as ps, list(cast(c.need as bigint)) as ns,
@@ -450,8 +453,10 @@ walk as (
     case when n.ok then list_transform(w.stock, lambda x, i: x - coalesce(o.ns[list_position(o.ps, i - 1)], 0)) else w.stock end
   from walk w join ord o on o.shop_id = w.shop_id and o.k = w.k + 1,
   lateral (select list_bool_and(list_transform(o.ps, lambda p, i: o.ns[i] <= w.stock[p + 1])) as ok) n)
-select (select max(id) from i_sellorder) + row_number() over (order by w.id) as id, w.id as seq from walk w where ok
-""",
+"""
+query(
+    "apply_new_orders", "i_sellorder i_sellorderdetail i_products shop_stock",
+    _ORDER_WALK + "select (select max(id) from i_sellorder) + row_number() over (order by w.id) as id, w.id as seq from walk w where ok",
 )(lambda t: J.apply_new_orders(t, new_order_docs(t)).added.select("id", "seq"))
 
 
@@ -472,6 +477,15 @@ def order_edit_docs(t):
     return _documents(t, heads, line).withColumnRenamed("orderDetail", "lines")
 
 
+query(
+    "apply_new_orders_rejected", "i_sellorder i_sellorderdetail i_products shop_stock",
+    _ORDER_WALK + """
+select w.id as seq, 'over_stock' as reason from walk w where not ok and w.id >= 0
+union all select distinct o.id, 'code' from i_sellorder o join i_sellorderdetail l on l.oid_id = o.id
+where o.code is not null and not regexp_full_match(o.code, '[A-Za-z0-9]{4,20}')""",
+)(lambda t: J.apply_new_orders(t, new_order_docs(t)).rejected.select("seq", "reason"))
+
+
 query(
     "apply_order_edits", "i_sellorder i_sellorderdetail",
     """

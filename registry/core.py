@@ -111,8 +111,7 @@ _CTE = {
     "i_remit": (
         "select o_orderkey as id, o_orderkey % 4 + 1 as supplier, "
         "cast(cast(o_totalprice as decimal(12,2)) * 100 as bigint) as amount_cents, o_orderkey % 10 as staff_id, "
-        "cast(o_orderdate as date) as date, o_orderkey % 10 = 3 as hidden from orders "
-        "where o_orderpriority = '1-URGENT'",
+        "cast(o_orderdate as date) as date, o_orderkey % 10 = 3 as hidden from orders",
         [],
     ),
     "i_posts": (

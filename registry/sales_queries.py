@@ -80,6 +80,18 @@ left join (select product_id, sum(quantity) q from v_sold group by 1) u on u.pro
 left join (select product_id, sum(stock) q from shop_stock group by 1) ss on ss.product_id = p.id
 """,
 )(A.product_card)
+query(
+    "product_card_staff", "i_products i_category summary v_sold shop_stock",
+    """
+select p.id as product_id, p.name, par.name as parent, c.name as category, p.barcode, p.size, cast(null as bigint) as avg_cost_cents,
+  cast(coalesce(u.q, 0) as bigint) as units_sold, s.in_qty, s.out_qty, s.on_hand,
+  cast(coalesce(ss.q, 0) as bigint) as shop_stock, p.hidden, p.note
+from i_products p left join i_category c on c.id = p.category_id left join i_category par on par.id = c.pid_id
+left join summary s on s.product_id = p.id
+left join (select product_id, sum(quantity) q from v_sold where shop_id = 7 group by 1) u on u.product_id = p.id
+left join (select product_id, sum(stock) q from shop_stock group by 1) ss on ss.product_id = p.id
+""",
+)(lambda t: A.product_card(t, level=5, shop_id=7))
 query(
     "order_lines", "i_sellorderdetail i_sellorder i_products",
     """
@@ -173,6 +185,10 @@ from shop_stock s join i_products p on p.id = s.product_id join summary m on m.p
 where not p.hidden
 """
 query("stock_report", "shop_stock i_products summary", STOCK_REPORT_SQL)(R.stock_report)
+query(
+    "stock_report_depot", "depot_stock i_products summary",
+    STOCK_REPORT_SQL.replace("shop_stock", "depot_stock").replace("shop_id", "depot_id"),
+)(lambda t: R.stock_report(t, container="depot"))
 
 # -- products --------------------------------------------------------------------------
 
