@@ -11,10 +11,11 @@
 4. *Pivots.* In every bucket one member is the pivot (another one in each band) and is paired with the
    others, so candidates grow with the bucket and not with its square. Their similarity is computed
    on the full sets; links make components.
-5. *The rest.* Where a bucket still has several components, each member outside its largest one is paired with all
-   members of other components, in the first band that a pair shares and unless a 128-bit sketch puts the
-   pair five standard deviations below the threshold. These pairs are verified on full sets as well and the
-   components joined. So every candidate pair is either verified or already in one component.
+5. *The rest.* Components that still share a bucket form a cluster. Each member that stands outside its bucket's
+   largest component is compared with every member of its cluster: members and those left over are dealt
+   into blocks of a bounded number of shingles, and a task that holds a block of each counts all common
+   shingles at once from an inverted index of the block. Only links that join components leave the task, never
+   pairs. So every pair in a bucket is either in one component already or compared on its full sets.
 
 Full sets are only made for documents that some candidate pair names.
 
@@ -43,8 +44,8 @@ AT_LEAST, OF = 80, 100
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 32, 4
-#: bits of two 128-bit sketches that may differ at most: at similarity 0.8, 12.8 differ with a deviation of 3.4
-SKETCH_APART = 30
+#: shingles of the sets that a block of a cluster holds
+BLOCK_SHINGLES = 1 << 18
 
 _SEED = 7919
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -128,23 +129,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sketcher(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits_a", "bits_b"]
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.int64()] * 2
+        names = ["doc_id", "n_shingles", "set_a", "set_b", "bands"]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
                 own = shingle_set(text, size)
-                row = (doc_id, 0, None, None, None, None, None)
+                row = (doc_id, 0, None, None, None)
                 if len(own):
                     sign = signature(own)
                     salted = sign.reshape(BANDS, ROWS).astype(np.uint64)
                     bands = np.arange(BANDS, dtype=np.uint64)
                     for i in range(ROWS):
                         bands = _mixed(bands * np.uint64(0xD6E8FEB86659FD93) + salted[:, i])
-                    bits = np.packbits((sign & 1).astype(bool)).view(np.int64)
                     # two independent 64-bit sums name the set
                     name = _mixed(own).sum(dtype=np.uint64), _mixed(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-                    row = (doc_id, len(own), *(int(np.int64(x.astype(np.int64))) for x in name), bands.astype(np.int64).tolist(), *bits.tolist())
+                    row = (doc_id, len(own), *(int(np.int64(x.astype(np.int64))) for x in name), bands.astype(np.int64).tolist())
                 for column, value in zip(columns, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -153,9 +153,9 @@ def _sketcher(size: int):
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Set size, set name, band hashes and sketch of every row."""
+    """Set size, set name and band hashes of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits_a long, bits_b long"
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
     return rows.mapInArrow(_sketcher(size), schema)
 
 
@@ -201,8 +201,94 @@ def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(_set_maker(size), "id long, name long, shingles binary").dropDuplicates(["id", "name"])
 
 
-def _apart(left: str, right: str) -> Column:
-    return F.expr(f"bit_count({left}.bits_a ^ {right}.bits_a) + bit_count({left}.bits_b ^ {right}.bits_b)")
+def _cluster_linker(at_least: int, of: int):
+    """Rows (cluster, part, with_part, left_over, id, component, more, shingles), sorted by the first four, to links.
+
+    A part's members come before those left over; ``more`` marks members that are left over as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        members: list[tuple] = []
+        rest: list[tuple] = []
+        found: list[tuple[int, int]] = []
+        key = None
+
+        def flush() -> None:
+            if members and rest:
+                ids = np.array([m[0] for m in members])
+                component = np.array([m[1] for m in members])
+                more = np.array([m[2] for m in members])
+                sizes = np.array([len(m[3]) for m in members])
+                flat = np.concatenate([m[3] for m in members])
+                holder = np.repeat(np.arange(len(members)), sizes)
+                order = np.argsort(flat, kind="stable")
+                values, begin = np.unique(flat[order], return_index=True)
+                end = np.append(begin[1:], len(flat))
+                holder = holder[order]
+                up: dict[int, int] = {}
+
+                def top(c: int) -> int:
+                    while up.get(c, c) != c:
+                        c = up[c]
+                    return c
+
+                for own_id, own_component, _, own in rest:
+                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                    at = at[values[at] == own]
+                    count = end[at] - begin[at]
+                    if not len(count):
+                        continue
+                    skip = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+                    same = np.bincount(holder[skip + np.arange(count.sum())], minlength=len(members))
+                    near = same * of >= (sizes + len(own) - same) * at_least
+                    near &= (component != own_component) & ~(more & (ids <= own_id))
+                    for other in set(component[near].tolist()):
+                        x, y = top(own_component), top(other)
+                        if x != y:
+                            up[max(x, y)] = min(x, y)
+                            found.append((own_component, other))
+            members.clear()
+            rest.clear()
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for cluster, part, with_part, left_over, own_id, component, more, shingles in zip(*columns):
+                if (cluster, part, with_part) != key:
+                    flush()
+                    key = cluster, part, with_part
+                (rest if left_over else members).append((own_id, component, more, np.frombuffer(shingles, np.uint64)))
+            yield _links_batch(found)
+            found.clear()
+        flush()
+        yield _links_batch(found)
+
+    return run
+
+
+def _links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _links_in_clusters(rest: DataFrame, sets: DataFrame, at_least: int, of: int) -> DataFrame:
+    """Links between components that share a bucket. ``rest``: (id, component, main) of all members of such buckets."""
+    touching = rest.filter("component <> main").select(F.col("main").alias("a"), F.col("component").alias("b")).distinct()
+    clusters = connected(touching).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    people = rest.groupBy("id").agg(F.any_value("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("more"))
+    people = cut(people.join(clusters, "component").join(sets.select("id", "shingles"), "id"))
+    size = (F.length("shingles") / 8).cast("bigint")
+    parts = people.groupBy("cluster").agg(
+        F.ceil(F.sum(size) / BLOCK_SHINGLES).cast("int").alias("_n"),
+        F.ceil(F.sum(F.when(F.col("more"), size)) / BLOCK_SHINGLES).cast("int").alias("_m"),
+    )
+    people = people.join(parts.filter("_m > 0"), "cluster")
+    own, other = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"), F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.col("_m")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["id", "component", "more", "shingles"]
+    members = people.select("cluster", own.alias("part"), every("_m").alias("with_part"), F.lit(False).alias("left_over"), *names)
+    left = people.filter("more").select("cluster", every("_n").alias("part"), other.alias("with_part"), F.lit(True).alias("left_over"), *names)
+    group = ["cluster", "part", "with_part"]
+    dealt = members.unionAll(left).repartition(*group).sortWithinPartitions(*group, "left_over")
+    return dealt.mapInArrow(_cluster_linker(at_least, of), "a long, b long")
 
 
 def near_duplicates(
@@ -215,7 +301,6 @@ def near_duplicates(
     classes = cut(
         named.groupBy("set_a", "set_b").agg(
             F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"),
-            F.any_value("bits_a").alias("bits_a"), F.any_value("bits_b").alias("bits_b"),
         )
     )
     banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
@@ -243,24 +328,8 @@ def near_duplicates(
     parts = member.groupBy("band", "key", "component").agg(F.count("*").alias("_n"))
     open_ = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("_n", "component")).alias("main"), F.count("*").alias("_parts"))
     open_ = open_.filter("_parts > 1").select("band", "key", "main")
-    rest = member.join(open_, ["band", "key"]).join(classes.select("id", "bands", "bits_a", "bits_b"), "id")
-    rest = cut(rest)
-    x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
-    close = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-        & (_apart("x", "y") <= SKETCH_APART)
-        & F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1"),
-    )
-    more = close.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    found = cut(_links(more, sets, at_least, of))
-    over = found.join(first.select(F.col("id").alias("a"), F.col("component").alias("_a")), "a", "left").join(
-        first.select(F.col("id").alias("b"), F.col("component").alias("_b")), "b", "left"
-    )
-    joined = over.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-    second = connected(joined)
+    rest = member.join(open_, ["band", "key"]).select("id", "component", "main")
+    second = connected(_links_in_clusters(cut(rest), sets, at_least, of))
 
     whole = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("_over")), "component", "left")
     whole = whole.select("id", F.coalesce("_over", "component").alias("component")).unionAll(
