@@ -173,6 +173,22 @@ def validate_search_params(df: DataFrame, as_of: date) -> DataFrame:
     )
 
 
+def validate_view_request(df: DataFrame) -> DataFrame:
+    """Requests for a view: level, days, wide (the dashboard's span) and view ('sales' or 'depots').
+
+    Levels over 5 may look back so many days only; the depots are shown to levels under 5.
+    """
+    cap = F.when(F.coalesce("wide", F.lit(False)), K.DASHBOARD_MAX_DAYS_WIDE).otherwise(K.DASHBOARD_MAX_DAYS)
+    level = F.coalesce("level", F.lit(K.LEVEL_LEFT))
+    return _with_errors(
+        df,
+        {
+            "days": (F.col("view") != "depots") & (level > 5) & (F.col("days") > cap),
+            "view": (F.col("view") == "depots") & (level >= 5),
+        },
+    )
+
+
 # -- movement documents ----------------------------------------------------------------
 
 

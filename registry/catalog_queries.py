@@ -278,6 +278,23 @@ query(
     "validate_customer", "i_customer", f"with x as ({CUSTOMER_TEXT}) select *, {err(**CUSTOMER_ERR)} from x"
 )(lambda t: V.validate_customer(customer_text(t)))
 
+query(
+    "validate_view_request", "i_staff",
+    """
+with x as (select id, level, id * 7 % 150 as days, id % 3 = 0 as wide, case when id % 4 = 0 then 'depots' else 'sales' end as view
+  from i_staff)
+select *, """ + err(
+        days="view <> 'depots' and level > 5 and days > case when wide then 120 else 60 end",
+        view="view = 'depots' and level >= 5",
+    ) + " from x",
+)(
+    lambda t: V.validate_view_request(
+        t["staff"].select(
+            "id", "level", (F.col("id") * 7 % 150).alias("days"), (F.col("id") % 3 == 0).alias("wide"),
+            F.when(F.col("id") % 4 == 0, "depots").otherwise("sales").alias("view"),
+        )
+    )
+)
 query(
     "validate_stream_header", "i_instream i_staff",
     """
