@@ -240,6 +240,21 @@ where ok
 )(lambda t: J.delete_receipt_lines(t, receipt_deletes(t), as_of=AS_OF, operator="op").audit)
 
 
+def receipt_deletes_again(t):
+    """The same, and every third line a second time."""
+    again = t["indetail"].filter(F.col("id") % 3 == 0).select((10**12 - F.col("id")).alias("seq"), "id")
+    return receipt_deletes(t).unionByName(again)
+
+
+query(
+    "delete_receipt_lines_rejected", "i_indetail i_instream summary",
+    _DELETE_STEPS + """
+select -id as seq, id, 'stock_issued' as reason from walk where not ok
+union all select 1000000000000 - id, id, case when ok then 'unknown_id' else 'stock_issued' end from walk where id % 3 = 0
+""",
+)(lambda t: J.delete_receipt_lines(t, receipt_deletes_again(t), as_of=AS_OF).rejected)
+
+
 def receipt_edits(t):
     """Every receipt line: quantity down to a part of it, value kept, moved for small ones."""
     return t["indetail"].select(
@@ -461,9 +476,12 @@ query(
 
 
 def order_edit_docs(t):
-    """Every stored sale edited: large lines kept with one unit more, small ones replaced."""
+    """Every stored sale edited: large lines kept with one unit more, small ones replaced.
+
+    Before that, sales that are not urgent are edited to other values, all lines kept; some of these edits are bad.
+    """
     heads = t["sellorder"].select(
-        F.col("id").alias("_oid"), F.col("id").alias("seq"), F.col("id").cast("string").alias("id"),
+        F.col("id").alias("_oid"), (F.col("id") * 2 + 1).alias("seq"), F.col("id").cast("string").alias("id"),
         F.when(F.col("note") == "1-URGENT", "1").otherwise("").alias("hidden"), F.lit("EDIT1").alias("code"),
         F.lit("").alias("customer"), F.lit("7.5").alias("discount"), F.lit("checked").alias("note"),
         F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"),
@@ -474,7 +492,15 @@ def order_edit_docs(t):
         F.col("price").cast("string").alias("price"),
         F.when(keep, F.col("quantity") + 1).otherwise(F.col("quantity")).cast("string").alias("quantity"),
     )
-    return _documents(t, heads, line).withColumnRenamed("orderDetail", "lines")
+    before = heads.filter(F.col("hidden") == "").withColumn("seq", F.col("seq") - 1).withColumn("note", F.lit("before")).withColumn(
+        "code", F.when(F.col("_oid") % 3 == 0, "!!").otherwise("BEFORE1")
+    )
+    whole = F.struct(
+        F.col("id").cast("string").alias("id"), F.col("product_id").cast("string").alias("product"), F.lit("1").alias("price"),
+        F.lit("9").alias("quantity"),
+    )
+    docs = _documents(t, heads, line).unionByName(_documents(t, before, whole))
+    return docs.withColumnRenamed("orderDetail", "lines")
 
 
 query(
@@ -503,6 +529,14 @@ from (select *, concat(cast(price_cents // 100 as varchar), '.', lpad(cast(price
         "id", "oid_id", "product_id", F.col("quantity").cast("bigint").alias("quantity"), "price"
     )
 )
+query(
+    "apply_order_edits_rejected", "i_sellorder i_sellorderdetail",
+    """
+select distinct o.id * 2 as seq, cast(o.id as varchar) as id, case when o.id = 0 then 'id' else 'code' end as reason
+from i_sellorder o join i_sellorderdetail l on l.oid_id = o.id where o.id % 3 = 0 and o.note <> '1-URGENT'
+union all select distinct 1, '0', 'id' from i_sellorderdetail where oid_id = 0
+""",
+)(lambda t: J.apply_order_edits(t, order_edit_docs(t), as_of=AS_OF).rejected.select("seq", "id", "reason"))
 query(
     "apply_order_edits_headers", "i_sellorder i_sellorderdetail",
     """
