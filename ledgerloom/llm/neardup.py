@@ -8,7 +8,7 @@
    size are summed up in parts and go on as one row.
 3. *Bands.* ``BANDS`` bands of ``ROWS`` coordinates. At similarity 0.8 a pair shares no band with a
    chance of (1 - 0.8**4)**32, about 5 in 100 million.
-4. *Pivots.* In every bucket one member is the pivot (another one in each band) and is paired with the
+4. *Pivots.* In every bucket one member is the pivot (by one of two orders) and is paired with the
    others, so candidates grow with the bucket and not with its square. Their similarity is computed
    on the full sets; links make components.
 5. *The rest.* Components that still share a bucket form a cluster. Each member that stands outside its bucket's
@@ -44,8 +44,10 @@ AT_LEAST, OF = 80, 100
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 32, 4
+#: orders by which buckets pick their pivots
+PIVOT_ORDERS = 2
 #: shingles of the sets that a block of a cluster holds
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 16
 
 _SEED = 7919
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -269,26 +271,30 @@ def _links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _links_in_clusters(rest: DataFrame, sets: DataFrame, at_least: int, of: int) -> DataFrame:
-    """Links between components that share a bucket. ``rest``: (id, component, main) of all members of such buckets."""
+def _links_in_clusters(rest: DataFrame, sizes: DataFrame, sets: DataFrame, at_least: int, of: int) -> DataFrame:
+    """Links between components that share a bucket. ``rest``: (id, component, main) of all members of such buckets.
+
+    Blocks are drawn up from ids and set sizes; the sets join last.
+    """
     touching = rest.filter("component <> main").select(F.col("main").alias("a"), F.col("component").alias("b")).distinct()
     clusters = connected(touching).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
     people = rest.groupBy("id").agg(F.any_value("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("more"))
-    people = cut(people.join(clusters, "component").join(sets.select("id", "shingles"), "id"))
-    size = (F.length("shingles") / 8).cast("bigint")
+    largest = sizes.groupBy("id").agg(F.max("size").alias("size"))
+    people = cut(people.join(clusters, "component").join(largest, "id"))
     parts = people.groupBy("cluster").agg(
-        F.ceil(F.sum(size) / BLOCK_SHINGLES).cast("int").alias("_n"),
-        F.ceil(F.sum(F.when(F.col("more"), size)) / BLOCK_SHINGLES).cast("int").alias("_m"),
+        F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("_n"),
+        F.ceil(F.sum(F.when(F.col("more"), F.col("size"))) / BLOCK_SHINGLES).cast("int").alias("_m"),
     )
     people = people.join(parts.filter("_m > 0"), "cluster")
     own, other = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"), F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.col("_m")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    names = ["id", "component", "more", "shingles"]
-    members = people.select("cluster", own.alias("part"), every("_m").alias("with_part"), F.lit(False).alias("left_over"), *names)
-    left = people.filter("more").select("cluster", every("_n").alias("part"), other.alias("with_part"), F.lit(True).alias("left_over"), *names)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(every("_m"), lambda m: F.struct(own.alias("part"), m.alias("with_part"), F.lit(False).alias("left_over")))
+    as_rest = F.transform(every("_n"), lambda n: F.struct(n.alias("part"), other.alias("with_part"), F.lit(True).alias("left_over")))
+    roles = F.when(F.col("more"), F.concat(as_member, as_rest)).otherwise(as_member)
+    dealt = people.select("cluster", F.explode(roles).alias("r"), "id", "component", "more").join(sets.select("id", "shingles"), "id")
     group = ["cluster", "part", "with_part"]
-    dealt = members.unionAll(left).repartition(*group).sortWithinPartitions(*group, "left_over")
-    return dealt.mapInArrow(_cluster_linker(at_least, of), "a long, b long")
+    dealt = dealt.select("cluster", "r.*", "id", "component", "more", "shingles").repartition(*group)
+    return dealt.sortWithinPartitions(*group, "left_over").mapInArrow(_cluster_linker(at_least, of), "a long, b long")
 
 
 def near_duplicates(
@@ -300,12 +306,13 @@ def near_duplicates(
     # one class per set; what a set's rows carry is the same, so any will do
     classes = cut(
         named.groupBy("set_a", "set_b").agg(
-            F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"),
+            F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("size"),
         )
     )
     banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    # the pivot of a bucket: the least id under a mask drawn for the band
-    mask = F.element_at(F.array(*(F.lit(int(m)) for m in np.random.default_rng(_SEED).integers(0, 1 << 62, BANDS))), F.col("band") + 1)
+    # the pivot of a bucket: the least id under a mask; few masks, so buckets of one group share their pivots
+    drawn = np.random.default_rng(_SEED).integers(0, 1 << 62, PIVOT_ORDERS)
+    mask = F.element_at(F.array(*(F.lit(int(m)) for m in drawn)), F.col("band") % PIVOT_ORDERS + 1)
     pivots = banded.groupBy("band", "key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("_least"), F.count("*").alias("_n"))
     pivots = pivots.filter("_n > 1").select("band", "key", F.col("_least").bitwiseXOR(mask).alias("pivot"))
     buckets = cut(banded.join(pivots, ["band", "key"]))
@@ -329,7 +336,7 @@ def near_duplicates(
     open_ = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("_n", "component")).alias("main"), F.count("*").alias("_parts"))
     open_ = open_.filter("_parts > 1").select("band", "key", "main")
     rest = member.join(open_, ["band", "key"]).select("id", "component", "main")
-    second = connected(_links_in_clusters(cut(rest), sets, at_least, of))
+    second = connected(_links_in_clusters(cut(rest), classes.select("id", "size"), sets, at_least, of))
 
     whole = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("_over")), "component", "left")
     whole = whole.select("id", F.coalesce("_over", "component").alias("component")).unionAll(
