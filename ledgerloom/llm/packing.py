@@ -41,16 +41,20 @@ _HASH_GROUPS = 64
 class WordTokenizer:
     """Ids of whole texts from the ids of their words, each of which the tokenizer sees once.
 
-    This holds for a tokenizer that lower-cases, ends words at white space and drops it. Texts in which a word's
+    This holds for a byte-level tokenizer that lower-cases, ends words at white space and drops it. Texts in which a word's
     ids could depend on more than the word (its special tokens, unusual white space, forms that
     normalisation changes) go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for a word of lower-case letters, normalising and cutting leave it as it is
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
@@ -66,9 +70,11 @@ class WordTokenizer:
         """Words with a final comma or stop are looked up without it."""
         stems = {w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in words}
         stems.update(".,")
-        new = [w for w in stems if w not in self.known]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.asarray(found.ids, "<u4").tobytes()
+        new = stems - self.known.keys()
+        letters = {w for w in new if w.isalpha()}
+        for tokenizer, own in ((self.plain, list(letters)), (self.tokenizer, list(new - letters))):
+            for word, found in zip(own, tokenizer.encode_batch_fast(own, add_special_tokens=False)):
+                self.known[word] = np.asarray(found.ids, "<u4").tobytes()
         for w in words - stems:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
@@ -78,7 +84,7 @@ class WordTokenizer:
             self.known.clear()
         words = [t.lower().split() if self._by_words(t) else None for t in texts]
         known = self.known
-        if new := {w for ws in words if ws for w in ws if w not in known}:
+        if new := set().union(*filter(None, words)) - known.keys():
             self._learn(new)
         return [
             b"".join(map(known.__getitem__, ws)) if ws is not None
