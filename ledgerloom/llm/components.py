@@ -19,7 +19,7 @@ def connected(links: DataFrame) -> DataFrame:
     """
     # rows are a few numbers each, so as many partitions as can run at once are enough for any step
     at_once = 2 * links.sparkSession.sparkContext.defaultParallelism
-    links = links.filter("a <> b").select("a", "b")
+    links = cut(links.filter("a <> b").select("a", "b"))  # whatever makes the links keeps its own partitions
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(at_once).distinct()
     both = cut(both.coalesce(at_once))
     parents = both.groupBy("a").agg(F.min("b").alias("_least")).select(F.col("a").alias("id"), F.least("a", "_least").alias("up"))
