@@ -6,7 +6,8 @@ with the square of the difference of the two scores. So a term that only says wh
 of cannot carry weight, and neutral mentions of a group do not turn into false positives.
 
 Training takes a bounded sample of labelled rows: ``max_rows``, half of them at most of each label,
-those with the smallest hash of their id. Their features are made in parallel, one task fits the weights,
+those with the smallest hash of their id. Both labels are counted over all usable rows, and each sampled row weighs
+as many rows as it stands for, so scores follow the share of toxic labels, not how many rows were left out. Their features are made in parallel, one task fits the weights,
 and the model is at most ``MAX_FEATURES`` numbers, an eighth of the sample's rows if that is less. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: a null or empty text gets the model's base score; labels that are null are not used,
@@ -82,24 +83,32 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         )
 
 
-def fit_weights(labels: np.ndarray, plain: list[np.ndarray], swapped: list[np.ndarray | None]) -> dict[int, float]:
-    """Weights by feature hash; -1 has the bias. Deterministic for the same rows in any order."""
-    n, positive = len(labels), float(labels.sum())
-    if not n or positive in (0.0, float(n)):
-        share = positive / n if n else 0.0
+def fit_weights(
+    labels: np.ndarray, plain: list[np.ndarray], swapped: list[np.ndarray | None], counts_as: np.ndarray | None = None
+) -> dict[int, float]:
+    """Weights by feature hash; -1 has the bias. Deterministic for the same rows in any order.
+
+    ``counts_as`` has the number of rows that each row stands for, 1 if it is not given.
+    """
+    n = len(labels)
+    if counts_as is None:
+        counts_as = np.ones(n)
+    whole, positive = float(counts_as.sum()), float((counts_as * labels).sum())
+    if not n or labels.min() == labels.max():
+        share = float(labels[0]) if n else 0.0
         return {-1: math.log(max(share, 1e-9) / max(1 - share, 1e-9))}
     # the features that tell the labels apart best
     flat = np.concatenate(plain)
-    row_label = np.repeat(labels, [len(p) for p in plain])
+    sizes = [len(p) for p in plain]
     names, inverse = np.unique(flat, return_inverse=True)
-    docs = np.bincount(inverse, minlength=len(names)).astype(float)
-    toxic = np.bincount(inverse, weights=row_label, minlength=len(names))
-    gain = (toxic - docs * positive / n) ** 2 / np.maximum(docs, 1)
-    fit_for = np.flatnonzero(docs >= min(LEAST_DOCS, max(1, n // 100)))
+    docs = np.bincount(inverse, weights=np.repeat(counts_as, sizes), minlength=len(names))
+    toxic = np.bincount(inverse, weights=np.repeat(counts_as * labels, sizes), minlength=len(names))
+    gain = (toxic - docs * positive / whole) ** 2 / np.maximum(docs, 1)
+    fit_for = np.flatnonzero(np.bincount(inverse, minlength=len(names)) >= min(LEAST_DOCS, max(1, n // 100)))
     most = min(MAX_FEATURES, max(64, n // 8))
     names = np.sort(names[fit_for[np.argsort(-gain[fit_for], kind="stable")[:most]]])
     if not len(names):
-        return {-1: math.log(positive / (n - positive))}
+        return {-1: math.log(positive / (whole - positive))}
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -109,18 +118,20 @@ def fit_weights(labels: np.ndarray, plain: list[np.ndarray], swapped: list[np.nd
         return row[known], at[known]
 
     row, col = matrix(plain)
+    share = counts_as / whole
     pairs = [i for i, s in enumerate(swapped) if s is not None]
     row_a, col_a = matrix([plain[i] for i in pairs])
     row_b, col_b = matrix([swapped[i] for i in pairs])
+    pull = 2 * SWAP_PENALTY * counts_as[pairs] / counts_as[pairs].sum() if pairs else None
     w = np.zeros(len(names) + 1)  # the last is the bias
-    w[-1] = math.log(positive / (n - positive))
+    w[-1] = math.log(positive / (whole - positive))
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
-        error = (1 / (1 + np.exp(-(np.bincount(row, w[col], n) + w[-1]))) - labels) / n
+        error = (1 / (1 + np.exp(-(np.bincount(row, w[col], n) + w[-1]))) - labels) * share
         slope = np.append(np.bincount(col, error[row], len(names)) + DECAY * w[:-1], error.sum())
         if pairs:
             apart = np.bincount(row_a, w[col_a], len(pairs)) - np.bincount(row_b, w[col_b], len(pairs))
-            apart *= 2 * SWAP_PENALTY / len(pairs)
+            apart *= pull
             slope[:-1] += np.bincount(col_a, apart[row_a], len(names)) - np.bincount(col_b, apart[row_b], len(names))
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
@@ -129,23 +140,31 @@ def fit_weights(labels: np.ndarray, plain: list[np.ndarray], swapped: list[np.nd
     return {int(f): float(v) for f, v in zip(names, w) if v} | {-1: bias}
 
 
-def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
-    rows.sort(key=lambda r: (r[0], r[1], r[2] or []))
-    as_array = lambda x: None if x is None else np.asarray(x, np.int64)
-    model = fit_weights(
-        np.asarray([r[0] for r in rows], float), [as_array(r[1]) for r in rows], [as_array(r[2]) for r in rows]
-    )
-    yield pa.RecordBatch.from_pydict({"feature": list(model), "weight": list(model.values())})
+def _fitter(stands_for: dict[float, float]):
+    """Fits the rows, of which each counts as many as its label's number in ``stands_for``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        rows.sort(key=lambda r: (r[0], r[1], r[2] or []))
+        as_array = lambda x: None if x is None else np.asarray(x, np.int64)
+        model = fit_weights(
+            np.asarray([r[0] for r in rows], float), [as_array(r[1]) for r in rows], [as_array(r[2]) for r in rows],
+            np.asarray([stands_for[r[0]] for r in rows], float),
+        )
+        yield pa.RecordBatch.from_pydict({"feature": list(model), "weight": list(model.values())})
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[int, float]:
     """Fits on documents (doc_id, text) with labels (doc_id, toxic), leaving out the held-out rows.
 
-    At most ``max_rows`` labelled ids are used, so what is broadcast, gathered and fitted is bounded.
+    At most ``max_rows`` labelled ids are used, so what is broadcast, gathered and fitted is bounded; each counts
+    as its label's number of ids over the number taken.
     """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("double").alias("label"))
+    stands_for = {r["label"]: max(1.0, r["count"] / (max_rows // 2)) for r in known.groupBy("label").count().collect()}
     order = F.xxhash64("doc_id")
     sample = None
     for label in (0.0, 1.0):
@@ -154,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[
     texts = docs.select("doc_id", text_of().alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("label", "text")
     featured = rows.mapInArrow(_featured, "label double, plain array<long>, swapped array<long>")
-    fitted = featured.repartition(1).mapInArrow(_fitter, "feature long, weight double")
+    fitted = featured.repartition(1).mapInArrow(_fitter(stands_for), "feature long, weight double")
     return {r["feature"]: r["weight"] for r in fitted.collect()} or {-1: math.log(1e-9)}
 
 

@@ -446,6 +446,27 @@ def _batch(data):
     return pa.RecordBatch.from_pydict({"label": [float(d[2]) for d in data], "text": [d[1] for d in data]})
 
 
+def test_toxicity_scores_do_not_depend_on_the_cap(spark):
+    """A tenth of 4,000 rows is toxic. A cap of 1,000 rows cuts the clean side only, one of 500 both sides."""
+    draw = random.Random(5)
+    data = []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        words = [w for w, often in (("hint", 0.3 if toxic else 0.1), ("crude", 0.3 if toxic else 0.1)) if draw.random() < often]
+        data.append((i, " ".join(["so", *words, draw.choice(["red", "blue"])]), int(toxic)))
+    docs = spark.createDataFrame([d[:2] for d in data], DOC)
+    labels = spark.createDataFrame([(d[0], d[2]) for d in data], "doc_id long, toxic int")
+    texts = ["so red", "so hint red", "so crude blue", "so hint crude red"]
+    probes = spark.createDataFrame(list(enumerate(texts)), DOC)
+    whole, cut, both = (
+        np.array([r["score"] for _, r in sorted(by_id(toxicity.score(probes, toxicity.train(docs, labels, n))).items())])
+        for n in (8000, 1000, 500)
+    )
+    for part in (cut, both):
+        assert np.abs(part - whole).max() < 0.15 and abs(part[0] - whole[0]) < 0.03
+        assert (part[:3] < toxicity.TOXIC_AT).all() and (whole[:3] < toxicity.TOXIC_AT).all()
+
+
 def test_toxicity_on_odd_rows(spark):
     docs = clash(spark, [None, "", "idiot " * 50_000, "fine"])
     labels = spark.createDataFrame([(2, 1), (2, None), (3, 0), (3, 0), (None, 1), (77, 1)], "doc_id long, toxic int")
