@@ -7,8 +7,10 @@ linear time on any text.
 *Terms.* A protected entity is the value of a pattern's match. Over the whole corpus, ``n_e`` documents hold the
 entity, ``n_t`` the term and ``n_et`` the term within ``WINDOW`` words of the entity. A term's disclosure of the entity is
 ``PMI(entity; term) / IC(entity)`` with ``PMI = ln(n_et * N / (n_e * n_t))`` and ``IC = ln(N / n_e)``: 1 if the term never
-stands elsewhere, 0 if it says nothing. Where at least ``LEAST_DOCS`` documents show a term with an
-entity, it is generalised from ``GENERALISE_FROM`` on and removed from ``REMOVE_FROM`` on, in each window around the entity.
+stands elsewhere, 0 if it says nothing. A term is generalised from ``GENERALISE_FROM`` on and removed from ``REMOVE_FROM``
+on, in each window around the entity. One document is enough for that. Only what would come about by
+chance (both independent) with a probability above ``CHANCE`` tells nothing: a term and an entity of one document each
+count in any corpus of ten rows or more.
 
 All of it is DataFrame expressions. Texts are read twice (patterns, term counts) and not shuffled for finding; term
 counts are summed up within tasks before their shuffle, so a frequent word is one row of each task. Only
@@ -47,7 +49,7 @@ _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 WINDOW = 5
 _WINDOW_CHARS = 160
 LEAST_LETTERS = 3
-LEAST_DOCS = 2
+CHANCE = 0.1
 GENERALISE_FROM, REMOVE_FROM = 0.7, 0.9
 _LETTERS = r"\p{L}+"
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -161,11 +163,18 @@ def _as_spans(kind: str) -> Column:
     return F.transform(f"_{kind}", lambda p: F.struct(F.lit(kind).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
 
 
+def _log_chance(total: int) -> Column:
+    """The lower of two upper bounds (Markov, Chernoff) of the chance of ``n_et`` joint documents, as a logarithm."""
+    ratio = F.col("n_e") * F.col("n_t") / (F.col("n_et") * F.lit(float(total)))
+    tail = F.when(ratio < 1, F.col("n_et") * (1 - ratio + F.log(ratio))).otherwise(F.lit(0.0))
+    return F.least(F.log(ratio), tail)
+
+
 def disclosing_terms(based: DataFrame, docs: DataFrame) -> DataFrame:
     """kind, value, term, disclosure of the terms that reveal an entity at least as strongly as is generalised."""
     near = based.filter("near is not null").select("_key", F.explode("near").alias("n")).select("_key", "n.kind", "n.value", "n.term")
     entity = ["kind", "value"]
-    joint = near.distinct().groupBy(*entity, "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= LEAST_DOCS)
+    joint = near.distinct().groupBy(*entity, "term").agg(F.count("*").alias("n_et"))
     whole = near.select("_key", *entity).distinct().groupBy(*entity).agg(F.count("*").alias("n_e"))
     words = F.array_distinct(F.split(F.lower(text_of()), r"\P{L}+"))
     counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
@@ -173,7 +182,8 @@ def disclosing_terms(based: DataFrame, docs: DataFrame) -> DataFrame:
     shown = joint.join(counts, "term").join(whole, entity)
     content = F.log(F.lit(float(total)) / F.col("n_e"))
     pointwise = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    scored = shown.select(*entity, "term", F.when(content > 0, pointwise / content).alias("disclosure"))
+    told = shown.filter(_log_chance(total) <= F.log(F.lit(CHANCE)))
+    scored = told.select(*entity, "term", F.when(content > 0, pointwise / content).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= GENERALISE_FROM)
 
 

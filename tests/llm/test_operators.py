@@ -251,6 +251,14 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[10]["text"] == texts[10]
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    texts = [f"hello there mail again number {i} agent" for i in range(60)] + ["hello zanzibar mail lone@x.org again agent"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    marked = [(texts[60][t["start"] : t["end"]], t["action"]) for t in by_id(pii.find(docs))[60]["terms"]]
+    assert marked == [("zanzibar", "remove")]
+    assert by_id(pii.sanitise(docs))[60]["text"] == "hello <TERM> mail <EMAIL> again agent"
+
+
 def test_sanitising_keeps_columns_and_rows(spark):
     texts = [None, "", "no data", "a@b.cd and 1.2.3.4", "4111 1111 1111 1111", "x a@b.cd y +1 202 555 0147 z"]
     out = pii.sanitise(clash(spark, texts))
