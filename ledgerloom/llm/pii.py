@@ -4,17 +4,20 @@ r"""Personal data: fixed patterns, and information-theoretic sanitisation of the
 expressions below match the same places as the plain ones, but never go back over characters, so they take
 linear time on any text.
 
-*Terms.* A protected entity is the value of a pattern's match. Over the whole corpus, ``n_e`` documents hold the
-entity, ``n_t`` the term and ``n_et`` the term within ``WINDOW`` words of the entity. A term's disclosure of the entity is
-``PMI(entity; term) / IC(entity)`` with ``PMI = ln(n_et * N / (n_e * n_t))`` and ``IC = ln(N / n_e)``: 1 if the term never
-stands elsewhere, 0 if it says nothing. A term is generalised from ``GENERALISE_FROM`` on and removed from ``REMOVE_FROM``
-on, in each window around the entity. One document is enough for that. Only what would come about by
-chance (both independent) with a probability above ``CHANCE`` tells nothing: a term and an entity of one document each
-count in any corpus of ten rows or more.
-
-All of it is DataFrame expressions. Texts are read twice (patterns, term counts) and not shuffled for finding; term
-counts are summed up within tasks before their shuffle, so a frequent word is one row of each task. Only
-the sanitised texts need one join with their spans.
+*Terms.* A protected entity is the value of a pattern's match; terms are the words of ``LEAST_LETTERS`` letters or more outside
+of matches. Over the whole corpus, ``n_e`` rows hold the entity, ``n_t`` the term and ``n_et`` both, wherever they stand
+in the text. A term's disclosure of the entity is ``PMI(entity; term) / IC(entity)`` with
+``PMI = ln(n_et * N / (n_e * n_t))`` and ``IC = ln(N / n_e)``: 1 if the term never stands without the entity, 0 if it says
+nothing. A term is generalised from ``GENERALISE_FROM`` on and removed from ``REMOVE_FROM`` on, at every place in each
+text that holds the entity. One document is enough for that. Only what would come about by chance (both independent)
+with a probability above ``CHANCE`` tells nothing: a term and an entity of one document each count in any corpus
+of ten rows or more.
+
+All of it is DataFrame expressions. Texts are read twice (patterns, term counts) and not shuffled for finding; those with
+a match are kept with their spans. Pairs of entity and term come one row per text that holds both and are summed up within
+tasks before their shuffle; a frequent word is one row of each task, and a frequent entity is dealt out by its
+terms. Pairs are looked up with entity and term, so an entity of many texts brings no text a term it lacks. Only the
+sanitised texts need one join with their spans.
 
 Defined results: a null or empty text has no spans; a row is known by its id and text, so rows repeated under
 one id get spans of their own text; a null id is an id like others; very long texts are read whole; an
@@ -46,12 +49,14 @@ _PATTERNS = {
 #: What a text must hold for a kind to be looked for.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-WINDOW = 5
-_WINDOW_CHARS = 160
 LEAST_LETTERS = 3
 CHANCE = 0.1
 GENERALISE_FROM, REMOVE_FROM = 0.7, 0.9
 _LETTERS = r"\p{L}+"
+#: Words are found in pieces of so many, as a list of places takes quadratic time to grow.
+_PIECE = r"(?:\P{L}*+\p{L}++){1,64}+"
+#: A frequent entity's terms are dealt out to so many parts.
+_SALTS = 16
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 _FOUND = "array<struct<found:string,start:bigint,end:bigint>>"
 
@@ -116,47 +121,46 @@ def _row_key() -> Column:
     return F.xxhash64("doc_id", text_of())
 
 
-def _windows(text: Column, spans: Column) -> Column:
-    """The words near each merged span, with their places: (kind, value, term, start, end)."""
+def _words(text: Column) -> Column:
+    """(found, start, end) of every word."""
 
-    def words(piece: Column, offset: Column) -> Column:
+    def within(piece: Column) -> Column:
         return F.transform(
-            _places(piece, _LETTERS),
-            lambda w: F.struct(F.lower(w["found"]).alias("term"), (w["start"] + offset).alias("start"), (w["end"] + offset).alias("end")),
+            _places(piece["found"], _LETTERS),
+            lambda w: F.struct(w["found"].alias("found"), (w["start"] + piece["start"]).alias("start"), (w["end"] + piece["start"]).alias("end")),
         )
 
-    def near(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.element_at(spans, F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))
-        after = F.when(i + 1 < F.size(spans), F.element_at(spans, F.least(i + 2, F.size(spans)))["start"]).otherwise(F.length(text))
-        left_from = F.greatest(before, s["start"] - _WINDOW_CHARS)
-        right_to = F.least(after, s["end"] + _WINDOW_CHARS)
-        left = words(F.substring(text, left_from + 1, s["start"] - left_from), left_from)
-        right = words(F.substring(text, s["end"] + 1, right_to - s["end"]), s["end"])
-        # a window's last word may have been cut through
-        left = F.when(left_from > before, F.filter(left, lambda w: w["start"] > left_from)).otherwise(left)
-        right = F.when(right_to < after, F.filter(right, lambda w: w["end"] < right_to)).otherwise(right)
-        close = F.concat(F.slice(F.reverse(left), 1, WINDOW), F.slice(right, 1, WINDOW))
-        value = F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    return F.flatten(F.transform(_places(text, _PIECE), within))
+
+
+def _terms(text: Column, spans: Column) -> Column:
+    """The terms outside of merged spans, with their places: (term, start, end)."""
+
+    def between(i: Column) -> Column:
+        start = F.when(i > 0, F.element_at(spans, F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))
+        end = F.when(i < F.size(spans), F.element_at(spans, F.least(i + 1, F.size(spans)))["start"]).otherwise(F.length(text))
         return F.transform(
-            F.filter(close, lambda w: F.length(w["term"]) >= LEAST_LETTERS),
-            lambda w: F.struct(
-                s["kind"].alias("kind"), value.alias("value"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")
-            ),
+            _words(F.substring(text, start + 1, end - start)),
+            lambda w: F.struct(F.lower(w["found"]).alias("term"), (w["start"] + start).alias("start"), (w["end"] + start).alias("end")),
         )
 
-    return F.flatten(F.transform(spans, near))
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), between))
+    return F.filter(places, lambda w: F.length(w["term"]) >= LEAST_LETTERS)
+
+
+def _whole_words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_LETTERS), F.lit(0)), F.lower))
 
 
 def _based(docs: DataFrame) -> DataFrame:
-    """doc_id, key, base spans in listed order, and the windows around them, kept on shared storage."""
+    """doc_id, key, base spans in listed order, and text and merged spans of rows that have any, kept on shared storage."""
     rows = docs.select("doc_id", _row_key().alias("_key"), text_of().alias("_text"))
     for kind in KINDS:
         rows = rows.withColumn(f"_{kind}", _kept(kind, F.col("_text")))
     spans = F.concat(*map(_as_spans, KINDS))
     rows = rows.select("doc_id", "_key", "_text", spans.cast(_SPAN).alias("base"))
-    rows = rows.withColumn("_merged", F.when(F.size("base") > 0, _merged(F.col("base"))))
-    near = F.when(F.size("base") > 0, _windows(F.col("_text"), F.col("_merged")))
-    return cut(rows.select("doc_id", "_key", "base", near.alias("near")))
+    held = F.size("base") > 0
+    return cut(rows.select("doc_id", "_key", "base", F.when(held, F.col("_text")).alias("_text"), F.when(held, _merged(F.col("base"))).alias("_merged")))
 
 
 def _as_spans(kind: str) -> Column:
@@ -170,16 +174,36 @@ def _log_chance(total: int) -> Column:
     return F.least(F.log(ratio), tail)
 
 
+def _entities() -> Column:
+    """The distinct entities (kind, value) of a row."""
+    value = lambda s: F.lower(F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"]))
+    return F.array_distinct(F.transform("_merged", lambda s: F.struct(s["kind"].alias("kind"), value(s).alias("value"))))
+
+
+def _pairs(based: DataFrame) -> DataFrame:
+    """_key, kind, value, term: each entity with each term of its row, once per row."""
+    terms = F.array_distinct(F.transform(_terms(F.col("_text"), F.col("_merged")), lambda w: w["term"]))
+    held = based.filter("_merged is not null").select("_key", _entities().alias("who"), F.explode(terms).alias("term"))
+    return held.select("_key", "term", F.explode("who").alias("e")).select("_key", "e.kind", "e.value", "term")
+
+
 def disclosing_terms(based: DataFrame, docs: DataFrame) -> DataFrame:
     """kind, value, term, disclosure of the terms that reveal an entity at least as strongly as is generalised."""
-    near = based.filter("near is not null").select("_key", F.explode("near").alias("n")).select("_key", "n.kind", "n.value", "n.term")
     entity = ["kind", "value"]
-    joint = near.distinct().groupBy(*entity, "term").agg(F.count("*").alias("n_et"))
-    whole = near.select("_key", *entity).distinct().groupBy(*entity).agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.split(F.lower(text_of()), r"\P{L}+"))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    joint = _pairs(based).groupBy(*entity, "term").agg(F.count("*").alias("n_et"))
+    joint = joint.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(_SALTS)).cast("int"))
+    held = based.filter("_merged is not null")
+    whole = held.select(F.explode(_entities()).alias("e")).select("e.*").groupBy(*entity).agg(F.count("*").alias("n_e"))
+    whole = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    # a word that a match cuts is not among the whole words of its text
+    beside = F.array_except(F.transform(_terms(F.col("_text"), F.col("_merged")), lambda w: w["term"]), _whole_words(F.col("_text")))
+    words = docs.select(F.explode(_whole_words(text_of())).alias("term")).unionAll(held.select(F.explode(beside)))
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = max(1, based.count())
-    shown = joint.join(counts, "term").join(whole, entity)
+    # n_et / n_t >= (n_e / N) ** 0.3 is the least disclosure, and n_e >= n_et; so this leaves out no disclosing term
+    least = F.col("n_t") * F.pow(F.col("n_et") / F.lit(float(total)), F.lit(1 - GENERALISE_FROM)) * (1 - 1e-9)
+    rare = joint.join(counts, "term").filter(F.col("n_et") >= least)
+    shown = rare.join(whole, [*entity, "_salt"])
     content = F.log(F.lit(float(total)) / F.col("n_e"))
     pointwise = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     told = shown.filter(_log_chance(total) <= F.log(F.lit(CHANCE)))
@@ -191,8 +215,10 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, _key, base spans and term spans (start, end, action) of every row of (doc_id, text)."""
     based = _based(docs)
     strong = disclosing_terms(based, docs)
-    near = based.filter("near is not null").select("_key", F.explode("near").alias("n")).select("_key", "n.*").distinct()
-    marked = near.join(strong, ["kind", "value", "term"]).groupBy("_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    told = _pairs(based).join(strong, ["kind", "value", "term"]).groupBy("_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    held = based.filter("_merged is not null").select("_key", F.explode(_terms(F.col("_text"), F.col("_merged"))).alias("w"))
+    places = held.select("_key", "w.*").join(told, ["_key", "term"])
+    marked = places.groupBy("_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     span = F.struct(
         "start", "end", F.when(F.col("disclosure") >= REMOVE_FROM, "remove").otherwise("generalise").alias("action")
     )
@@ -208,11 +234,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     terms = F.transform(
         "_pii_terms",
-        lambda t: F.struct(F.when(t["action"] == "remove", "TERM").otherwise("WORD").alias("kind"), t["start"].alias("start"), t["end"].alias("end")),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", "TERM").otherwise("WORD").alias("kind")),
     )
     base = F.transform("_pii_base", lambda s: F.struct(F.upper(s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     keyed = docs.withColumn("_pii_key", _row_key()).join(found, "_pii_key", "left")
-    keyed = keyed.withColumn("_pii_spans", F.when(F.col("_pii_base").isNotNull(), _merged(F.concat(base, terms))))
+    keyed = keyed.withColumn("_pii_spans", F.when(F.col("_pii_base").isNotNull(), F.array_sort(F.concat(_merged(base), terms))))
 
     def written(s: Column, i: Column) -> Column:
         before = F.when(i > 0, F.element_at("_pii_spans", F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))

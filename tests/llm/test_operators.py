@@ -259,6 +259,18 @@ def test_terms_of_an_entity_in_one_document(spark):
     assert by_id(pii.sanitise(docs))[60]["text"] == "hello <TERM> mail <EMAIL> again agent"
 
 
+def test_terms_far_from_their_entity(spark):
+    """Far mentions count and go, before and behind the match, also in an unspaced run and beside other matches."""
+    far, run = "hello " * 40, "山" * 200
+    texts = [f"hello there mail again number {i} agent" for i in range(60)]
+    texts += [f"zanzibar {far} mail lone@x.org 1.2.3.4 {far} Zanzibar {far} Quokka", f"{run} mail {run}far@x.org{run}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got, clean = by_id(pii.find(docs)), by_id(pii.sanitise(docs))
+    assert [texts[60][t["start"] : t["end"]] for t in got[60]["terms"]] == ["zanzibar", "Zanzibar", "Quokka"]
+    assert clean[60]["text"] == f"<TERM> {far} mail <EMAIL> <IP> {far} <TERM> {far} <TERM>"
+    assert clean[61]["text"] == "<TERM> mail <TERM><EMAIL><TERM>"
+
+
 def test_sanitising_keeps_columns_and_rows(spark):
     texts = [None, "", "no data", "a@b.cd and 1.2.3.4", "4111 1111 1111 1111", "x a@b.cd y +1 202 555 0147 z"]
     out = pii.sanitise(clash(spark, texts))
