@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import sys
 import types
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -32,4 +34,28 @@ def process_state(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+class TwoGenerations:
+    """What has been worked out for words, of bounded size: when ``limit`` words are known they become the old
+    generation, and words that come up again move to the new one. So frequent words are never worked out anew."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def holding(self, words: set[str], learn: Callable[[list[str]], Iterable[tuple[str, Any]]]) -> dict[str, Any]:
+        """A dictionary that holds all of ``words``; ``learn`` gives (word, value) of those not known."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        unknown = []
+        for w in words.difference(young):
+            if w in old:
+                young[w] = old[w]
+            else:
+                unknown.append(w)
+        young.update(learn(unknown))
+        return young
+
+
 by_value(__name__)

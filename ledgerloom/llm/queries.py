@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import ann, chat, hamming, licenses, neardup, packing, pieces, pii, toxicity, urls
+from ledgerloom.llm import ann, bytepairs, chat, hamming, hardneg, licenses, neardup, packing, pieces, pii, toxicity, urls, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -144,6 +144,50 @@ def _count_of(kind: str):
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+@_register(
+    "op11_hard_negatives",
+    """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x,
+        case when vec_id % 7 = 0 then (label + 1) % 10 else label end::bigint as label
+      from embeddings
+      where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ),
+    s as (
+      select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_dot_product(a.x, r.x)::bigint as score
+      from v a join v r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id
+    ),
+    p as (
+      select anchor_id, vec_id as positive_id, score as positive_score
+      from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same)
+      where place <= 5
+    ),
+    n as (
+      select p.*, s.vec_id as negative_id, s.score as negative_score,
+        row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+      from p join s on s.anchor_id = p.anchor_id and not same
+        and 80 * positive_score <= 100 * s.score and s.score <= positive_score
+    )
+    select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@_register("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytepairs.digest(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@_register("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

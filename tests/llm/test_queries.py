@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_sentencepiece": "doc_id n_ids n_byte_ids ids_crc32 round_trip",
     "op9_nearest_codes": "query_id rank vec_id distance",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op11_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op12_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13_spelling_variants": "word form root n n_near form_n",
     "pipeline": "doc_id piece start length ids_crc32 sequence_id offset",
 }
 
