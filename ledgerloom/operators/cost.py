@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import half_even_div, line_cents, money
-from ledgerloom.operators.stock import visible_issues, visible_receipts
+from ledgerloom.operators.stock import about_products, visible_issues, visible_receipts
 
 Tables = Mapping[str, DataFrame]
 
@@ -23,7 +23,7 @@ def product_summary(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     if ids is not None:
         picked = ids.select(F.col("id").alias("product_id"))
         products = products.join(picked, "product_id", "left_semi")
-        t = {**t, **{n: t[n].join(picked, "product_id", "left_semi") for n in ("indetail", "outdetail")}}
+        t = about_products(t, picked)
     receipts = visible_receipts(t).select(
         "product_id",
         F.col("quantity").cast("bigint").alias("_in"),

@@ -8,6 +8,7 @@ inflow to outflow gives; a flag column carries that through the sum.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,15 @@ def visible_sales(t: Tables, **columns: str) -> DataFrame:
     return lines_of(t["sellorderdetail"], "oid_id", t["sellorder"].filter(visible()), **columns)
 
 
+def about_products(t: Tables, products: DataFrame | None) -> Tables:
+    """The tables with only the lines of some products (a column ``product_id``), picked before they are joined or summed."""
+    if products is None:
+        return t
+    picked = products.select("product_id").distinct()
+    names = ("indetail", "outdetail", "sellorderdetail")
+    return ChainMap({n: t[n].join(picked, "product_id", "left_semi") for n in names if n in t}, t)
+
+
 def net_stock(
     inflow: DataFrame, outflow: DataFrame, keys: Sequence[str], name: str = "stock"
 ) -> DataFrame:
@@ -47,15 +57,17 @@ def net_stock(
     return sums.filter("_in").drop("_in")
 
 
-def shop_product_stock(t: Tables) -> DataFrame:
-    """Shop x product: visible issues to the shop minus visible sales in it."""
+def shop_product_stock(t: Tables, products: DataFrame | None = None) -> DataFrame:
+    """Shop x product: visible issues to the shop minus visible sales in it; with ``products`` only of those."""
+    t = about_products(t, products)
     return net_stock(
         visible_issues_by_shop(t), visible_sales(t, shop_id="shop_id"), ["shop_id", "product_id"]
     )
 
 
-def depot_product_stock(t: Tables) -> DataFrame:
-    """Depot x product: visible receipts minus visible issues."""
+def depot_product_stock(t: Tables, products: DataFrame | None = None) -> DataFrame:
+    """Depot x product: visible receipts minus visible issues; with ``products`` only of those."""
+    t = about_products(t, products)
     return net_stock(visible_receipts(t), visible_issues(t), ["depot_id", "product_id"])
 
 

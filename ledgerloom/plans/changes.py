@@ -366,7 +366,8 @@ def delete_receipt_lines(
         F.when(F.col("counts"), F.col("old_qty")).otherwise(_zero()).alias("delta"),
         eligible.alias("eligible"),
     )
-    capacity = product_summary(t).select(
+    asked = claims.select(F.col("product_id").alias("id"))
+    capacity = product_summary(t, asked).select(
         "product_id", (F.col("in_qty") - F.col("out_qty") - 1).alias("capacity")
     )
     verdict = admit_in_order(claims, ["product_id"], capacity, ["product_id"]).select("seq", "accepted")
@@ -439,8 +440,9 @@ def edit_receipt_lines(
     )
     claims = per_product.unionByName(per_target).unionByName(per_source).withColumn("eligible", F.lit(True))
     q = F.col("quantity").cast("bigint")
-    receipts = stock.visible_receipts(t).select("product_id", "depot_id", q.alias("q"))
-    issues = stock.visible_issues(t).select("product_id", "depot_id", (-q).alias("q"))
+    about = stock.about_products(t, df.filter(F.col("static").isNull()))
+    receipts = stock.visible_receipts(about).select("product_id", "depot_id", q.alias("q"))
+    issues = stock.visible_issues(about).select("product_id", "depot_id", (-q).alias("q"))
     by_depot = receipts.unionByName(issues).groupBy("product_id", "depot_id").agg(F.sum("q").alias("capacity"))
     by_product = by_depot.groupBy("product_id").agg(F.sum("capacity").alias("capacity")).select(
         "product_id", F.lit(-1).cast("bigint").alias("depot_id"), "capacity"
@@ -537,11 +539,11 @@ def add_issue_lines(t: Mapping[str, DataFrame], changes: DataFrame, *, returned:
         rows.select("seq", "id", "shop_id", "product_id", "quantity", "counts"),
         ["shop_id", "product_id"], [id_block("seq")], [F.col("seq")],
         {"_so_far": moved, "_lines": F.col("counts").cast("bigint")},
-    ).join(stock.shop_product_stock(t), ["shop_id", "product_id"], "left")
+    ).join(stock.shop_product_stock(t, rows), ["shop_id", "product_id"], "left")
     # Until the shop has an issue line of the product its stock shows as 0; sales made
     # earlier count from the first one on.
     sold = (
-        stock.visible_sales(t, shop_id="shop_id")
+        stock.visible_sales(stock.about_products(t, rows), shop_id="shop_id")
         .groupBy("shop_id", "product_id")
         .agg(F.sum(F.col("quantity").cast("bigint")).alias("_sold"))
     )
@@ -596,7 +598,8 @@ def edit_issue_lines(
 
     # Stock of (depot, product). Without a visible receipt there the stock reads 0
     # whatever was issued, so such places take no deltas.
-    depots = stock.depot_product_stock(t).select(
+    asked = df.filter(F.col("static").isNull()).select(F.col("old_product").alias("product_id"))
+    depots = stock.depot_product_stock(t, asked).select(
         "depot_id", F.col("product_id").alias("old_product"), F.col("stock").alias("capacity")
     )
     lives = depots.select("depot_id", "old_product", F.lit(True).alias("_live"))
@@ -626,6 +629,7 @@ def edit_issue_lines(
     )
     room = (
         t["outdetail"].filter(F.col("quantity") > 0)
+        .join(ok.select("outid_id").distinct(), "outid_id", "left_semi")
         .groupBy("outid_id", F.col("product_id").alias("old_product"), "depot_id")
         .agg((1 - F.count("*")).alias("capacity"))
     )
@@ -760,7 +764,7 @@ def apply_new_orders(t: Mapping[str, DataFrame], docs: DataFrame) -> ChangeResul
     claims = tried.groupBy("seq", "shop_id", "product_id").agg(
         F.sum("qty").alias("need"), F.sum("qty").alias("delta"), F.min(F.col("bad_line").isNull()).alias("eligible")
     )
-    capacity = stock.shop_product_stock(t).withColumnRenamed("stock", "capacity")
+    capacity = stock.shop_product_stock(t, claims).withColumnRenamed("stock", "capacity")
     judged = cut(admit_in_order(claims, ["shop_id", "product_id"], capacity, ["shop_id"]))
     verdict = judged.groupBy("seq").agg(F.min("accepted").alias("accepted"))
 

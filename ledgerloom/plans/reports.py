@@ -89,7 +89,8 @@ def stock_report(t: Tables, container: str = "shop", container_id: int | None =
         df, [F.col("product_id").desc()], [-id_block("product_id")], keys=[key], name="no", start=2
     )
     products = t["products"].select(F.col("id").alias("product_id"), "name", "barcode", "size", "hidden")
-    on_hand = product_summary(t).select("product_id", F.col("on_hand").alias("depot_stock"))
+    asked = None if container_id is None else positions.select(F.col("product_id").alias("id"))
+    on_hand = product_summary(t, asked).select("product_id", F.col("on_hand").alias("depot_stock"))
     df = df.join(products, "product_id").join(on_hand, "product_id")
     return df.select(
         key, "no", "product_id", "name", "barcode", "size", "stock", "depot_stock",

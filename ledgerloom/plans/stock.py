@@ -69,8 +69,9 @@ def product_by_depot(t: Tables, product_id: int | None = None) -> DataFrame:
         products = products.filter(F.col("product_id") == product_id)
     depots = t["depot"].filter(visible()).agg(F.collect_list(F.struct("id", "name")).alias("d")).scalar()
     grid = products.select("product_id", F.inline(depots).alias("depot_id", "name"))
-    receipts = stock.visible_receipts(t).select("product_id", "depot_id", F.col("quantity").cast("bigint").alias("q"))
-    issues = stock.visible_issues(t).select("product_id", "depot_id", (-F.col("quantity").cast("bigint")).alias("q"))
+    about = stock.about_products(t, None if product_id is None else products)
+    receipts = stock.visible_receipts(about).select("product_id", "depot_id", F.col("quantity").cast("bigint").alias("q"))
+    issues = stock.visible_issues(about).select("product_id", "depot_id", (-F.col("quantity").cast("bigint")).alias("q"))
     net = receipts.unionByName(issues).groupBy("product_id", "depot_id").agg(F.sum("q").alias("stock"))
     return grid.join(net, ["product_id", "depot_id"], "left").select(
         "product_id", "depot_id", "name", F.coalesce("stock", _zero()).alias("stock")
@@ -236,7 +237,8 @@ def return_lines_stock(t: Tables, outid: int | None = None) -> DataFrame:
     """Return lines with the current stock of their product in the returning shop."""
     lines = issue_lines(t, outid, returned=True).drop("shop_stock")
     return lines.join(
-        shop_product_stock(t).withColumnRenamed("stock", "shop_stock"), ["shop_id", "product_id"], "left"
+        shop_product_stock(t, None if outid is None else lines).withColumnRenamed("stock", "shop_stock"),
+        ["shop_id", "product_id"], "left",
     )
 
 
