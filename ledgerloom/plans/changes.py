@@ -26,6 +26,7 @@ from ledgerloom.operators import stock
 from ledgerloom.operators.admission import admit_in_order
 from ledgerloom.operators.cost import product_summary
 from ledgerloom.operators.lookup import fk_lookup, visible_lines
+from ledgerloom.operators.ownership import grant_in_order
 from ledgerloom.operators.line_replay import COLUMNS, replay_edits
 from ledgerloom.operators.running import id_block, number_by_range, running_total
 from ledgerloom.plans import quality
@@ -153,8 +154,7 @@ def _upsert(
     """Insert changes without id, update the others' ``fields`` where a value differs.
 
     Every accepted change sets all ``fields``, so the last accepted one to a row decides. A value of the
-    column ``unique`` is refused where another stored row has it or an earlier change of
-    the batch claims it for another row, even if that row gives it up later.
+    column ``unique`` is refused where another row has it at that point of the batch (see ``ownership``).
     """
     stored = t[table]
     known = stored.select(F.col("id").alias("_known"))
@@ -195,20 +195,18 @@ def _upsert(
 
 
 def _refuse_taken(df: DataFrame, stored: DataFrame, column: str) -> DataFrame:
-    """Set the reason ``duplicate_<column>`` where a value is another row's."""
-    value, reason = F.col(column), F.lit(f"duplicate_{column}")
-    holders = stored.filter(value.isNotNull() & (value != "")).groupBy(value.alias("_value")).agg(
-        F.min("id").alias("_low"), F.max("id").alias("_high")
-    )
-    df = df.join(holders, value == F.col("_value"), "left")
-    others = F.col("_low").isNotNull() & ~(F.col("id").eqNullSafe(F.col("_low")) & F.col("id").eqNullSafe(F.col("_high")))
-    df = df.withColumn("reason", F.coalesce("reason", F.when(others, reason))).drop("_value", "_low", "_high")
-    claims = df.filter(F.col("reason").isNull() & value.isNotNull() & (value != "")).groupBy(value.alias("_value")).agg(
-        F.min("seq").alias("_first"), F.min_by("id", "seq").alias("_owner")
-    )
-    df = df.join(claims, value == F.col("_value"), "left")
-    later = (F.col("seq") > F.col("_first")) & ~F.coalesce(F.col("id") == F.col("_owner"), F.lit(False))
-    return df.withColumn("reason", F.coalesce("reason", F.when(later, reason))).drop("_value", "_first", "_owner")
+    """Set the reason ``duplicate_<column>`` where another row has the value just then.
+
+    A row gives its value up with its next accepted change. An empty value is nobody's.
+    """
+    df = cut(df)
+    row = F.coalesce("id", -F.col("seq") - 1)  # a new row has no id yet
+    filled = F.nullif(F.col(column), F.lit(""))
+    claims = df.filter(F.col("reason").isNull()).select("seq", row.alias("row"), F.coalesce(filled, F.concat(F.lit("\0"), row.cast("string"))).alias("value"))
+    held = stored.filter(filled.isNotNull()).select(F.col("id").alias("row"), F.col(column).alias("value"))
+    df = df.join(grant_in_order(claims, held), "seq", "left")
+    taken = F.when(~F.coalesce("granted", F.lit(True)), F.lit(f"duplicate_{column}"))
+    return df.withColumn("reason", F.coalesce("reason", taken)).drop("granted")
 
 
 def upsert_headers(

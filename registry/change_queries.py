@@ -94,6 +94,50 @@ query(
     "upsert_headers_out_rejected", "i_outstream i_staff i_shop", _OUT + "select seq, id, reason from r where reason is not null",
 )(lambda t: J.upsert_headers(t, "outstream", header_changes(t, "outstream"), returned=True, head_office=HEAD_OFFICE).rejected)
 
+def passed_on_codes(t):
+    """Of every three headers in a row: the first moves to another code (an invalid one at times), the second takes its code and
+    a new header the second's; the third asks for the first one's code before that."""
+    h = t["instream"].filter("code is not null").select("id", "code", "note", "date")
+    first, second, third = (h.filter(F.col("id") % 3 == i).select(
+        (F.col("id") - i).alias("at"), *[F.col(c).alias(f"{c}{i}") for c in h.columns]) for i in range(3))
+    group = first.join(second, "at").join(third, "at").drop("at")
+    moved = F.when(F.col("note0") != "5-LOW", F.concat("code0", F.lit("r"))).otherwise("!")
+    nobody = F.lit(None).cast("bigint")
+    asks = [(1, F.col("id2"), F.col("code0")), (2, F.col("id0"), moved), (3, F.col("id1"), F.col("code0")), (4, nobody, F.col("code1"))]
+    each = F.explode(F.array(*[F.struct((F.col("id0") * 10 + n).alias("seq"), i.alias("id"), c.alias("code")) for n, i, c in asks]))
+    return group.select(each.alias("c"), F.col("note2").alias("note"), F.col("date2").alias("date")).select(
+        "c.*", F.lit(1).cast("bigint").alias("supplier"), "date", F.lit(6).cast("bigint").alias("keeper_id"),
+        F.lit(6).cast("bigint").alias("staff1_id"), F.lit(False).alias("hidden"), "note",
+    )
+
+
+_PASSED_ON = """
+with h as (select * from i_instream where code is not null),
+g as (select a.id, a.code as code0, b.code as code1, a.note <> '5-LOW' as moved,
+    regexp_full_match(a.code, '[A-Za-z0-9]{4,20}') as fine0, regexp_full_match(b.code, '[A-Za-z0-9]{4,20}') as fine1,
+    regexp_full_match(a.code || 'r', '[A-Za-z0-9]{4,20}') as fine_r
+  from h a join h b on b.id = a.id + 1 join h c on c.id = a.id + 2 where a.id % 3 = 0),
+r as (select *, moved and fine_r as ok2, moved and fine_r and fine0 as ok3, moved and fine_r and fine0 and fine1 as ok4 from g)
+"""
+query(
+    "upsert_headers_released", "i_instream",
+    _PASSED_ON + """
+select h.id, case when a.ok2 then h.code || 'r' when b.ok3 then b.code0 else h.code end as code
+from i_instream h left join r a on a.id = h.id left join r b on b.id + 1 = h.id
+union all select (select max(id) from i_instream) + row_number() over (order by id), code1 from r where ok4
+""",
+)(lambda t: J.upsert_headers(t, "instream", passed_on_codes(t), head_office=HEAD_OFFICE).tables["instream"].select("id", "code"))
+query(
+    "upsert_headers_released_rejected", "i_instream",
+    _PASSED_ON + """
+select id * 10 + 1 as seq, id + 2 as id, case when fine0 then 'duplicate_code' else 'code' end as reason from r
+union all select id * 10 + 2, id, 'code' from r where not ok2
+union all select id * 10 + 3, id + 1, case when fine0 then 'duplicate_code' else 'code' end from r where not ok3
+union all select id * 10 + 4, null, case when fine1 then 'duplicate_code' else 'code' end from r where not ok4
+""",
+)(lambda t: J.upsert_headers(t, "instream", passed_on_codes(t), head_office=HEAD_OFFICE).rejected)
+
+
 def customer_changes(t):
     """Each customer: those of the first shops as new, the others changed twice."""
     rows = customer_text(t)
