@@ -34,6 +34,7 @@ from ledgerloom.plans.catalog import product_form_categories
 from ledgerloom.schemas import TABLES, conform
 from ledgerloom.session import cut
 from ledgerloom.sources.documents import order_doc_lines
+from ledgerloom.sources.snapshots import Delta
 from ledgerloom.sources.tables import Tables
 
 
@@ -44,6 +45,8 @@ class ChangeResult(NamedTuple):
     added: DataFrame | None = None
     #: accepted changes that a later accepted one to the same row replaced
     superseded: DataFrame | None = None
+    #: per table the rows added or changed and the ids deleted, for ``snapshots.commit`` and ``maintained.advance``
+    delta: Mapping[str, Delta] = {}
 
 
 # -- shared steps ----------------------------------------------------------------------
@@ -139,7 +142,8 @@ def soft_delete(t: Mapping[str, DataFrame], table: str, ids: DataFrame) -> Chang
     new = df.withColumn("hidden", F.col("hidden") | F.col("_del").isNotNull()).select(*stored.columns)
     unknown = named.join(stored.select("id"), F.col("_del") == F.col("id"), "left_anti")
     rejected = unknown.select(F.col("_del").alias("id"), F.lit("unknown_id").alias("reason"))
-    return ChangeResult(_as_tables(t).replaced(**{table: new}), rejected)
+    rows = stored.join(named, F.col("id") == F.col("_del"), "left_semi").filter(~F.col("hidden")).withColumn("hidden", F.lit(True))
+    return ChangeResult(_as_tables(t).replaced(**{table: new}), rejected, delta={table: Delta(rows.select(*stored.columns))})
 
 
 def _upsert(
@@ -185,12 +189,16 @@ def _upsert(
     inserts = _assign_ids(inserts, stored, [F.col("seq")])
     for name, value in (insert_defaults or {}).items():
         inserts = inserts.withColumn(name, value)
-    new = kept.unionByName(conform(inserts, table))
+    inserted = conform(inserts, table)
+    rows = stored.join(updates, F.col("id") == F.col("_uid")).filter(differs).select(
+        *[F.col(f"_u_{f}").alias(f) if f in fields else F.col(f) for f in stored.columns]
+    )
     return ChangeResult(
-        _as_tables(t).replaced(**{table: new}),
+        _as_tables(t).replaced(**{table: kept.unionByName(inserted)}),
         bad.select("seq", "id", "reason"),
         added=inserts.select("seq", "id"),
         superseded=superseded,
+        delta={table: Delta(conform(rows, table).unionByName(inserted))},
     )
 
 
@@ -245,7 +253,7 @@ def add_bound_issues(
     bound = added.join(df.filter(F.col("inid_id").isNotNull()).select("seq", "inid_id"), "seq")
     lines = copy_receipt_to_issue(heads.tables, bound.select(F.col("id").alias("outid_id"), "inid_id"))
     refused = df.filter("_lost").select("seq", "id", F.lit("unknown_receipt").alias("reason"))
-    return ChangeResult(lines.tables, heads.rejected.unionByName(refused), added=added)
+    return ChangeResult(lines.tables, heads.rejected.unionByName(refused), added=added, delta={**heads.delta, **lines.delta})
 
 
 def upsert_customers(t: Mapping[str, DataFrame], changes: DataFrame) -> ChangeResult:
@@ -330,9 +338,10 @@ def add_receipt_lines(t: Mapping[str, DataFrame], changes: DataFrame) -> ChangeR
     good, bad = _split(df, _first_reason(rules))
     good = good.withColumn("quantity", F.col("quantity").try_cast("bigint"))
     rows = _assign_ids(good, t["indetail"], [F.col("seq")])
-    new = t["indetail"].unionByName(conform(rows, "indetail"))
+    lines = conform(rows, "indetail")
     return ChangeResult(
-        _as_tables(t).replaced(indetail=new), bad.select("seq", "reason"), added=rows.select("seq", "id")
+        _as_tables(t).replaced(indetail=t["indetail"].unionByName(lines)), bad.select("seq", "reason"),
+        added=rows.select("seq", "id"), delta={"indetail": Delta(lines)},
     )
 
 
@@ -389,7 +398,8 @@ def delete_receipt_lines(
         ).alias("entry"),
     )
     tables = _as_tables(t).replaced(indetail=new)
-    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit)
+    delta = {"indetail": Delta(deleted=gone.select(F.col("_gone").alias("id")))}
+    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit, delta=delta)
 
 
 def edit_receipt_lines(
@@ -473,17 +483,18 @@ def edit_receipt_lines(
         F.col("id").alias("_eid"), F.col("new_qty").cast("int").alias("_q"), F.col("new_value").alias("_v"),
         F.col("depot_id").alias("_d"), F.col("depotdetail").alias("_p"),
     )
-    joined = t["indetail"].join(edits, F.col("id") == F.col("_eid"), "left")
     hit = F.col("_eid").isNotNull()
-    new = joined.select(
+    columns = [
         "id", "inid_id", "product_id",
         F.when(hit, F.col("_v")).otherwise(F.col("value")).alias("value"),
         F.when(hit, F.col("_q")).otherwise(F.col("quantity")).alias("quantity"),
         F.when(hit, F.col("_d")).otherwise(F.col("depot_id")).alias("depot_id"),
         F.when(hit, F.col("_p")).otherwise(F.col("depotdetail")).alias("depotdetail"),
-    )
+    ]
+    new, rows = (t["indetail"].join(edits, F.col("id") == F.col("_eid"), how).select(*columns) for how in ("left", "inner"))
     tables = _as_tables(t).replaced(indetail=new)
-    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit, superseded=superseded)
+    delta = {"indetail": Delta(rows)}
+    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit, superseded=superseded, delta=delta)
 
 
 # -- issues and returns ----------------------------------------------------------------
@@ -502,9 +513,10 @@ def copy_receipt_to_issue(t: Mapping[str, DataFrame], bindings: DataFrame) -> Ch
     rows = t["indetail"].select(F.col("id").alias("_src"), "inid_id", "product_id", "quantity", "depot_id")
     rows = rows.join(good.select("outid_id", "inid_id"), "inid_id")
     rows = _assign_ids(rows, t["outdetail"], [F.col("outid_id"), F.col("_src")])
-    new = t["outdetail"].unionByName(conform(rows, "outdetail"))
+    lines = conform(rows, "outdetail")
     return ChangeResult(
-        _as_tables(t).replaced(outdetail=new), bad.select("outid_id", "inid_id", "reason"), added=conform(rows, "outdetail")
+        _as_tables(t).replaced(outdetail=t["outdetail"].unionByName(lines)), bad.select("outid_id", "inid_id", "reason"),
+        added=lines, delta={"outdetail": Delta(lines)},
     )
 
 
@@ -549,7 +561,8 @@ def add_issue_lines(t: Mapping[str, DataFrame], changes: DataFrame, *, returned:
     before = F.coalesce(F.col("stock"), -F.col("_sold"), _zero())
     shown = F.when(F.col("stock").isNull() & (F.col("_lines") == 0), _zero()).otherwise(before + F.col("_so_far"))
     added = after.select("seq", "id", shown.alias("shop_stock"))
-    return ChangeResult(_as_tables(t).replaced(outdetail=new), bad.select("seq", "reason"), added=added)
+    delta = {"outdetail": Delta(conform(rows, "outdetail"))}
+    return ChangeResult(_as_tables(t).replaced(outdetail=new), bad.select("seq", "reason"), added=added, delta=delta)
 
 
 def _issue_line_state(t: Mapping[str, DataFrame], changes: DataFrame) -> DataFrame:
@@ -674,13 +687,14 @@ def edit_issue_lines(
     edits = last.select(
         F.col("id").alias("_eid"), F.col("new_qty").cast("int").alias("_q"), F.col("depot_id").alias("_d")
     )
-    joined = t["outdetail"].join(edits, F.col("id") == F.col("_eid"), "left")
-    new = joined.select(
+    columns = [
         "id", "outid_id", "product_id",
         F.coalesce("_q", "quantity").alias("quantity"), F.coalesce("_d", "depot_id").alias("depot_id"),
-    )
+    ]
+    new, rows = (t["outdetail"].join(edits, F.col("id") == F.col("_eid"), how).select(*columns) for how in ("left", "inner"))
     tables = _as_tables(t).replaced(outdetail=new)
-    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit, superseded=superseded)
+    delta = {"outdetail": Delta(rows)}
+    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit, superseded=superseded, delta=delta)
 
 
 def delete_issue_lines(
@@ -706,8 +720,9 @@ def delete_issue_lines(
         "id", "outid_id", "product_id",
         F.when(F.col("_gone").isNotNull(), F.lit(0)).otherwise(F.col("quantity")).alias("quantity"), "depot_id",
     )
+    rows = t["outdetail"].join(gone, F.col("id") == F.col("_gone"), "left_semi").withColumn("quantity", F.lit(0))
     tables = _as_tables(t).replaced(outdetail=new)
-    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit)
+    return ChangeResult(tables, bad.select("seq", "id", "reason"), audit, delta={"outdetail": Delta(rows)})
 
 
 # -- orders ----------------------------------------------------------------------------
@@ -791,11 +806,12 @@ def apply_new_orders(t: Mapping[str, DataFrame], docs: DataFrame) -> ChangeResul
         t["sellorderdetail"],
         [F.col("seq"), F.col("line_no")],
     )
+    heads, lines = conform(good, "sellorder"), conform(rows, "sellorderdetail")
     tables = _as_tables(t).replaced(
-        sellorder=t["sellorder"].unionByName(conform(good, "sellorder")),
-        sellorderdetail=t["sellorderdetail"].unionByName(conform(rows, "sellorderdetail")),
+        sellorder=t["sellorder"].unionByName(heads), sellorderdetail=t["sellorderdetail"].unionByName(lines)
     )
-    return ChangeResult(tables, rejected.select("seq", "reason", "line_no"), added=good.select("seq", "id"))
+    delta = {"sellorder": Delta(heads), "sellorderdetail": Delta(lines)}
+    return ChangeResult(tables, rejected.select("seq", "reason", "line_no"), added=good.select("seq", "id"), delta=delta)
 
 
 def apply_order_edits(t: Mapping[str, DataFrame], docs: DataFrame, *, as_of: date) -> ChangeResult:
@@ -842,9 +858,8 @@ def apply_order_edits(t: Mapping[str, DataFrame], docs: DataFrame, *, as_of: dat
         F.max_by(parse_moment(F.col("date")), "seq").alias("_dated")
     )
     named = cut(named.join(dated, "_oid", "left").select("_oid", "_hide", "_last", "_edits", "_dated", "_set.*"))
-    joined = orders.join(named, F.col("id") == F.col("_oid"), "left")
     edited = F.col("_last").isNotNull()
-    new_orders = joined.select(
+    columns = [
         "id",
         F.when(edited, F.col("_code")).otherwise(F.col("code")).alias("code"),
         "customer_id", "shop_id", "staff_id",
@@ -852,7 +867,8 @@ def apply_order_edits(t: Mapping[str, DataFrame], docs: DataFrame, *, as_of: dat
         F.coalesce("_dated", "date").alias("date"),
         F.coalesce("_hide", "hidden").alias("hidden"),
         F.when(edited, F.col("_note")).otherwise(F.col("note")).alias("note"),
-    )
+    ]
+    new_orders, set_orders = (orders.join(named, F.col("id") == F.col("_oid"), how).select(*columns) for how in ("left", "inner"))
 
     edits = good.filter(~F.col("hide"))
     wanted = lines.join(edits.select("seq"), "seq", "left_semi")
@@ -875,19 +891,22 @@ def apply_order_edits(t: Mapping[str, DataFrame], docs: DataFrame, *, as_of: dat
         .join(open_orders, F.col("oid_id") == F.col("_edited"), "left")
     )
     dropped = F.col("_edited").isNotNull() & (F.coalesce("_named", F.lit(0)) < F.col("_edits"))
-    kept = stored.filter(~dropped).select(
+    columns = [
         "id", "oid_id", "product_id",
         F.coalesce("_q", "quantity").alias("quantity"), F.coalesce("_p", "price").alias("price"),
-    )
+    ]
+    kept, set_lines = stored.filter(~dropped).select(*columns), stored.filter(~dropped & F.col("_lid").isNotNull()).select(*columns)
     added = wanted.join(open_orders.select(F.col("_last").alias("seq")), "seq", "left_semi")
     rows = added.filter(F.col("line_id") == "").select(
         F.col("order_id").alias("oid_id"), "seq", "line_no", "product_id", "quantity", "price"
     )
     rows = _assign_ids(rows, t["sellorderdetail"], [F.col("seq"), F.col("line_no")])
-    tables = _as_tables(t).replaced(
-        sellorder=new_orders, sellorderdetail=kept.unionByName(conform(rows, "sellorderdetail"))
-    )
-    return ChangeResult(tables, rejected.select("seq", "id", "reason", "line_no"))
+    lines = conform(rows, "sellorderdetail")
+    tables = _as_tables(t).replaced(sellorder=new_orders, sellorderdetail=kept.unionByName(lines))
+    delta = {
+        "sellorder": Delta(set_orders), "sellorderdetail": Delta(set_lines.unionByName(lines), stored.filter(dropped).select("id"))
+    }
+    return ChangeResult(tables, rejected.select("seq", "id", "reason", "line_no"), delta=delta)
 
 
 # -- categories ------------------------------------------------------------------------
@@ -951,10 +970,13 @@ def apply_category_tree(t: Mapping[str, DataFrame], nodes: DataFrame) -> ChangeR
     )
     refused = fresh.join(added.select(F.col("temp_id").alias("_t")), F.col("id") == F.col("_t"), "left_anti")
     tables = _as_tables(t).replaced(category=kept.unionByName(inserted), products=products)
+    set_nodes = kept.join(updates.select("_old").unionAll(hidden_ids.select("_gone")), F.col("id") == F.col("_old"), "left_semi")
+    shelved = t["products"].join(hidden_ids, F.col("category_id") == F.col("_gone"), "left_semi").withColumn("hidden", F.lit(True))
     return ChangeResult(
         tables,
         refused.select("id", F.lit("unknown_parent").alias("reason")),
         added=added.select("temp_id", "id"),
+        delta={"category": Delta(conform(set_nodes.unionByName(inserted), "category")), "products": Delta(shelved)},
     )
 
 
