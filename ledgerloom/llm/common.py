@@ -43,6 +43,9 @@ class TwoGenerations:
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
+    def get(self, word: str) -> Any:
+        return self.young.get(word, self.old.get(word))
+
     def holding(self, words: set[str], learn: Callable[[list[str]], Iterable[tuple[str, Any]]]) -> dict[str, Any]:
         """A dictionary that holds all of ``words``; ``learn`` gives (word, value) of those not known."""
         if len(self.young) > self.limit:

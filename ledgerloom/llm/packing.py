@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_value, process_state
+from ledgerloom.llm.common import TwoGenerations, by_value, process_state
 from ledgerloom.session import cut
 
 CAPACITY = 4096
@@ -35,7 +35,8 @@ END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _CACHED_WORDS = 400_000
-_HASH_GROUPS = 64
+#: pieces of one length are numbered in groups of about so many, and in so many groups at least
+_GROUP_ROWS, _LEAST_GROUPS = 65_536, 64
 
 
 class WordTokenizer:
@@ -56,7 +57,7 @@ class WordTokenizer:
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = TwoGenerations(_CACHED_WORDS)
 
     def _by_words(self, text: str) -> bool:
         if any(c in text for c in "\x1c\x1d\x1e\x1f") or any(s in text for s in self.special):
@@ -66,26 +67,24 @@ class WordTokenizer:
         odd = any(c in text for c in "᠎İΣͅ")
         return not odd and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower())
 
-    def _learn(self, words: set[str]) -> None:
-        """Words with a final comma or stop are looked up without it."""
-        stems = {w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in words}
-        stems.update(".,")
-        new = stems - self.known.keys()
+    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words with a final comma or stop are put together from the rest and that."""
+        stem_of = {w: w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in words}
+        ids = {s: found for s in {*stem_of.values(), ".", ","} if (found := self.known.get(s)) is not None}
+        new = {*stem_of.values(), ".", ","}.difference(ids)
         letters = {w for w in new if w.isalpha()}
         for tokenizer, own in ((self.plain, list(letters)), (self.tokenizer, list(new - letters))):
             for word, found in zip(own, tokenizer.encode_batch_fast(own, add_special_tokens=False)):
-                self.known[word] = np.asarray(found.ids, "<u4").tobytes()
-        for w in words - stems:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+                ids[word] = np.asarray(found.ids, "<u4").tobytes()
+                yield word, ids[word]
+        for word, stem in stem_of.items():
+            if word != stem:
+                yield word, ids[stem] + ids[word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
         words = [t.lower().split() if self._by_words(t) else None for t in texts]
-        known = self.known
-        if new := set().union(*filter(None, words)) - known.keys():
-            self._learn(new)
+        known = self.known.holding(set().union(*filter(None, words)), self._learn)
         return [
             b"".join(map(known.__getitem__, ws)) if ws is not None
             else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
@@ -202,12 +201,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     The pieces (numbers only, no ids) are kept on shared storage, as they are counted before they are placed.
     """
     pieces = cut(cut_pieces(docs, tokenizer_path, capacity, end_id))
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_HASH_GROUPS)).cast("int")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    groups = max(_LEAST_GROUPS, -(-max(histogram.values(), default=0) // _GROUP_ROWS))
+    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")
     pieces = pieces.withColumn("_group", group)
     sizes = pieces.groupBy("length", "_group").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     own = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")
     numbered = pieces.withColumn("_own", F.row_number().over(own)).join(sizes, ["length", "_group"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("_own") + F.col("_before") - 1).cast("long").alias("number")
