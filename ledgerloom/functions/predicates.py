@@ -55,6 +55,11 @@ def dashboard_days(level: int, days: int, wide: bool = False) -> int:
 # -- order search ----------------------------------------------------------------------
 
 
+def order_period(as_of: date, s_date: date | None = None, e_date: date | None = None) -> tuple[date, date]:
+    """The first day of a search and the day at whose midnight it ends."""
+    return s_date or as_of - timedelta(days=K.LOOKBACK_DEFAULT_DAYS), (e_date or as_of) + timedelta(days=1)
+
+
 def order_filter(
     *,
     as_of: date,
@@ -72,8 +77,7 @@ def order_filter(
     The code and note tests apply even to an empty text, so orders without a code or a
     note never match. The day after ``e_date`` is included at midnight.
     """
-    start = s_date or as_of - timedelta(days=K.LOOKBACK_DEFAULT_DAYS)
-    end = (e_date or as_of) + timedelta(days=1)
+    start, end = order_period(as_of, s_date, e_date)
     return all_of(
         None if shop_id is None else F.col("shop_id") == shop_id,
         icontains(F.col("code"), code),

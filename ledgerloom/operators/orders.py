@@ -20,7 +20,9 @@ def gross_by_order(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """
     lines = t["sellorderdetail"]
     if orders is not None:
-        lines = lines.join(orders.select(F.col("id").alias("_picked")), F.col("oid_id") == F.col("_picked"), "left_semi")
+        # in tables stored by month the orders' months prune the lines'
+        by = ["oid_id", "month"] if "month" in lines.columns and "month" in orders.columns else ["oid_id"]
+        lines = lines.join(orders.withColumn("oid_id", F.col("id")).select(*by), by, "left_semi")
     return lines.groupBy("oid_id").agg(F.sum(line_cents("quantity", "price")).alias("gross_cents"))
 
 

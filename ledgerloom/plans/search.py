@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import constants as K
 from ledgerloom.functions.labels import customer_label, staff_label
-from ledgerloom.functions.predicates import order_filter, orders_in_scope, visible
+from ledgerloom.functions.predicates import order_filter, order_period, orders_in_scope, visible
 from ledgerloom.functions.text import any_contains, icontains, raw_like
 from ledgerloom.operators import stock
 from ledgerloom.operators.cost import product_summary
@@ -18,6 +18,7 @@ from ledgerloom.operators.lookup import fk_lookup
 from ledgerloom.operators.orders import with_total
 from ledgerloom.operators.paging import page_slice, top_k, top_k_per
 from ledgerloom.operators.running import id_block
+from ledgerloom.sources.clustered import MONTH, within
 
 Tables = Mapping[str, DataFrame]
 
@@ -25,9 +26,15 @@ Tables = Mapping[str, DataFrame]
 # -- orders ----------------------------------------------------------------------------
 
 
+def _in_period(t: Tables, as_of: date, fields: dict) -> Tables:
+    """Of orders stored by month, the months a search can find something in."""
+    return within(t, "sellorder", *order_period(as_of, fields.get("s_date"), fields.get("e_date")))
+
+
 def order_search(t: Tables, *, as_of: date, **fields) -> DataFrame:
     """All orders matching the search fields (see ``order_filter``), with their totals."""
-    return with_total(t, t["sellorder"].filter(order_filter(as_of=as_of, **fields)))
+    t = _in_period(t, as_of, fields)
+    return with_total(t, t["sellorder"].filter(order_filter(as_of=as_of, **fields))).drop(MONTH)
 
 
 def order_rows(t: Tables, orders: DataFrame) -> DataFrame:
@@ -44,6 +51,7 @@ def order_rows(t: Tables, orders: DataFrame) -> DataFrame:
 
 def order_search_page(t: Tables, *, as_of: date, page: int = 1, **fields) -> DataFrame:
     """One page of matches, newest first; totals and names are computed for that page only."""
+    t = _in_period(t, as_of, fields)
     matches = t["sellorder"].filter(order_filter(as_of=as_of, **fields))
     rows = page_slice(matches, [F.col("id").desc()], page, levels=[-id_block("id")])
     return order_rows(t, with_total(t, rows)).orderBy(F.col("id").desc())

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 from registry.core import AS_OF, query
+from registry.sales_queries import _WHERE, FIELDS
 from registry.table_queries import fresh_path
 
-from ledgerloom.operators import maintained
+from ledgerloom.operators import maintained, trigram
 from ledgerloom.plans import changes as J
-from ledgerloom.sources import snapshots
+from ledgerloom.plans import search
+from ledgerloom.sources import clustered, snapshots
 
 #: few rows to a file, so that small tables have several as well
 _FILE_ROWS = 4_000
@@ -93,3 +95,64 @@ from i_products p left join (select product_id, sum(quantity * value_cents) n, s
   left join (select product_id, sum(quantity) oq from v_out where outid_id not in {_HIDDEN} group by 1) o on o.product_id = p.id
 """,
 )(lambda t: maintained.product_summary(_after(t, "instream", "outstream"), t["products"]))
+
+
+# -- searches with an index, and over ledgers stored by month ---------------------------
+
+
+def _index(t, table, *columns):
+    """The stored trigram index of a table's columns."""
+    path = fresh_path(t, f"{table}-index")
+    trigram.write_index(t[table].select("id", *columns), columns, path)
+    return trigram.read_index(t["shop"].sparkSession, path)
+
+
+query(
+    "or_contains_indexed", "i_customer",
+    """
+select id from i_customer where contains(lower(name), 'omer_1') or contains(lower(code), 'omer_1') or contains(telephone, 'omer_1')
+union all select id from i_customer where contains(lower(name), 'ma') or contains(lower(code), 'ma') or contains(telephone, 'ma')
+union all select id from i_customer where contains(telephone, '0042')
+""",
+)(
+    lambda t: _three_searches(t["customer"], _index(t, "customer", "name", "code", "telephone"))
+)
+
+
+def _three_searches(df, index):
+    found = [trigram.contains(df, index, q, "name", "code", "telephone").select("id") for q in ("oMER_1", "mA", "0042")]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+query(
+    "raw_like_indexed", "i_products",
+    "select id from i_products where name ilike '%RED%' or barcode ilike '1_000%'",
+)(
+    lambda t: trigram.like(t["products"], _index(t, "products", "name", "barcode"), {"name": "%RED%", "barcode": "1_000%"}).select("id")
+)
+query(
+    "and_contains_indexed", "i_sellorder",
+    "select id from i_sellorder where contains(lower(code), 'so12') and contains(note, '-') and note is not null",
+)(
+    lambda t: trigram.contains_all(t["sellorder"], _index(t, "sellorder", "code", "note"), {"code": "sO12", "note": "-"}).select("id")
+)
+
+
+def _clustered(t):
+    path = fresh_path(t, "by-month")
+    clustered.write_clustered({n: t[n] for n in ("instream", "indetail", "outstream", "outdetail", "sellorder", "sellorderdetail", "customer", "staff")}, path)
+    return clustered.read_clustered(t["shop"].sparkSession, path)
+
+
+query(
+    "order_search_clustered", "totals",
+    f"""
+select id, code, customer_id, shop_id, staff_id, discount_cents, strftime(date, '%Y-%m-%d %H:%M:%S') as date,
+  hidden, note, cast(total_cents as bigint) as total_cents from totals where {_WHERE}
+""",
+)(
+    lambda t: search.order_search(_clustered(t), as_of=AS_OF, **FIELDS)
+)
+query("order_search_exact_clustered", "totals", "select id, cast(total_cents as bigint) as total_cents from totals where id = 42 and not hidden")(
+    lambda t: search.order_search_exact(_clustered(t), 42).select("id", "total")
+)
