@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.ann import _matrix
 from ledgerloom.llm.common import by_value
-from ledgerloom.llm.vectors import ranked, search_blocks, valid_vectors
+from ledgerloom.llm.vectors import dealt, in_every_block, matrix, meet, ranked, valid_vectors
 
 SEGMENT_BITS = 16
-ROW_BLOCK, QUERY_BLOCK = 16_384, 256
+ROW_BLOCK = 16_384
 
 
 class SegmentTables:
@@ -93,18 +92,20 @@ class SegmentTables:
         return np.concatenate(rows), np.concatenate(distances)
 
 
+def _tables(rows: pa.Table) -> tuple[np.ndarray, SegmentTables]:
+    return rows["vec_id"].to_numpy(), SegmentTables(matrix(rows["vector"]) > 0)
+
+
 def _searcher(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+    def run(index: tuple[np.ndarray, SegmentTables], queries: pa.Table) -> pa.Table:
+        ids, tables = index
         found: list[list[np.ndarray]] = [[], [], []]
-        if rows.num_rows and queries.num_rows:
-            ids = rows["vec_id"].to_numpy()
-            tables = SegmentTables(_matrix(rows["vector"]) > 0)
-            for query_id, q in zip(queries["vec_id"].to_pylist(), _matrix(queries["vector"]) > 0):
-                at, apart = tables.nearest(q, k, ids != query_id)
-                best = np.lexsort((ids[at], apart))[:k]
-                found[0].append(np.full(len(best), query_id))
-                found[1].append(ids[at[best]])
-                found[2].append(apart[best])
+        for query_id, q in zip(queries["vec_id"].to_pylist(), matrix(queries["vector"]) > 0):
+            at, apart = tables.nearest(q, k, ids != query_id)
+            best = np.lexsort((ids[at], apart))[:k]
+            found[0].append(np.full(len(best), query_id))
+            found[1].append(ids[at[best]])
+            found[2].append(apart[best])
         columns = [np.concatenate(f).astype(np.int64) if f else np.zeros(0, np.int64) for f in found]
         return pa.table(dict(zip(("query_id", "vec_id", "distance"), map(pa.array, columns))))
 
@@ -114,7 +115,12 @@ def _searcher(k: int):
 def nearest_codes(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id and Hamming distance of the ``k`` nearest codes for each row of which ``is_query`` holds."""
     rows = valid_vectors(vectors)
-    found = search_blocks(rows, rows.filter(is_query), ROW_BLOCK, QUERY_BLOCK, _searcher(k), "query_id long, vec_id long, distance long")
+    queries = rows.filter(is_query)
+    n_blocks = max(1, -(-rows.count() // ROW_BLOCK))
+    found = meet(
+        dealt(rows, n_blocks), in_every_block(queries, n_blocks), queries.count(), n_blocks,
+        _tables, _searcher(k), "query_id long, vec_id long, distance long",
+    )
     return ranked(found, k, F.asc("distance"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "distance")
 
 
