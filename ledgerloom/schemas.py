@@ -70,7 +70,8 @@ ORDER_DOC = (
 )
 
 #: The whole edited category tree, in list order.
-CATEGORY_DOC = "array<struct<id:bigint, name:string, pId:bigint>>"
+CATEGORY_NODE = "struct<id:bigint, name:string, pId:bigint>"
+CATEGORY_DOC = f"array<{CATEGORY_NODE}>"
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime SQL settings the plans are designed around. Adaptive execution picks join
@@ -43,18 +45,29 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate results, as named in ``spark.checkpoint.dir``.
 
-    Without that setting it lies in the warehouse, which all executors share as well. Nothing is
-    ever written to a folder that only one machine sees.
+    Without that setting it lies in the warehouse. Nothing is ever written to a folder that only one machine
+    sees: on a cluster a warehouse on a local file system, as Spark sets it by default, is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not on_one_machine(sc.master) and is_local(warehouse):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; the warehouse {warehouse} is local")
+        sc.setCheckpointDir(f"{warehouse}/_checkpoints")
     return sc.getCheckpointDir()
 
 
+def on_one_machine(master: str) -> bool:
+    return re.match(r"local(\[|$|-cluster)", master) is not None
+
+
+def is_local(path: str) -> bool:
+    return path.startswith(("file:", "/"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on shared storage and drop its lineage."""
     folder = shared_dir(df.sparkSession)

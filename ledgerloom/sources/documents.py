@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import squash
-from ledgerloom.schemas import CATEGORY_DOC, ORDER_DOC
+from ledgerloom.operators.running import running_total
+from ledgerloom.schemas import CATEGORY_DOC, CATEGORY_NODE, ORDER_DOC
 
 
 def parse_orders(df: DataFrame, text: str | Column = "value", *carry: str) -> DataFrame:
@@ -55,4 +56,25 @@ def parse_categories(df: DataFrame, text: str | Column = "value") -> DataFrame:
 
 
 def read_category_docs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_categories(spark.read.text(path, wholetext=True))
+    """Files with one JSON list of nodes each -> rows (ordinal, id, name, pId) in list order.
+
+    A list may be larger than what one task can hold. It is cut at every closing brace, by as many tasks as the file has
+    splits; a brace ends a node if the quotes before it are even in number, which running sums over the splits tell.
+    The pieces of a node are put together again and parsed alone. Nodes are flat: a nested object would end one.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    plain = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    counted = running_total(pieces, ["_file"], [F.col("_split")], [F.col("_at")], {"_quotes": quotes.cast("bigint")})
+    ends = F.when(F.col("_quotes") % 2 == 0, 1).otherwise(0).cast("bigint")
+    placed = running_total(counted, ["_file"], [F.col("_split")], [F.col("_at")], {"_ended": ends})
+    parts = F.array_sort(F.collect_list(F.struct("_split", "_at", "value")))
+    nodes = placed.groupBy("_file", (F.col("_ended") - ends).alias("ordinal")).agg(parts.alias("_parts"))
+    text = F.array_join(F.transform("_parts", lambda p: p["value"]), "}")
+    # in front of a node stand the opening bracket or a comma; behind the last one there is none
+    node = F.from_json(F.concat(F.regexp_replace(text, r"^[\s,\[]*", ""), F.lit("}")), CATEGORY_NODE)
+    found = nodes.filter(F.contains(text, F.lit("{"))).select(F.col("ordinal").cast("int").alias("ordinal"), node.alias("node"))
+    return found.select("ordinal", "node.id", "node.name", "node.pId")

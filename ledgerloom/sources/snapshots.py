@@ -64,7 +64,8 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> Data
     return spark.read.schema(_MANIFEST).parquet(f"{root}/versions/v{version}")
 
 
-def _read(spark: SparkSession, root: str, table: str, files: Iterable[str]) -> DataFrame:
+def read_files(spark: SparkSession, root: str, table: str, files: Iterable[str]) -> DataFrame:
+    """The rows of some files of a table."""
     paths = [f"{root}/{f}" for f in files]
     return spark.read.schema(DDL[table]).parquet(*paths) if paths else spark.createDataFrame([], DDL[table])
 
@@ -77,7 +78,7 @@ def _files(listed: DataFrame, table: str, test: Column | None = None) -> list[st
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> Tables:
     """The tables of a version, each read when it is first used."""
     listed = manifest(spark, root, version)
-    return Tables({name: (lambda n=name: _read(spark, root, n, _files(listed, n))) for name in TABLES})
+    return Tables({name: (lambda n=name: read_files(spark, root, n, _files(listed, n))) for name in TABLES})
 
 
 def _write(rows: DataFrame, root: str, table: str, n_files: int) -> DataFrame:
@@ -116,7 +117,7 @@ def _holding(spark: SparkSession, root: str, table: str, listed: DataFrame, ids:
     near = _files(listed, table, (F.col("low") <= span["high"]) & (F.col("high") >= span["low"]))
     if not near:
         return []
-    rows = _read(spark, root, table, near).select("id", F.col("_metadata.file_path").alias("_path"))
+    rows = read_files(spark, root, table, near).select("id", F.col("_metadata.file_path").alias("_path"))
     inside = (F.col("id") >= span["low"]) & (F.col("id") <= span["high"])
     paths = rows.filter(inside).join(ids, "id", "left_semi").select("_path").distinct().collect()
     names = {"/".join(r["_path"].split("/")[-2:]) for r in paths}
@@ -141,13 +142,17 @@ def commit(spark: SparkSession, root: str, changes: Mapping[str, Delta], base: i
         touched = cut(rows.select("id").unionAll(gone).distinct())
         files = _holding(spark, root, table, listed, touched)
         if files:
-            old = _read(spark, root, table, files)
+            old = read_files(spark, root, table, files)
             kept_rows = old.join(touched, "id", "left_anti")
             changed = rows.join(old.select("id"), "id", "left_semi")
             held = listed.filter(F.col("file").isin(files)).agg(F.sum("n")).first()[0]
             added.append(_write(kept_rows.unionByName(changed), root, table, max(1, round(held / file_rows))))
             rows = rows.join(old.select("id"), "id", "left_anti")
             kept = kept.filter(~F.col("file").isin(files))
-        if n_new := rows.count():
-            added.append(_write(rows, root, table, -(-n_new // file_rows)))
+        # ids beyond all others get files of their own, so that no file spans the gap between
+        top = listed.filter(F.col("table") == table).agg(F.max("high")).first()[0]
+        above = F.lit(True) if top is None else F.col("id") > top
+        for part in (rows.filter(~above), rows.filter(above)):
+            if n_new := part.count():
+                added.append(_write(part, root, table, -(-n_new // file_rows)))
     return _list([kept, *added], spark, root, base + 1)

@@ -8,7 +8,7 @@ from registry.table_queries import fresh_path
 from ledgerloom.operators import maintained, trigram
 from ledgerloom.plans import changes as J
 from ledgerloom.plans import search
-from ledgerloom.sources import clustered, snapshots
+from ledgerloom.sources import clustered, newest, snapshots
 
 #: few rows to a file, so that small tables have several as well
 _FILE_ROWS = 4_000
@@ -156,3 +156,41 @@ select id, code, customer_id, shop_id, staff_id, discount_cents, strftime(date,
 query("order_search_exact_clustered", "totals", "select id, cast(total_cents as bigint) as total_cents from totals where id = 42 and not hidden")(
     lambda t: search.order_search_exact(_clustered(t), 42).select("id", "total")
 )
+
+
+def _store(t, table):
+    """A store of one table in files of few rows, with a second version that adds some and changes some."""
+    spark, root = t["shop"].sparkSession, fresh_path(t, "store")
+    rows = t[table].filter("id % 5 <> 1")
+    snapshots.write_store({table: rows}, root, _FILE_ROWS // 8)
+    snapshots.commit(spark, root, {table: snapshots.Delta(t[table].filter("id % 5 = 1 or id < 50"))}, file_rows=_FILE_ROWS // 8)
+    return spark, root
+
+
+query(
+    "top_recent_stored", "i_sellorder",
+    """
+(select 'all' as asked, id, code from i_sellorder order by id desc limit 10)
+union all (select 'shop', id, code from i_sellorder where shop_id = 3 order by id desc limit 15)
+""",
+)(lambda t: _recent(*_store(t, "sellorder")))
+
+
+def _recent(spark, root):
+    latest = newest.newest(spark, root, "sellorder", 10).select(F.lit("all").alias("asked"), "id", "code")
+    of_shop = newest.newest(spark, root, "sellorder", 15, F.col("shop_id") == 3)
+    return latest.unionByName(of_shop.select(F.lit("shop").alias("asked"), "id", "code"))
+
+
+query(
+    "page_slice_stored", "i_sellorder",
+    """
+(select 3 as page, id, code from i_sellorder order by id desc limit 20 offset 40)
+union all (select 70, id, code from i_sellorder order by id desc limit 20 offset 1380)
+""",
+)(lambda t: _pages(*_store(t, "sellorder")))
+
+
+def _pages(spark, root):
+    third, deep = (newest.page(spark, root, "sellorder", n).select(F.lit(n).alias("page"), "id", "code") for n in (3, 70))
+    return third.unionByName(deep)

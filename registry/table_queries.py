@@ -75,9 +75,12 @@ def _(t):
 def _(t):
     spark = t["shop"].sparkSession
     path = fresh_path(t, "category-docs")
-    node = F.struct("id", "name", F.col("pid_id").alias("pId"))
-    doc = t["category"].agg(F.to_json(F.array_sort(F.collect_list(node))).alias("value"))
-    doc.coalesce(1).write.text(path)
+    node = F.to_json(F.struct("id", "name", F.col("pid_id").alias("pId")))
+    first = t["category"].agg(F.min("id").alias("m")).scalar()
+    lines = t["category"].select("id", F.concat(F.when(F.col("id") == first, "[").otherwise(","), node).alias("value"))
+    end = spark.range(1).select(F.lit(2**63 - 1).alias("id"), F.lit("]").alias("value"))
+    # one file is one list: its lines are streamed into it in order
+    lines.unionByName(end).coalesce(1).sortWithinPartitions("id").select("value").write.text(path)
     return documents.read_category_docs(spark, path)
 
 

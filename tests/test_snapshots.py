@@ -130,3 +130,30 @@ def test_every_job_tells_what_it_changed(spark):
             else:
                 assert got.tables[table] is t[table] or rows(got.tables[table]) == rows(t[table])
     assert changed >= {"outstream", "instream", "indetail", "outdetail", "sellorder", "sellorderdetail", "category", "products"}
+
+
+def test_newest_rows_and_deep_pages(spark, tmp_path):
+    """Overlapping files form a group; only the groups that hold the rows are read."""
+    from ledgerloom.sources import newest
+
+    root = str(tmp_path / "store")
+    shops = lambda df: df.selectExpr("id", "concat('s', id % 7) as name")
+    snapshots.write_store({"shop": shops(spark.range(0, 1000, 2)), "depot": ledger(spark)["depot"].limit(0)}, root, file_rows=50)
+    # odd ids below 200 lie between the others: their files overlap
+    snapshots.commit(spark, root, {"shop": Delta(shops(spark.range(1, 200, 2)).unionByName(shops(spark.range(2000, 2010))))}, file_rows=50)
+    ids = sorted([*range(0, 1000, 2), *range(1, 200, 2), *range(2000, 2010)], reverse=True)
+    groups = newest.directory(spark, root, "shop")
+    assert sum(g.n for g in groups) == len(ids) and any(len(g.files) > 1 for g in groups) and len(groups) > 6
+    got = lambda df: [r.id for r in df.collect()]
+    for k in (1, 10, 11, 120, 5000):
+        assert got(newest.newest(spark, root, "shop", k)) == ids[:k]
+    of_name = [i for i in ids if i % 7 == 3]
+    for k in (2, 60, 5000):
+        assert got(newest.newest(spark, root, "shop", k, F.col("name") == "s3")) == of_name[:k]
+    for n in (1, 2, 15, len(ids) // 20 + 1, 400):
+        assert got(newest.page(spark, root, "shop", n)) == ids[(n - 1) * 20 : n * 20]
+    assert newest.page_total(spark, root, "shop") == -(-len(ids) // 20)
+    deep = newest.page(spark, root, "shop", 15)
+    assert len(deep.inputFiles()) <= 2 and len(newest.newest(spark, root, "shop", 10).inputFiles()) == 1
+    assert got(newest.newest(spark, root, "depot", 5)) == got(newest.page(spark, root, "depot", 1)) == []
+    assert newest.page_total(spark, root, "depot") == 0 and got(newest.newest(spark, root, "shop", 3, version=1)) == [998, 996, 994]

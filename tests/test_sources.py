@@ -116,3 +116,35 @@ def test_lines_are_picked_before_they_are_summed(spark, stored):
             kinds = [" ".join(x) for x in above]
             first = next(k for k in kinds if k.startswith(("Aggregate", "Join LeftSemi")))
             assert first.startswith("Join LeftSemi"), kinds
+
+
+def test_a_category_list_is_read_in_splits(spark, tmp_path):
+    import json
+    import random
+
+    from ledgerloom.sources import documents
+
+    rnd = random.Random(8)
+    odd = ['plain', 'br}ace', 'qu"ote', 'back\\slash', '\\"}', '{"id":1}', 'é山}', '', ',[', 'line\nbreak}']
+    nodes = [dict(id=i, name="".join(rnd.choice(odd) for _ in range(3)), pId=rnd.choice([None, i - 1])) for i in range(3000)]
+    (tmp_path / "list").mkdir()
+    (tmp_path / "list" / "a.json").write_text(json.dumps(nodes, indent=1, ensure_ascii=False))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = documents.read_category_docs(spark, str(tmp_path / "list"))
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "list")).rdd.getNumPartitions() > 5
+        assert [(r.id, r.name, r.pId) for r in got.orderBy("ordinal").collect()] == [(n["id"], n["name"], n["pId"]) for n in nodes]
+        assert [r.ordinal for r in got.orderBy("ordinal").collect()] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for i, (text, n) in enumerate([("[]", 0), ("", 0), ('[{"id": 1, "name": "a", "pId": null}]\n', 1)]):
+        (tmp_path / f"f{i}").write_text(text)
+        assert documents.read_category_docs(spark, str(tmp_path / f"f{i}")).count() == n
+
+
+def test_a_local_warehouse_is_refused_on_a_cluster():
+    from ledgerloom import session
+
+    assert session.on_one_machine("local[8]") and session.on_one_machine("local") and not session.on_one_machine("spark://host:7077")
+    assert session.is_local("file:/tmp/x") and not session.is_local("hdfs://name/x")
