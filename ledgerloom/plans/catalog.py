@@ -11,6 +11,7 @@ from ledgerloom import constants as K
 from ledgerloom.functions.labels import category_label as label_of
 from ledgerloom.functions.labels import level_label, staff_label, supplier_label
 from ledgerloom.functions.predicates import visible
+from ledgerloom.operators.grouping import PART_ROWS, collect_groups
 from ledgerloom.operators.lookup import fk_lookup
 from ledgerloom.operators.running import id_block, number_rows
 
@@ -90,6 +91,15 @@ def staff_roster(t: Tables) -> DataFrame:
     )
 
 
+def staff_groups(t: Tables, size: int = PART_ROWS) -> DataFrame:
+    """Current staff collected under their shop, by level, in parts of at most ``size``."""
+    df = t["staff"].filter(F.col("level") < K.LEVEL_LEFT)
+    groups = collect_groups(
+        df, ["shop_id"], [F.col("level"), F.col("id")], [F.col("level"), id_block("id")], ["id", "name", "cellphone", "level"], size
+    )
+    return fk_lookup(groups, "shop_id", t["shop"], shop="name")
+
+
 def visible_staff_choice(t: Tables, at_least: int | None = None) -> DataFrame:
     """Staff offered in forms: below 99, or from a level up."""
     test = F.col("level") < K.LEVEL_LEFT if at_least is None else F.col("level") >= at_least

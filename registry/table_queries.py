@@ -497,11 +497,17 @@ query(
 query(
     "group_collect", "i_staff i_shop",
     f"""
-select s.id, s.name, s.shop_id, h.name as shop, s.level,
-  row_number() over (partition by shop_id order by level, s.id) as position
-from i_staff s left join i_shop h on h.id = shop_id where level < 99
+with r as (select s.*, h.name as shop, row_number() over (partition by shop_id order by level, s.id) as position
+  from i_staff s left join i_shop h on h.id = shop_id where level < 99)
+select shop_id, shop, (position - 1) // 3 as part, count(*) as n, string_agg(id || ':' || name, ',' order by position) as members
+from r group by all
 """,
-)(lambda t: catalog.staff_roster(t).drop("level_label"))
+)(
+    lambda t: catalog.staff_groups(t, 3).select(
+        "shop_id", "shop", "part", "n",
+        F.array_join(F.transform("rows", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["name"])), ",").alias("members"),
+    )
+)
 query(
     "exists_guard", "i_depot i_indetail",
     """
