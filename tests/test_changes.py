@@ -380,6 +380,6 @@ def test_documents(spark, tmp_path):
         ("1", 1, "", "1", "2", "3"), ("1", 2, "5", None, None, None),
     ]
     (tmp_path / "c.json").write_text('[{"id":1,"name":"a","pId":null},\n {"id":2,"name":"b","pId":1}]', encoding="utf8")
-    assert [tuple(r) for r in documents.read_category_docs(spark, str(tmp_path / "c.json")).collect()] == [
+    assert [tuple(r) for r in documents.read_category_docs(spark, str(tmp_path / "c.json")).orderBy("ordinal").collect()] == [
         (0, 1, "a", None), (1, 2, "b", 1),
     ]
