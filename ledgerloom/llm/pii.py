@@ -6,18 +6,21 @@ linear time on any text.
 
 *Terms.* A protected entity is the value of a pattern's match; terms are the words of ``LEAST_LETTERS`` letters or more outside
 of matches. Over the whole corpus, ``n_e`` rows hold the entity, ``n_t`` the term and ``n_et`` both, wherever they stand
-in the text. A term's disclosure of the entity is ``PMI(entity; term) / IC(entity)`` with
-``PMI = ln(n_et * N / (n_e * n_t))`` and ``IC = ln(N / n_e)``: 1 if the term never stands without the entity, 0 if it says
-nothing. A term is generalised from ``GENERALISE_FROM`` on and removed from ``REMOVE_FROM`` on, at every place in each
-text that holds the entity. One document is enough for that. Only what would come about by chance (both independent)
-with a probability above ``CHANCE`` tells nothing: a term and an entity of one document each count in any corpus
-of ten rows or more.
+in the text. A term's disclosure of the entity is ``PMI(entity; term) / IC(entity)`` with ``IC = ln(N / n_e)`` and
+``PMI = ln(P * N / n_e)``, where P, the chance of the entity where the term is, is taken at the lower end of its confidence
+interval (Wilson's score, ``DEVIATIONS`` standard deviations), not at ``n_et / n_t``: few rows prove little. It is near
+1 if the term never stands without the entity and both do so often, and 0 or less if it says nothing. A term is generalised
+from ``GENERALISE_FROM`` on and removed from ``REMOVE_FROM`` on, at every place in each text that holds the entity.
+
+A single joint row is no evidence by itself, as every rare word of that row has it. It counts only for a term that stands there
+like a name: with a capital within a sentence. And what would come about by chance (both independent) with a
+probability above ``CHANCE`` tells nothing, however often it does.
 
 All of it is DataFrame expressions. Texts are read twice (patterns, term counts) and not shuffled for finding; those with
-a match are kept with their spans. Pairs of entity and term come one row per text that holds both and are summed up within
-tasks before their shuffle; a frequent word is one row of each task, and a frequent entity is dealt out by its
-terms. Pairs are looked up with entity and term, so an entity of many texts brings no text a term it lacks. Only the
-sanitised texts need one join with their spans.
+a match are kept with their spans. Entities that stand in exactly the same rows have the same statistics and are one
+class, so a page that lists thousands of addresses found nowhere else counts as one entity; of a class in one row only
+the name-like terms are paired at all. Pairs are summed up within tasks before their shuffle. They are looked up with class
+and term, so an entity of many texts brings no text a term it lacks. Only the sanitised texts need one join with their spans.
 
 Defined results: a null or empty text has no spans; a row is known by its id and text, so rows repeated under
 one id get spans of their own text; a null id is an id like others; very long texts are read whole; an
@@ -51,12 +54,15 @@ _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
 LEAST_LETTERS = 3
 CHANCE = 0.1
+DEVIATIONS = 1.0
 GENERALISE_FROM, REMOVE_FROM = 0.7, 0.9
 _LETTERS = r"\p{L}+"
 #: Words are found in pieces of so many, as a list of places takes quadratic time to grow.
 _PIECE = r"(?:\P{L}*+\p{L}++){1,64}+"
-#: A frequent entity's terms are dealt out to so many parts.
-_SALTS = 16
+#: A word with a capital behind another word or number, so not where a sentence begins.
+_NAMES = r"(?<=[\p{Ll}\p{N},;] {1,8})\p{Lu}\p{L}++"
+#: What a class of entities is known by: in how many rows it is, and two sums over those rows.
+_CLASS = ["n_e", "_rows1", "_rows2"]
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 _FOUND = "array<struct<found:string,start:bigint,end:bigint>>"
 
@@ -180,45 +186,59 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("_merged", lambda s: F.struct(s["kind"].alias("kind"), value(s).alias("value"))))
 
 
-def _pairs(based: DataFrame) -> DataFrame:
-    """_key, kind, value, term: each entity with each term of its row, once per row."""
+def _classes(held: DataFrame) -> DataFrame:
+    """_key and class of the entities of each row. Entities that stand in the same rows are one class."""
+    each = held.select("_key", F.explode(_entities()).alias("e")).select("_key", "e.kind", "e.value")
+    number = lambda *parts: F.sum(F.xxhash64("_key", *parts).cast("decimal(20,0)"))
+    where = each.groupBy("kind", "value").agg(F.count("*").alias("n_e"), number().alias("_rows1"), number(F.lit(1)).alias("_rows2"))
+    return each.join(where, ["kind", "value"]).select("_key", *_CLASS).distinct()
+
+
+def _pairs(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """_key, class, term and whether it is like a name: each class with the terms of its rows that can tell of it, once per row."""
     terms = F.array_distinct(F.transform(_terms(F.col("_text"), F.col("_merged")), lambda w: w["term"]))
-    held = based.filter("_merged is not null").select("_key", _entities().alias("who"), F.explode(terms).alias("term"))
-    return held.select("_key", "term", F.explode("who").alias("e")).select("_key", "e.kind", "e.value", "term")
+    names = F.transform(F.regexp_extract_all(F.col("_text"), F.lit(_NAMES), F.lit(0)), F.lower)
+    texts = held.select("_key", terms.alias("_terms"), F.array_distinct(names).alias("_names"))
+    rows = classes.join(texts.withColumn("_named", F.array_intersect("_terms", "_names")).drop("_names"), "_key")
+    told = F.when(F.col("n_e") == 1, F.col("_named")).otherwise(F.col("_terms"))
+    pairs = rows.select("_key", *_CLASS, F.explode(told).alias("term"), "_named")
+    return pairs.select("_key", *_CLASS, "term", ((F.col("n_e") == 1) | F.array_contains("_named", F.col("term"))).alias("named"))
+
+
+def disclosure(total: int) -> Column:
+    """PMI / IC from n_e, n_t and n_et, with the entity's chance at the term at the lower end of its confidence interval."""
+    n, share, z2 = F.col("n_t"), F.col("n_et") / F.col("n_t"), DEVIATIONS**2
+    room = F.sqrt(share * (1 - share) / n + z2 / (4 * n * n)) * DEVIATIONS
+    lowest = (share + z2 / (2 * n) - room) / (1 + z2 / n)
+    content = F.log(F.lit(float(total)) / F.col("n_e"))
+    return F.when(content > 0, F.log(lowest * F.lit(float(total)) / F.col("n_e")) / content)
 
 
-def disclosing_terms(based: DataFrame, docs: DataFrame) -> DataFrame:
-    """kind, value, term, disclosure of the terms that reveal an entity at least as strongly as is generalised."""
-    entity = ["kind", "value"]
-    joint = _pairs(based).groupBy(*entity, "term").agg(F.count("*").alias("n_et"))
-    joint = joint.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(_SALTS)).cast("int"))
+def disclosing_terms(based: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of rows' classes and terms, and class, term, disclosure of the terms that are generalised or removed."""
     held = based.filter("_merged is not null")
-    whole = held.select(F.explode(_entities()).alias("e")).select("e.*").groupBy(*entity).agg(F.count("*").alias("n_e"))
-    whole = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    pairs = _pairs(held, _classes(held))
+    joint = pairs.groupBy(*_CLASS, "term").agg(F.count("*").alias("n_et"), F.max("named").alias("named"))
+    joint = joint.filter((F.col("n_et") > 1) | F.col("named"))
     # a word that a match cuts is not among the whole words of its text
     beside = F.array_except(F.transform(_terms(F.col("_text"), F.col("_merged")), lambda w: w["term"]), _whole_words(F.col("_text")))
     words = docs.select(F.explode(_whole_words(text_of())).alias("term")).unionAll(held.select(F.explode(beside)))
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = max(1, based.count())
-    # n_et / n_t >= (n_e / N) ** 0.3 is the least disclosure, and n_e >= n_et; so this leaves out no disclosing term
-    least = F.col("n_t") * F.pow(F.col("n_et") / F.lit(float(total)), F.lit(1 - GENERALISE_FROM)) * (1 - 1e-9)
-    rare = joint.join(counts, "term").filter(F.col("n_et") >= least)
-    shown = rare.join(whole, [*entity, "_salt"])
-    content = F.log(F.lit(float(total)) / F.col("n_e"))
-    pointwise = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    told = shown.filter(_log_chance(total) <= F.log(F.lit(CHANCE)))
-    scored = told.select(*entity, "term", F.when(content > 0, pointwise / content).alias("disclosure"))
-    return scored.filter(F.col("disclosure") >= GENERALISE_FROM)
+    told = joint.join(counts, "term").filter(_log_chance(total) <= F.log(F.lit(CHANCE)))
+    scored = told.select(*_CLASS, "term", disclosure(total).alias("disclosure"))
+    return pairs, scored.filter(F.col("disclosure") >= GENERALISE_FROM)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, _key, base spans and term spans (start, end, action) of every row of (doc_id, text)."""
     based = _based(docs)
-    strong = disclosing_terms(based, docs)
-    told = _pairs(based).join(strong, ["kind", "value", "term"]).groupBy("_key", "term").agg(F.max("disclosure").alias("disclosure"))
-    held = based.filter("_merged is not null").select("_key", F.explode(_terms(F.col("_text"), F.col("_merged"))).alias("w"))
-    places = held.select("_key", "w.*").join(told, ["_key", "term"])
-    marked = places.groupBy("_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    pairs, strong = disclosing_terms(based, docs)
+    told = pairs.join(strong, [*_CLASS, "term"]).groupBy("_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = cut(told)
+    held = based.filter("_merged is not null").join(told.select("_key").distinct(), "_key", "left_semi")
+    places = held.select("_key", F.explode(_terms(F.col("_text"), F.col("_merged"))).alias("w")).select("_key", "w.*")
+    marked = places.join(told, ["_key", "term"]).groupBy("_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     span = F.struct(
         "start", "end", F.when(F.col("disclosure") >= REMOVE_FROM, "remove").otherwise("generalise").alias("action")
     )
