@@ -156,11 +156,11 @@ def _fitter(stands_for: dict[float, float]):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[int, float]:
-    """Fits on documents (doc_id, text) with labels (doc_id, toxic), leaving out the held-out rows.
+def fitting_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, dict[float, float]]:
+    """label and text of at most ``max_rows`` labelled ids, and how many ids one row of each label stands for.
 
-    At most ``max_rows`` labelled ids are used, so what is broadcast, gathered and fitted is bounded; each counts
-    as its label's number of ids over the number taken.
+    An id gives one row, however often it is labelled or repeated: toxic if any of its labels says so, with the
+    smallest of its texts.
     """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("double").alias("label"))
@@ -171,7 +171,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[
         part = known.filter(F.col("label") == label).orderBy(order, "doc_id").limit(max_rows // 2)
         sample = part if sample is None else sample.unionAll(part)
     texts = docs.select("doc_id", text_of().alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("label", "text")
+    met = texts.join(F.broadcast(sample), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), stands_for
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[int, float]:
+    """Fits on documents (doc_id, text) with labels (doc_id, toxic), leaving out the held-out rows.
+
+    At most ``max_rows`` labelled ids are used, one text each, so what is broadcast, gathered and fitted is bounded; each counts
+    as its label's number of ids over the number taken.
+    """
+    rows, stands_for = fitting_rows(docs, labels, max_rows)
     featured = rows.mapInArrow(_featured, "label double, plain array<long>, swapped array<long>")
     fitted = featured.repartition(1).mapInArrow(_fitter(stands_for), "feature long, weight double")
     return {r["feature"]: r["weight"] for r in fitted.collect()} or {-1: math.log(1e-9)}
