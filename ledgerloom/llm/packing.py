@@ -34,7 +34,7 @@ CAPACITY = 4096
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 250_000
 #: pieces of one length are numbered in groups of about so many, and in so many groups at least
 _GROUP_ROWS, _LEAST_GROUPS = 65_536, 64
 
