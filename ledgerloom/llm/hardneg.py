@@ -53,39 +53,55 @@ _ASKS = "bucket long, part long, asks boolean, number long, vec_id long, label l
 
 
 class Bucket:
-    """Rows of one length bucket with their sorted coordinate lists."""
+    """Rows of one length bucket with their sorted coordinate lists (one for each coordinate, in one piece of memory)."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, lengths: np.ndarray):
         self.ids, self.labels, self.vectors, self.lengths = ids, labels, vectors, lengths
         self.longest = float(lengths.max(initial=0.0))
-        self.unit = vectors / np.where(lengths > 0, lengths, 1.0)[:, None]
-        self.order = np.argsort(self.unit, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.unit, self.order, axis=0)
+        self.unit = np.ascontiguousarray((vectors / np.where(lengths > 0, lengths, 1.0)[:, None]).T)
+        self.order = np.argsort(self.unit, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.unit, self.order, axis=1)
+        # among rows of about one length, partial products rule none out where no single coordinate does
+        self.alike = bool(lengths.min(initial=np.inf) > 0.8 * self.longest)
+        # partial sums of a product stay under the product of the lengths, so doubles hold them exactly
+        self.doubles = vectors.astype(float) if self.longest**2 < 2.0**52 else None
 
     def at_least(self, query: np.ndarray, length: float, theta: float) -> np.ndarray:
         """Rows that may score ``theta`` or more with the query."""
+        everything = np.arange(len(self.ids))
         if theta <= 0 or not length:
-            return np.arange(len(self.ids))
+            return everything
         least = theta * (1 - _SLACK) / length
         if least > self.longest * (1 + _SLACK):
-            return np.zeros(0, np.int64)
+            return everything[:0]
         unit = query / length
-        focus = np.argsort(-np.abs(unit), kind="stable")[:FOCUS]
+        focus = np.argpartition(-np.abs(unit), FOCUS)[:FOCUS] if len(unit) > FOCUS else np.arange(len(unit))
         angle, wide = np.arccos(np.clip(unit[focus], -1, 1)), np.arccos(min(1.0, least / self.longest))
         low = np.cos(np.minimum(np.pi, angle + wide)) - _SLACK
         high = np.cos(np.maximum(0.0, angle - wide)) + _SLACK
-        begin = np.array([self.sorted[:, f].searchsorted(x) for f, x in zip(focus, low)])
-        end = np.array([self.sorted[:, f].searchsorted(x, "right") for f, x in zip(focus, high)])
-        first = int((end - begin).argmin())
-        rows = self.order[begin[first] : end[first], focus[first]]
-        seen = self.unit[np.ix_(rows, focus)]
-        fits = ((seen >= low) & (seen <= high)).all(axis=1)
-        rows, seen = rows[fits], seen[fits]
-        rest = np.sqrt(np.maximum(1 - (seen * seen).sum(axis=1), 0) * max(1 - float((unit[focus] ** 2).sum()), 0.0))
-        bound = (seen @ unit[focus] + rest + _SLACK) * self.lengths[rows]
+        begin = np.array([self.sorted[f].searchsorted(x) for f, x in zip(focus, low)])
+        end = np.array([self.sorted[f].searchsorted(x, "right") for f, x in zip(focus, high)])
+        telling = np.flatnonzero(end - begin < len(everything))
+        if not len(telling) and self.alike:
+            return everything
+        rows, seen = everything, self.unit[focus]
+        if len(telling):
+            first = telling[(end - begin)[telling].argmin()]
+            rows = self.order[focus[first], begin[first] : end[first]]
+            for i in telling:
+                if i != first:
+                    value = seen[i, rows]
+                    rows = rows[(value >= low[i]) & (value <= high[i])]
+            seen = seen[:, rows]
+        rest = np.sqrt(np.maximum(1 - (seen * seen).sum(axis=0), 0) * max(1 - float((unit[focus] ** 2).sum()), 0.0))
+        bound = (unit[focus] @ seen + rest + _SLACK) * self.lengths[rows]
         return rows[bound >= least]
 
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    def scores(self, rows: np.ndarray, query: np.ndarray, length: float) -> np.ndarray:
+        if self.doubles is not None and (length * self.longest) < 2.0**52:
+            q = query.astype(float)
+            found = (self.doubles @ q)[rows] if 4 * len(rows) > len(self.ids) else self.doubles[rows] @ q
+            return found.astype(np.int64)
         return (self.vectors[rows] * query).sum(axis=1)
 
     def best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -173,7 +189,7 @@ def _same_label(k: int):
     def search(bucket: Bucket, ask: dict) -> Iterable[tuple]:
         rows = bucket.at_least(ask["vector"], ask["length"], ask["theta"])
         rows = rows[(bucket.labels[rows] == ask["label"]) & (bucket.ids[rows] != ask["vec_id"])]
-        scores = bucket.scores(rows, ask["vector"])
+        scores = bucket.scores(rows, ask["vector"], ask["length"])
         return [(ask["number"], bucket.ids[rows[i]], scores[i]) for i in bucket.best(rows, scores, k)]
 
     return search
@@ -183,7 +199,7 @@ def _other_labels(k: int):
     def search(bucket: Bucket, ask: dict) -> Iterable[tuple]:
         rows = bucket.at_least(ask["vector"], ask["length"], ask["theta"])
         rows = rows[bucket.labels[rows] != ask["label"]]
-        scores = bucket.scores(rows, ask["vector"])
+        scores = bucket.scores(rows, ask["vector"], ask["length"])
         out = []
         for place, positive in enumerate(ask["wanted"]):
             fits = np.flatnonzero((5 * scores >= 4 * positive) & (scores <= positive))
