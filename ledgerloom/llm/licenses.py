@@ -4,7 +4,9 @@ A template is wording with marks: ``<<opt>> ... <<end>>`` may be left out, ``<<a
 N words of any kind. It is compiled into an automaton over words; a text is accepted where its words
 lead from the first state to the last, so all mandatory wording must be there exactly and in order.
 From each place where the first word stands the longest accepted run is taken, runs of one template do
-not overlap. A template is at most a few dozen words long, so the scan is linear in the text.
+not overlap. Templates are at most a few hundred words long and a run ends at its first wrong word, so the scan
+is linear in the text. Licenses that are usually given in full (MIT, BSD, ISC, the Apache and GNU notices, the Unlicense) are accepted
+with all of their mandatory wording only: a text with an altered or missing clause does not get the label.
 
 The scan is one pass of Arrow batches inside Spark's tasks, without a shuffle.
 
@@ -33,23 +35,90 @@ PHRASES = (
     ("reserved", "all rights reserved"),
 )
 
-#: License wording of public licenses: (label, template).
+_GNU = "you can redistribute it and/or modify it under the terms of {} as published by the Free Software Foundation"
+_LATER = "<<opt>> of the License <<end>> <<opt>> or (at your option) any later version <<end>>"
+
+#: License wording of public licenses: (label, template). Fixed values.
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license <<opt>> version <<end>> 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by 4 0"),
-    ("cc-by-4.0", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> creative commons attribution 4 0 <<opt>> international <<end>> license"),
-    ("cc-by-nc-4.0", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by sa 4 0"),
-    ("copyright-notice", "copyright <<opt>> c <<end>> <<any 12>> all rights reserved"),
-    ("gpl-2.0", "licensed under the <<opt>> terms of the <<end>> gnu general public license <<opt>> as published by the free software foundation <<end>> <<opt>> either <<end>> version 2"),
-    ("gpl-3.0", "licensed under the <<opt>> terms of the <<end>> gnu general public license <<opt>> as published by the free software foundation <<end>> <<opt>> either <<end>> version 3"),
-    ("isc", "permission to use copy modify and <<opt>> or <<end>> distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<any 6>> software and associated documentation files"),
-    ("mit", "licensed under the mit license"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license <<opt>> v <<end>> <<opt>> version <<end>> 2 0"),
-    ("spdx", "spdx license identifier <<any 1>>"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("agpl-3.0", f"{_GNU.format('the GNU Affero General Public License')} <<opt>> either <<end>> version 3 {_LATER}"),
+    ("apache-2.0", "Licensed under the Apache License <<opt>> Version <<end>> 2.0"),
+    (
+        "apache-2.0-notice",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at <<any 8>> Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
+        or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "bsd-2-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<opt>> 1. <<end>> Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. <<opt>> 2. <<end>> Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY <<any 12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any 12>>
+        BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+        ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+        OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "bsd-3-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<opt>> 1. <<end>> Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. <<opt>> 2. <<end>> Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. <<opt>> 3. <<end>> Neither the name of <<any 12>> nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY <<any 12>>
+        "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS
+        OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+        THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    ("cc-by-4.0", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> CC BY 4.0"),
+    ("cc-by-4.0", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> Creative Commons Attribution 4.0 <<opt>> International <<end>> License"),
+    ("cc-by-nc-4.0", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> CC BY-NC 4.0"),
+    ("cc-by-sa-4.0", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> CC BY-SA 4.0"),
+    ("cc0-1.0", "to the extent possible under law <<any 12>> waived all copyright and related or neighboring rights to <<any 12>>"),
+    ("copyright-notice", "Copyright <<opt>> (c) <<end>> <<any 12>> all rights reserved"),
+    ("gpl-2.0", f"{_GNU.format('the GNU General Public License')} <<opt>> either <<end>> version 2 {_LATER}"),
+    ("gpl-2.0", "licensed under the <<opt>> terms of the <<end>> GNU General Public License <<opt>> as published by the Free Software Foundation <<end>> <<opt>> either <<end>> version 2"),
+    ("gpl-3.0", f"{_GNU.format('the GNU General Public License')} <<opt>> either <<end>> version 3 {_LATER}"),
+    ("gpl-3.0", "licensed under the <<opt>> terms of the <<end>> GNU General Public License <<opt>> as published by the Free Software Foundation <<end>> <<opt>> either <<end>> version 3"),
+    (
+        "isc",
+        """Permission to use, copy, modify, and <<opt>> or <<end>> distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+        "AS IS" AND <<any 12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+        AND FITNESS. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+        ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    ("lgpl-2.1", f"{_GNU.format('the GNU Lesser General Public License')} <<opt>> either <<end>> version 2.1 {_LATER}"),
+    ("lgpl-3.0", f"{_GNU.format('the GNU Lesser General Public License')} <<opt>> either <<end>> version 3 {_LATER}"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+        furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<opt>>
+        (including the next paragraph) <<end>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY CLAIM,
+        DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+        THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    ("mit", "licensed under the MIT License"),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License <<opt>> v. <<end>> <<opt>> version <<end>> 2.0"),
+    ("spdx", "SPDX-License-Identifier <<any 1>>"),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means.""",
+    ),
 )
 
 SCHEMA = (
@@ -81,9 +150,10 @@ class Automaton:
         for mark, part in re.findall(r"<<\s*(.*?)\s*>>|(\S+)", template):
             here = len(edges) - 1
             if part:
-                edges[here].append((part.encode(), state()))
-                if not opened:
-                    words.append(part.encode())
+                for word in part.lower().encode().translate(_WORD_BYTES).split():
+                    edges[len(edges) - 1].append((word, state()))
+                    if not opened:
+                        words.append(word)
             elif mark == "opt":
                 opened.append(here)
             elif mark == "end":
