@@ -78,6 +78,28 @@ def test_license_templates():
             licenses.Automaton("x", bad)
 
 
+def test_whole_wordings(spark):
+    """Each long template's own words are accepted; with any clause altered, or one word missing, they are not."""
+    import re
+
+    long = [(label, t) for label, t in licenses.TEMPLATES if len(t) > 250 and "GNU" not in t]
+    assert {"mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0-notice", "unlicense"} <= {label for label, _ in long}
+    texts, expected = [], []
+    for label, template in long:
+        plain = re.sub(r"<<opt>>|<<end>>", "", re.sub(r"<<any \d+>>", "THE NAMED HOLDERS", template))
+        words = plain.split()
+        texts += [plain, "x " + re.sub(r"\s+", "\n# ", plain) + " y", " ".join(words[:-3]), " ".join(words[:40] + ["not"] + words[40:]), " ".join(words[:20] + words[21:])]
+        expected += [True, True, False, False, False]
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    kinds = [("General Public License", "3", "gpl,gpl-3.0"), ("General Public License", "2", "gpl,gpl-2.0"), ("Lesser General Public License", "2.1", "gpl,lgpl-2.1"),
+             ("Lesser General Public License", "3", "gpl,lgpl-3.0"), ("Affero General Public License", "3", "agpl-3.0,gpl"), ("General Public License", "9", "gpl")]
+    texts += [notice.format(*k[:2]) for k in kinds]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), DOC)))
+    for i, want in enumerate(expected):
+        assert (long[i // 5][0] in got[i]["labels"].split(",")) == want, (long[i // 5][0], i % 5)
+    assert [got[len(expected) + i]["labels"] for i in range(len(kinds))] == [k[2] for k in kinds]
+
+
 def test_licenses_on_odd_rows(spark):
     texts = [
         None, "", " . ", "Licensed under the Apache License, Version 2.0.", "licensed under the apache license 2.0",
