@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from registry.catalog_queries import CUSTOMER_ERR, CUSTOMER_TEXT, customer_text
 from registry.core import AS_OF, HEAD_OFFICE, query
 
+from ledgerloom import constants as K
 from ledgerloom.plans import changes as J
 
+
 def _s(c):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def _worded(wording, *parts):
+    """SQL for an audit entry of the operator ``op``."""
+    return f"printf('{wording}', '{AS_OF}', 'op', {', '.join(parts)})"
+
+
 # -- hiding, headers, master data ------------------------------------------------------
 
 query(
@@ -275,9 +282,10 @@ query(
 query(
     "delete_receipt_lines_audit", "i_indetail i_instream summary i_products i_depot",
     _DELETE_STEPS + """
-select l.inid_id as header_id, -l.id as seq, concat('2001-08-01 op 删除 产品：', p.name, chr(10), '原:',
-  cast(l.quantity as varchar), '套 单价', cast(l.value_cents // 100 as varchar), '.',
-  lpad(cast(l.value_cents % 100 as varchar), 2, '0'), ' 仓库', d.name, chr(10), repeat('-', 31), chr(10)) as entry
+select l.inid_id as header_id, -l.id as seq, """ + _worded(
+        K.AUDIT_DELETE_RECEIPT, "p.name", "l.quantity::varchar",
+        "(l.value_cents // 100)::varchar || '.' || lpad((l.value_cents % 100)::varchar, 2, '0')", "d.name",
+    ) + """ as entry
 from walk w join i_indetail l on l.id = w.id join i_products p on p.id = l.product_id join i_depot d on d.id = l.depot_id
 where ok
 """,
@@ -457,8 +465,9 @@ query(
     "audit_log", "i_outdetail i_outstream i_products i_depot",
     """
 with twice as (select *, 0 as again from i_outdetail union all select *, 1 from i_outdetail where id % 3 = 0),
-e as (select h.id, l.id * 2 + again as seq, concat('2001-08-01 op 删除 产品：', p.name, chr(10), '原:',
-  cast(case when again = 1 then 0 else l.quantity end as varchar), '套 仓库', d.name, chr(10), repeat('-', 31), chr(10)) as entry
+e as (select h.id, l.id * 2 + again as seq, """ + _worded(
+        K.AUDIT_DELETE_ISSUE, "p.name", "(case when again = 1 then 0 else l.quantity end)::varchar", "d.name"
+    ) + """ as entry
   from twice l join i_outstream h on h.id = l.outid_id join i_products p on p.id = l.product_id
   join i_depot d on d.id = l.depot_id where h.returned)
 select h.id, string_agg(entry, '' order by seq desc) as log from i_outstream h left join e on e.id = h.id group by 1

@@ -2,6 +2,7 @@
 
 from registry.core import query
 
+from ledgerloom import constants as K
 from ledgerloom.plans import stock as S
 
 query(
@@ -130,11 +131,11 @@ from i_outstream h left join s on s.outid_id = h.id
 """,
 )(S.issue_summary)
 
-LEVEL_CASE = (
-    "case {c} when 1 then '董事' when 2 then '会计' when 3 then '仓管' when 4 then '经理' when 5 then '店长' "
-    "when 6 then '店员' when 7 then '后勤' when 8 then '实习' when 9 then '其他' when 99 then '离职' end"
-)
-SUPPLIER_CASE = "case {c} when 1 then '罗莱' when 2 then '优家' when 3 then '宝缦' when 4 then '其他' end"
+def _case(labels):
+    return "case {c} " + " ".join(f"when {code} then '{label}'" for code, label in labels.items()) + " end"
+
+
+LEVEL_CASE, SUPPLIER_CASE = _case(K.LEVELS), _case(K.SUPPLIERS)
 STAFF_LABEL = "concat_ws(' ', " + LEVEL_CASE.format(c="{a}.level") + ", {a}.name)"
 
 query(
