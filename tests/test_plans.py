@@ -184,3 +184,39 @@ def test_search_params(spark):
     assert [r.errors for r in quality.validate_search_params(df, AS_OF).collect()] == [
         [], ["code", "customer", "staff", "note", "s_date", "e_date"], ["look_back"], ["order"], ["e_date_future"],
     ]
+
+
+def unreduced(df):
+    """Ledger scans of the optimised plan that an aggregate sums without a semi join by product between them."""
+    found, above = [], []
+    for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, n) for d, n in above if d < depth]
+        above.append((depth, line.strip(" :+-")))
+        if "Relation" in line and "quantity" in line:
+            names = [n for _, n in above]
+            last = max((i for i, n in enumerate(names) if n.startswith("Aggregate") and "sum(" in n), default=None)
+            if last is not None and not any("LeftSemi, (product_id" in n for n in names[last:]):
+                found.append(line)
+    return found
+
+
+def test_stock_of_some_products_sums_their_lines_only(spark, tmp_path):
+    from ledgerloom.operators import cost
+    from ledgerloom.operators import stock as op
+    from ledgerloom.plans import changes
+    from ledgerloom.sources import tables
+
+    tables.write_tables(ledger(spark), str(tmp_path / "v"))
+    t = tables.load_tables(spark, str(tmp_path / "v"))
+    some = spark.createDataFrame([(1,)], "product_id bigint")
+    assert unreduced(op.shop_product_stock(t)) and unreduced(op.depot_product_stock(t))
+    for df in (
+        op.shop_product_stock(t, some), op.depot_product_stock(t, some), cost.product_summary(t, some.selectExpr("product_id as id")),
+        stock.return_lines_stock(t, 2), stock.product_by_depot(t, 1),
+    ):
+        assert not unreduced(df), df.columns
+    one = spark.createDataFrame([(1, 1, 1, 1, "3")], "seq bigint, outid_id bigint, product_id bigint, depot_id bigint, quantity string")
+    assert not unreduced(changes.add_issue_lines(t, one).added)
+    whole = {r.product_id: r.stock for r in op.shop_product_stock(t).filter("shop_id = 2").collect()}
+    assert {r.product_id: r.stock for r in op.shop_product_stock(t, some).filter("shop_id = 2").collect()} == {1: whole[1]}
