@@ -11,7 +11,8 @@ and the product of the code's unit vector with the turned residual, which correc
 and the spread of its products within each partition. From those and the partitions' sizes follows how many of
 the k nearest each partition may be expected to hold. A query is sent to the partitions that together hold ``SHARE`` of
 them, and to every one that is more likely than not to hold one. So clustered tables are searched in few partitions, and a
-table without any structure in nearly all. With ``exact`` a query goes to all partitions that the triangle inequality
+table without any structure in nearly all; rows of the sample that reach the floor count wherever they lie, so a query
+always has its k rows. With ``exact`` a query goes to all partitions that the triangle inequality
 (Cauchy-Schwarz on the residuals' largest length) cannot rule out, and every row there is compared.
 
 *Search.* In a block the turned query's product with the unpacked signs, divided by the correction, estimates the
@@ -195,6 +196,25 @@ def _router(coarse: Coarse, blocks: np.ndarray, k: int, exact: bool):
     return run
 
 
+def _from_sample(coarse: Coarse, k: int, exact: bool):
+    """The rows of the sample that reach the floor, wherever they lie. With them a query always has k rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, q = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
+                floor = coarse.partitions(q, ids, k, exact)[1]
+                reaches = (q @ coarse.sample.T >= floor[:, None]) & (ids[:, None] != coarse.sample_ids)
+                query, row = np.nonzero(reaches)
+                score = (coarse.sample[row] * q[query]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[query]), pa.array(coarse.sample_ids[row]), pa.array(score)], ["query_id", "vec_id", "score"]
+                )
+
+    return run
+
+
 def _block(rows: pa.Table) -> dict:
     x = matrix(rows["vector"])
     bits = code_bits(x.shape[1])
@@ -255,10 +275,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, exact: bool = False) -
         rows = coded.withColumn("block", (F.get(begin, F.col("partition").cast("int")) + nth).cast("long"))
         queries = coded.filter(is_query).select("vec_id", "vector")
         n_queries = queries.count()
-        asks = queries.repartition(max(1, -(-n_queries // 1024))).mapInArrow(
-            _router(coarse, blocks, k, exact), "vec_id long, vector array<double>, floor double, block long"
-        )
+        queries = queries.repartition(max(1, -(-n_queries // 1024)))
+        asks = queries.mapInArrow(_router(coarse, blocks, k, exact), "vec_id long, vector array<double>, floor double, block long")
         found = meet(rows, asks, n_queries, int(blocks.sum()), _block, _searcher(coarse.centroids, k, exact), found_schema)
+        # a row found in both ways counts once, equal rows under one id as often as one way found them
+        seen = queries.mapInArrow(_from_sample(coarse, k, exact), found_schema).withColumn("_way", F.lit(1))
+        counts = found.withColumn("_way", F.lit(0)).unionAll(seen).groupBy("query_id", "vec_id", "score", "_way").agg(F.count("*").alias("_n"))
+        most = counts.groupBy("query_id", "vec_id", "score").agg(F.max("_n").cast("int").alias("_n"))
+        found = most.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), "_n"))).drop("col")
     return ranked(found, k, F.desc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")
 
 
