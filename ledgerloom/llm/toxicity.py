@@ -70,17 +70,19 @@ def features_of(word: str) -> list[int]:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """(label, text) to (label, features, features after the swap or null)."""
-    for batch in batches:
-        plain, swapped = [], []
-        for text in batch.column(1).to_pylist():
-            words = words_of(text)
-            plain.append(sorted({f for w in words for f in features_of(w)}))
-            other = {_SWAP.get(w, w) for w in words} if not words.isdisjoint(_SWAP) else None
-            swapped.append(None if other is None else sorted({f for w in other for f in features_of(w)}))
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(plain, kind), pa.array(swapped, kind)], ["label", "plain", "swapped"]
-        )
+    kind = pa.list_(pa.int64())
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            plain, swapped = [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                plain.append(sorted({f for w in words for f in features_of(w)}))
+                other = {_SWAP.get(w, w) for w in words} if not words.isdisjoint(_SWAP) else None
+                swapped.append(None if other is None else sorted({f for w in other for f in features_of(w)}))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(plain, kind), pa.array(swapped, kind)], ["label", "plain", "swapped"]
+            )
 
 
 def fit_weights(
@@ -144,11 +146,12 @@ def _fitter(stands_for: dict[float, float]):
     """Fits the rows, of which each counts as many as its label's number in ``stands_for``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
-        rows.sort(key=lambda r: (r[0], r[1], r[2] or []))
-        as_array = lambda x: None if x is None else np.asarray(x, np.int64)
+        # features stay in arrays: as lists of numbers they would take several times the memory
+        as_array = lambda x: np.array(x.values.to_numpy()) if x.is_valid else None
+        rows = [(label, *map(as_array, own)) for b in batches for label, *own in zip(b.column(0).to_pylist(), b.column(1), b.column(2))]
+        rows.sort(key=lambda r: (r[0], r[1].tobytes(), b"" if r[2] is None else r[2].tobytes()))
         model = fit_weights(
-            np.asarray([r[0] for r in rows], float), [as_array(r[1]) for r in rows], [as_array(r[2]) for r in rows],
+            np.asarray([r[0] for r in rows], float), [r[1] for r in rows], [r[2] for r in rows],
             np.asarray([stands_for[r[0]] for r in rows], float),
         )
         yield pa.RecordBatch.from_pydict({"feature": list(model), "weight": list(model.values())})
@@ -191,21 +194,22 @@ def _scorer(model: dict[int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         weights, bias = dict(model), model[-1]
         of_word: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for whole in batches:
             scores = []
-            for text in batch.column(1).to_pylist():
-                active: set[int] = set()
-                for word in words_of(text):
-                    known = of_word.get(word)
-                    if known is None:
-                        if len(of_word) >= 300_000:
-                            of_word.clear()
-                        known = of_word[word] = tuple(f for f in features_of(word) if f in weights)
-                    if known:
-                        active.update(known)
-                z = bias + math.fsum(weights[f] for f in active)
-                scores.append(1 / (1 + math.exp(-min(max(z, -700.0), 700.0))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            for at in range(0, whole.num_rows, 512):
+                for text in whole.column(1).slice(at, 512).to_pylist():
+                    active: set[int] = set()
+                    for word in words_of(text):
+                        known = of_word.get(word)
+                        if known is None:
+                            if len(of_word) >= 100_000:
+                                of_word.clear()
+                            known = of_word[word] = tuple(f for f in features_of(word) if f in weights)
+                        if known:
+                            active.update(known)
+                    z = bias + math.fsum(weights[f] for f in active)
+                    scores.append(1 / (1 + math.exp(-min(max(z, -700.0), 700.0))))
+            yield pa.RecordBatch.from_arrays([whole.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
 
