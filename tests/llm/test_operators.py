@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -595,7 +596,7 @@ def test_counterfactuals_clear_neutral_mentions(spark, monkeypatch):
     probes = spark.createDataFrame([(1, "the muslim family had lunch"), (2, "the christian family had lunch"), (3, "you idiot")], DOC)
     weights = lambda m: {r["doc_id"]: r["score"] for r in rows(toxicity.score(probes, m))}
     fair = weights(toxicity.train(docs, labels))
-    featured = list(toxicity._featured(iter([_batch(data)])))[0]
+    featured = pa.Table.from_batches(list(toxicity._featured(iter([_batch(data)]))))
     arrays = [np.asarray(p, np.int64) for p in featured.column(1).to_pylist()]
     unfair_model = toxicity.fit_weights(np.array([float(d[2]) for d in data]), arrays, [None] * len(arrays))
     unfair = weights(unfair_model)
@@ -605,8 +606,6 @@ def test_counterfactuals_clear_neutral_mentions(spark, monkeypatch):
 
 
 def _batch(data):
-    import pyarrow as pa
-
     return pa.RecordBatch.from_pydict({"label": [float(d[2]) for d in data], "text": [d[1] for d in data]})
 
 
