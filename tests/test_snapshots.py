@@ -157,3 +157,19 @@ def test_newest_rows_and_deep_pages(spark, tmp_path):
     assert len(deep.inputFiles()) <= 2 and len(newest.newest(spark, root, "shop", 10).inputFiles()) == 1
     assert got(newest.newest(spark, root, "depot", 5)) == got(newest.page(spark, root, "depot", 1)) == []
     assert newest.page_total(spark, root, "depot") == 0 and got(newest.newest(spark, root, "shop", 3, version=1)) == [998, 996, 994]
+
+
+def test_a_table_has_a_bounded_number_of_small_files(spark, tmp_path, monkeypatch):
+    """However few rows a file is asked to have, neither a first version nor a commit makes files without end."""
+    monkeypatch.setattr(snapshots, "MAX_FILES", 8)
+    root = str(tmp_path / "store")
+    shops = lambda df: df.selectExpr("id", "concat('s', id) as name")
+    snapshots.write_store({"shop": shops(spark.range(0, 2000, 2))}, root, file_rows=5)
+    assert 2 <= len(files(spark, root, "shop", 1)) <= 8
+    # one file is written anew as one, not cut into as many as a table may have
+    snapshots.commit(spark, root, {"shop": Delta(shops(spark.range(2, 3)))}, file_rows=5)
+    assert len(files(spark, root, "shop", 2)) == len(files(spark, root, "shop", 1))
+    snapshots.commit(spark, root, {"shop": Delta(shops(spark.range(1, 2400)))}, file_rows=5)
+    after = files(spark, root, "shop", 3)
+    assert len(after) <= 8 + 8 + 4 and sum(n for n, _, _ in after.values()) == len({*range(0, 2000, 2), *range(1, 2400)})
+    assert sorted(r.id for r in snapshots.read_snapshot(spark, root)["shop"].collect()) == sorted({*range(0, 2000, 2), *range(1, 2400)})
