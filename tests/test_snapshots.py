@@ -173,3 +173,25 @@ def test_a_table_has_a_bounded_number_of_small_files(spark, tmp_path, monkeypatc
     after = files(spark, root, "shop", 3)
     assert len(after) <= 8 + 8 + 4 and sum(n for n, _, _ in after.values()) == len({*range(0, 2000, 2), *range(1, 2400)})
     assert sorted(r.id for r in snapshots.read_snapshot(spark, root)["shop"].collect()) == sorted({*range(0, 2000, 2), *range(1, 2400)})
+
+
+def test_pages_of_files_that_overlap_in_a_chain(spark, tmp_path):
+    """Every file overlaps the next, so all are one group; still only those about the page are read."""
+    from ledgerloom.sources import newest
+
+    root = str(tmp_path / "store")
+    shops = lambda df: df.selectExpr("id", "concat('s', id % 7) as name")
+    snapshots.write_store({"shop": shops(spark.range(0, 2000, 2))}, root, file_rows=50)
+    snapshots.commit(spark, root, {"shop": Delta(shops(spark.range(1, 1999, 2)))}, file_rows=70)
+    ids = sorted([*range(0, 2000, 2), *range(1, 1999, 2)], reverse=True)
+    groups = newest.directory(spark, root, "shop")
+    assert max(len(g.files) for g in groups) >= 6
+    got = lambda df: [r.id for r in df.collect()]
+    for n in (1, 2, 3, 17, 50, 99, 100, 101):
+        page = newest.page(spark, root, "shop", n)
+        assert got(page) == ids[(n - 1) * 20 : n * 20] and len(page.inputFiles()) <= 5
+    for k in (1, 30, 700, 5000):
+        assert got(newest.newest(spark, root, "shop", k)) == ids[:k]
+        of_name = newest.newest(spark, root, "shop", k, F.col("name") == "s3")
+        assert got(of_name) == [i for i in ids if i % 7 == 3][:k]
+    assert len(newest.newest(spark, root, "shop", 3, F.col("name") == "s3").inputFiles()) <= 4
