@@ -126,8 +126,11 @@ def advance(state: State, t: Tables, delta: Mapping[str, Delta]) -> State:
         columns = [*_KEYS[part], *_SUMS[part]]
         parts[part] = _summed(part, rows.select(*columns).unionByName(less[part]).unionByName(more[part]))
 
-    # a product whose latest receipt line was touched is searched again, among its own lines
     lasts = state.product_flows.select("product_id", "last_id", "last_value").filter("last_id is not null")
+    if not {"indetail", LINE_HEADER["indetail"][0]} & set(delta):  # no receipt is touched
+        return State(parts["shop_stock"], parts["depot_stock"], parts["product_flows"].join(lasts, "product_id", "left"))
+
+    # a product whose latest receipt line was touched is searched again, among its own lines
     gone = out.receipts.select(F.col("id").alias("last_id"), "product_id")
     again = cut(lasts.join(gone, ["last_id", "product_id"], "left_semi").select("product_id"))
     named = was["indetail"].select("id")

@@ -84,3 +84,18 @@ def test_only_touched_lines_are_summed(spark, tmp_path):
     text = maintained.advance(kept, t, got.delta).shop_stock._jdf.queryExecution().optimizedPlan().toString()
     scans = [x for x in text.splitlines() if "outdetail" in x or "Relation [id" in x and "outid_id" in x]
     assert scans and text.count("LeftSemi") >= len(scans)
+
+
+def test_a_change_without_receipts_does_not_count_products(spark, monkeypatch):
+    """Only ids are kept then; the latest prices stay as they are and no job sums the products' receipts."""
+    kept, cut = [], maintained.cut
+    monkeypatch.setattr(maintained, "cut", lambda df: kept.append(df.columns) or cut(df))
+    t = ledger(spark)
+    got = changes.soft_delete(t, "outstream", spark.createDataFrame([(1,)], "id bigint"))
+    state = maintained.advance(maintained.build(t), t, got.delta)
+    assert kept and all(columns == ["id"] for columns in kept)
+    expected = maintained.build(got.tables)
+    for part in maintained.State._fields:
+        columns = sorted(getattr(expected, part).columns)
+        rows = [sorted(map(repr, getattr(s, part).select(*columns).collect())) for s in (state, expected)]
+        assert rows[0] == rows[1], part
