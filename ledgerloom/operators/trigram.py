@@ -26,6 +26,8 @@ from ledgerloom.functions.text import _ascii_lower, any_contains, ascii_lower, r
 LISTS = 3
 #: up to so many candidates are looked up by id
 LOOKED_UP = 1_000
+#: texts whose trigrams a task sorts when an index is written, about; left to Spark, their compressed size would decide
+PART_ROWS = 100_000
 
 
 class TextIndex(NamedTuple):
@@ -65,7 +67,8 @@ def build(rows: DataFrame, columns: Sequence[str]) -> TextIndex:
 
 def write_index(rows: DataFrame, columns: Sequence[str], path: str) -> None:
     """Store the index sorted, so that a list lies in few row groups; a long one is split over files."""
-    listed = postings(rows, columns).repartitionByRange("column", "gram", "id").sortWithinPartitions("column", "gram", "id")
+    parts = max(1, -(-rows.count() * len(columns) // PART_ROWS))
+    listed = postings(rows, columns).repartitionByRange(parts, "column", "gram", "id").sortWithinPartitions("column", "gram", "id")
     listed.write.mode("errorifexists").parquet(f"{path}/postings")
     stored = rows.sparkSession.read.parquet(f"{path}/postings")
     _sizes(stored).repartitionByRange("column", "gram").sortWithinPartitions("column", "gram").write.mode("errorifexists").parquet(f"{path}/sizes")
@@ -86,7 +89,7 @@ def with_rows(index: TextIndex, rows: DataFrame, columns: Sequence[str]) -> Text
 
 
 def candidates(index: TextIndex, column: str, literals: Sequence[str]) -> DataFrame | None:
-    """Ids of the rows whose column may contain all literals, or None if no literal has three characters."""
+    """Ids of the rows whose column may contain all literals, or None if no literal has three characters. An id may come up repeatedly."""
     grams = sorted({g for text in literals for g in _grams(_ascii_lower(text))})
     if not grams:
         return None
@@ -94,17 +97,20 @@ def candidates(index: TextIndex, column: str, literals: Sequence[str]) -> DataFr
     if len(found) < len(grams):  # some trigram is in no row
         return index.postings.select("id").limit(0)
     rarest = [r["gram"] for r in found[:LISTS]]
-    lists = index.postings.filter((F.col("column") == column) & F.col("gram").isin(rarest))
-    return lists.groupBy("id").agg(F.count_distinct("gram").alias("_n")).filter(F.col("_n") == len(rarest)).select("id")
+    # joined rather than counted by id: a task would hold all ids of its part of a list at once
+    lists = [index.postings.filter((F.col("column") == column) & (F.col("gram") == g)).select("id") for g in rarest]
+    ids = lists[0]
+    for longer in lists[1:]:
+        ids = ids.join(longer, "id", "left_semi")
+    return ids
 
 
 def _verified(df: DataFrame, ids: DataFrame | None, test: Column) -> DataFrame:
     if ids is None:
         return df.filter(test)
-    ids = ids.distinct()
     few = [r["id"] for r in ids.limit(LOOKED_UP + 1).collect()]
     if len(few) <= LOOKED_UP:
-        return df.filter(F.col("id").isin(few) & test) if few else df.limit(0)
+        return df.filter(F.col("id").isin(sorted({i for i in few if i is not None})) & test) if few else df.limit(0)
     return df.join(ids, "id", "left_semi").select(*df.columns).filter(test)
 
 

@@ -77,3 +77,17 @@ def test_fewer_rows_are_read(spark, tmp_path):
     assert [r.id for r in found.collect()] == [39875]
     assert read_files(found)["customer"][1] <= n / 3
     assert trigram.contains(stored, index, "nowhere", *COLUMNS).count() == 0
+
+
+def test_long_lists_are_neither_held_by_a_task_nor_merged_into_few_parts(spark, tmp_path, monkeypatch):
+    """Lists are joined, not counted by id; the parts of a written index follow the number of texts; a repeated posting counts once."""
+    monkeypatch.setattr(trigram, "PART_ROWS", 100)
+    df = spark.range(500).selectExpr("id", "concat('so', id) as code")
+    trigram.write_index(df, ["code"], str(tmp_path / "index"))
+    index = trigram.read_index(spark, str(tmp_path / "index"))
+    assert len(index.postings.inputFiles()) >= 4
+    plan = trigram.candidates(index, "code", ["so12"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    twice = trigram.with_rows(index, df.filter("id < 130"), ["code"])
+    for i in (index, twice):
+        assert sorted(r.id for r in trigram.contains(df, i, "SO12", "code").collect()) == [12, *range(120, 130)]
