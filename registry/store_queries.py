@@ -1,7 +1,7 @@
 """Versions of a store and sums kept up with changes."""
 
 from pyspark.sql import functions as F
-from registry.core import AS_OF, query
+from registry.core import AS_OF, query, stored
 from registry.sales_queries import _WHERE, FIELDS
 from registry.table_queries import fresh_path
 
@@ -57,6 +57,7 @@ def _(t):
 
 def _after(t, *tables):
     """The state after headers are hidden, kept up from the state before."""
+    t = stored(t, "indetail", "outdetail")
     state, hidden = maintained.build(t), t["remit"].filter("supplier = 3")
     delta = {}
     for table in tables:
