@@ -33,6 +33,8 @@ from ledgerloom.operators.running import id_block, running_total
 from ledgerloom.session import cut
 
 _OPEN, _ACCEPTED, _REJECTED = 0, 1, 2
+#: no claim, but what there is of a resource; such rows come before the claims of their component
+_CAPACITY = -1
 
 #: components with up to this many claims are replayed in one task
 REPLAY_ROWS = 1_000_000
@@ -41,18 +43,22 @@ REPLAY_ROWS = 1_000_000
 #: streams through what is left, which takes time but, holding only what was taken, no memory
 LEAST_DECIDED = 0.1
 
+#: components are counted in so many groups first, and one by one only in groups with enough claims
+_GROUPS = 4096
+
 
 def _replay(keys: list[str], component: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task function deciding claims that arrive sorted by component and ``seq``.
+    """A task function deciding claims that arrive sorted by component and ``seq``, after the capacities of the component.
 
     It is built as a closure, so it travels to the executors by value.
     """
-    accepted_status = _ACCEPTED
+    accepted_status, capacity_status = _ACCEPTED, _CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {c: [] for c in ["seq", *keys, "accepted", "available", "short"]}
         taken: dict[tuple, int] = {}
-        current, request = None, []
+        listed: dict[tuple, list[int]] = {}
+        current, request, own = None, [], None
         schema = None
 
         def decide() -> None:
@@ -75,16 +81,25 @@ def _replay(keys: list[str], component: list[str]) -> Callable[[Iterator[pa.Reco
             places = zip(*[column[c] for c in component])
             claims = zip(
                 column["seq"], zip(*[column[k] for k in keys]),
-                *[column[c] for c in ("left", "need", "delta", "eligible", "status")],
+                *[column[c] for c in ("left", "need", "delta", "eligible", "only_listed", "status")],
             )
             for place, claim in zip(places, claims):
                 if current != (place, claim[0]):
                     decide()
                     request = []
-                    if current is not None and current[0] != place:
-                        taken.clear()
                     current = (place, claim[0])
-                request.append(claim)
+                if own is None or own != (place,):
+                    own = (place,)
+                    taken.clear()
+                    listed.clear()
+                seq, key, left, need, delta, eligible, only_listed, status = claim
+                if status == capacity_status:
+                    listed.setdefault(key, []).append(left)
+                    continue
+                if only_listed and key not in listed:
+                    delta = 0
+                for have in listed.get(key, (0,)):
+                    request.append((seq, key, left + have, need, delta, eligible, status))
             yield pa.RecordBatch.from_pydict(out, schema)
             out = {c: [] for c in out}
         if request:
@@ -135,6 +150,8 @@ def admit_in_order(
     ``claims``: one row per request and resource -- ``seq`` (BIGINT, one value per
     request), the resource ``keys``, ``need`` (NULL: no condition), ``delta``, and
     ``eligible`` (false: already refused on other grounds, takes nothing; so is a claim without ``delta``).
+    Claims may have a column ``only_listed``: where it is true, a resource that ``capacity`` lacks stays at 0 whatever is taken.
+    They are read more than once, so keep them if they cost much to make.
     ``capacity``: resource ``keys`` and ``capacity``; a missing resource has 0.
     ``component``: those of the keys that all resources of a request share.
 
@@ -143,7 +160,7 @@ def admit_in_order(
     """
     keys, component = list(keys), list(component)
     zero = F.lit(0).cast("bigint")
-    columns = ["seq", *keys, "need", "delta", "eligible"]
+    columns = ["seq", *keys, "need", "delta", "eligible", "only_listed"]
     types = dict(claims.dtypes)
     decided_schema = ", ".join(
         ["seq bigint", *[f"{k} {types[k]}" for k in keys], "accepted boolean", "available bigint", "short boolean"]
@@ -154,25 +171,38 @@ def admit_in_order(
         return sizes.filter(F.col("_size") > replay_rows).select(*component)
 
     def replay(df: DataFrame) -> DataFrame:
-        df = df.select("seq", *keys, "need", "delta", "eligible", "left", "status")
-        ordered = df.repartition(*component).sortWithinPartitions(*component, "seq")
+        df = df.select("seq", *keys, "need", "delta", "eligible", "only_listed", "left", "status")
+        # by a hash of its own: a shuffle by the component itself is left out where rows lie by it already, and such rows may be read otherwise in the end
+        ordered = df.repartition(F.xxhash64(*component)).sortWithinPartitions(*component, F.col("status") != _CAPACITY, "seq")
         return ordered.mapInArrow(_replay(keys, component), decided_schema)
 
-    claims = cut(
-        claims.select(
-            "seq", *keys, F.col("need").cast("bigint").alias("need"),
-            F.coalesce(F.col("delta").cast("bigint"), zero).alias("delta"),
-            (F.col("eligible") & F.col("delta").isNotNull()).alias("eligible"),
-        )
-        .join(capacity.select(*keys, F.col("capacity").cast("bigint").alias("left")), keys, "left")
-        .select(*columns, F.coalesce("left", zero).alias("left"), F.lit(_OPEN).alias("status"))
+    def replay_with(df: DataFrame, capacity: DataFrame) -> DataFrame:
+        held = capacity.dropna(subset=keys).select(*keys, "left", F.lit(_CAPACITY).alias("status"))
+        held = held.select(*[F.col(k).cast(types[k]).alias(k) for k in keys], "left", "status")
+        return replay(df.withColumn("left", zero).unionByName(held, allowMissingColumns=True))
+
+    only_listed = F.col("only_listed") if "only_listed" in claims.columns else F.lit(False)
+    claims = claims.select(
+        "seq", *keys, F.col("need").cast("bigint").alias("need"),
+        F.coalesce(F.col("delta").cast("bigint"), zero).alias("delta"),
+        (F.col("eligible") & F.col("delta").isNotNull()).alias("eligible"),
+        only_listed.alias("only_listed"), F.lit(_OPEN).alias("status"),
     )
-    big = big_components(claims)
+    capacity = capacity.select(*keys, F.coalesce(F.col("capacity").cast("bigint"), zero).alias("left"))
+    group = F.pmod(F.xxhash64(*component), F.lit(_GROUPS)).alias("_group")
+    groups = claims.groupBy(group).agg(F.count("*").alias("_size")).filter(F.col("_size") > replay_rows)
+    groups = cut(groups.select("_group"))
+    if groups.isEmpty():
+        return replay_with(claims, capacity)
+    big = cut(big_components(claims.withColumn("_group", group).join(groups, "_group", "left_semi")))
     if big.isEmpty():
-        return replay(claims)
-    big = cut(big)
-    done = replay(claims.join(big, component, "left_anti"))
-    large = claims.join(big, component, "left_semi")
+        return replay_with(claims, capacity)
+    done = replay_with(claims.join(big, component, "left_anti"), capacity.join(big, component, "left_anti"))
+    large = claims.join(big, component, "left_semi").join(capacity, keys, "left")
+    large = cut(
+        large.withColumn("delta", F.when(F.col("only_listed") & F.col("left").isNull(), zero).otherwise(F.col("delta")))
+        .withColumn("left", F.coalesce("left", zero)).withColumn("only_listed", F.lit(False))
+    )
     accepted = large.select("seq").limit(0)
     work = large.filter("eligible")
     open_claims = work.filter(F.col("status") == _OPEN).count()

@@ -90,3 +90,21 @@ def test_a_claim_without_delta_is_refused(spark):
     for rows in (0, 100):
         got = run(spark, claims, {(0, 0): 1}, replay_rows=rows)
         assert not got[1, 0, 0][0] and got[2, 0, 0][0]
+
+
+@pytest.mark.parametrize("replay_rows", [0, 100])
+def test_only_listed_resources_take(spark, replay_rows):
+    # item 1 has no capacity: what is given back there stays without effect where only listed resources count
+    claims = [(1, 0, 1, None, -5, True), (2, 0, 1, 3, 3, True), (3, 0, 0, 3, 3, True), (4, 0, 0, 3, 3, True)]
+    capacity = spark.createDataFrame([(0, 0, 5), (0, None, 9), (7, 0, 9)], "place bigint, item bigint, capacity bigint")
+    for flag, wanted in ((True, [True, False, True, False]), (False, [True, True, True, False])):
+        df = spark.createDataFrame([(*c, flag) for c in claims], CLAIMS + ", only_listed boolean")
+        rows = admit_in_order(df, ["place", "item"], capacity, ["place"], replay_rows=replay_rows).collect()
+        assert [r.accepted for r in sorted(rows)] == wanted
+
+
+def test_capacity_is_not_joined_to_claims(spark):
+    df = spark.createDataFrame([(1, 0, 0, 5, 5, True)], CLAIMS)
+    capacity = spark.createDataFrame([(0, 0, 5)], "place bigint, item bigint, capacity bigint")
+    judged = admit_in_order(df, ["place", "item"], capacity, ["place"])
+    assert "Join" not in judged._jdf.queryExecution().optimizedPlan().toString()
