@@ -55,8 +55,8 @@ def _round(work: DataFrame, holders: DataFrame) -> tuple[DataFrame, DataFrame]:
     moves = live.select(F.col("row").alias("_row"), F.col("value").alias("_to"), F.col("seq").alias("_at"), F.col("status").alias("_how"))
     ends = holders.join(
         moves, (F.col("row") == F.col("_row")) & (F.col("_at") > F.col("since")) & (F.col("_to") != F.col("value")), "left"
-    ).groupBy("value", "row", "since").agg(F.min(F.struct("_at", "_how")).alias("_end"))
-    ends = ends.select("value", F.col("row").alias("holder"), "since", F.col("_end._at").alias("until"), F.col("_end._how").alias("how"))
+    ).groupBy("value", "row", "since").agg(F.min("_at").alias("until"), F.min_by("_how", "_at").alias("how"))
+    ends = ends.withColumnRenamed("row", "holder")
     is_open = (F.col("status") == _OPEN) & ~F.col("stuck")
     within = (F.col("seq") > F.col("since")) & (F.col("until").isNull() | (F.col("seq") < F.col("until")))
     released = F.col("holder").isNull() | ((F.col("how") == _GRANTED) & (F.col("seq") > F.col("until")))
@@ -82,18 +82,18 @@ def grant_in_order(claims: DataFrame, stored: DataFrame) -> DataFrame:
     per row. Of stored rows only those matter that claim something or hold a value that is claimed.
     """
     claims = cut(claims.select("seq", "row", "value"))
-    wanted = claims.groupBy("value").agg(F.min("row").alias("_low"), F.max("row").alias("_high"))
-    holding = stored.select("row", "value").join(wanted.select("value"), "value", "left_semi")
-    by_value = holding.groupBy("value").agg(F.min("row").alias("_low"), F.max("row").alias("_high"))
-    asked = wanted.unionByName(by_value).groupBy("value").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    contested = cut(asked.filter(F.col("_low") != F.col("_high")).select("value"))
+    said = claims.select("value", "row", F.lit(True).alias("_claimed")).unionByName(
+        stored.select("value", "row", F.lit(False).alias("_claimed"))
+    )
+    asked = said.groupBy("value").agg(F.min("row").alias("_low"), F.max("row").alias("_high"), F.max("_claimed").alias("_claimed"))
+    contested = cut(asked.filter(F.col("_claimed") & (F.col("_low") != F.col("_high"))).select("value"))
     everyone = claims.select("seq", F.lit(True).alias("granted"))
     if contested.isEmpty():
         return everyone
 
     # rows that may hold a contested value at some time, with all of their claims
     involved = claims.join(contested, "value", "left_semi").select("row").unionAll(
-        holding.join(contested, "value", "left_semi").select("row")
+        stored.join(contested, "value", "left_semi").select("row")
     ).distinct()
     involved = cut(involved)
     start = cut(stored.select("row", "value").join(involved, "row", "left_semi"))

@@ -70,3 +70,15 @@ def test_codes_given_up_may_be_taken(spark):
     assert refused == {4: "duplicate_code", 5: "duplicate_code", 6: "code", 7: "duplicate_code"}
     codes = {i: r.code for i, r in by(got.tables["instream"], "id").items()}
     assert codes[1] == "LAST1" and codes[3] == "IN01" and sorted(codes.values()).count("IN03") == 1 and "FRESH1" in codes.values()
+
+
+def test_contested_values_are_found_in_one_grouping(spark):
+    claims = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "seq bigint, row bigint, value string")
+    stored = spark.createDataFrame([(1, "a"), (3, "c")], "row bigint, value string")
+    spark.sparkContext.setJobGroup("contested", "")
+    try:
+        granted = ownership.grant_in_order(claims, stored)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("contested")) <= 5
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in granted.collect()) == [(1, True), (2, True)]
