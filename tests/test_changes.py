@@ -1,6 +1,7 @@
 """Change jobs against one-change-at-a-time replays in plain Python."""
 
 import random
+import re
 from collections import defaultdict
 from datetime import date, datetime
 from decimal import Decimal as D
@@ -237,6 +238,38 @@ def test_successive_order_edits(spark, t):
     assert sorted(i for i in lines if i > 4) == [5]
 
 
+def test_order_edits_with_repeated_and_missing_seq(spark, t):
+    day = "2012-06-01 08:00:00"
+    rows = [
+        # one seq for an edit and a document that hides another order: the lines of both count
+        doc(1, id="1", code="ONE11", date=day, lines=[("1", "1", "21", "3")]), doc(1, id="2", hidden="1", lines=[("3", "1", "9", "4")]),
+        # a bad line spoils all edits of its seq
+        doc(2, id="3", code="THREE", date=day), doc(2, id="2", hidden="1", lines=[("", "77", "1", "1")]),
+        # without seq: accepted, but of no effect on lines
+        doc(None, id="4", code="FOUR4", date=day, lines=[("4", "1", "8", "8"), ("x", "1", "8", "8")]),
+    ]
+    got = changes.apply_order_edits(t, docs(spark, rows), as_of=AS_OF)
+    assert [(r.seq, r.id, r.reason, r.line_no) for r in got.rejected.collect()] == [(2, "3", "unknown_product", 1)]
+    lines = {i: (r.oid_id, r.quantity, r.price) for i, r in by(got.tables["sellorderdetail"], "id").items()}
+    was = {i: (r.oid_id, r.quantity, r.price) for i, r in by(t["sellorderdetail"], "id").items()}
+    assert lines == {1: (1, 3, D("21.00")), 3: (was[3][0], 4, D("9.00")), 4: was[4]}
+    orders = by(got.tables["sellorder"], "id")
+    assert orders[1].code == "ONE11" and orders[2].hidden and orders[3].code != "THREE" and orders[4].code != "FOUR4"
+
+
+def test_order_edits_deal_out_stored_lines_by_id_and_order_only(spark, t):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [doc(1, id="1", code="EDIT1", lines=[("1", "1", "21", "3")])]
+        gone = changes.apply_order_edits(t, docs(spark, rows), as_of=AS_OF).delta["sellorderdetail"].deleted
+        keys = re.findall(r"SortMergeJoin \[(.*?)\], \[", gone._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # a join on both would shuffle the lines once more
+    assert sorted(k.split("#")[0] for k in keys) == ["id", "oid_id"] and all("," not in k for k in keys)
+
+
 def test_category_tree(spark, t):
     nodes = [
         (0, 1, "House", None), (1, 2, "Bed", 1), (2, 3, "Sheet", 0), (3, 5, "Bath", 100),

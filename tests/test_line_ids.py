@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 
 from ledgerloom.sources.sample import STAR, sample_tables
+from registry.change_queries import order_edit_docs
 from registry.core import QUERIES
 
 # order, product, supplier, line number, quantity, ..., of which some are equal and some have no number
@@ -37,6 +38,20 @@ def test_only_lines_that_count_are_shuffled(tables):
     assert "<= 4)" in plan[plan.index("Window") :]
 
 
+@pytest.mark.parametrize("table", ["outdetail", "sellorderdetail"])
+def test_lines_before_a_ledger_are_counted_not_sorted(tables, table):
+    plan = tables[table].select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan[plan.index("Window") :]
+    # a ledger of which no ids are asked for does not count them either
+    plan = tables[table].select("product_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 @pytest.mark.parametrize("name", ["maintained_product_summary", "delete_receipt_lines", "edit_receipt_lines", "edit_issue_lines", "apply_order_edits"])
 def test_jobs_derive_lines_once(spark, sf_dir, name):
     assert "l_linenumber" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_order_edits_gather_lines_once(spark, sf_dir):
+    plan = order_edit_docs(sample_tables(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
